@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "lineflow"
@@ -40,6 +41,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, **columns: list) -> DataFrame:
+    """A DataFrame of values the driver holds.
+
+    It is made from Arrow data, so its size is known to the optimizer, which
+    broadcasts it in a join if it is small enough and shuffles otherwise.
+    """
+    return spark.createDataFrame(pa.table(columns))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if ``path`` exists on its file system."""
     jvm = spark.sparkContext._jvm
