@@ -105,6 +105,10 @@ def parse_lines_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.parse_lines(_mixed(spark, sf_dir))
 
 
+def parse_lines_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lf.parse_lines(lf.render_lines(_items(spark, sf_dir)))
+
+
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.reject_counts(_mixed(spark, sf_dir))
 
@@ -348,6 +352,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 _QUERIES = (
     parse_lines_part,
+    parse_lines_lineitem,
     reject_reasons,
     rejected_lines,
     lenient_keys,
@@ -452,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
     value = "cast(num AS VARCHAR) || '. ' || text AS value"
     return {
         "parse_lines_part": strict,
+        "parse_lines_lineitem": f"SELECT num, text FROM ({items})",
         "reject_reasons": f"SELECT reason, count(*) AS lines FROM ({rejected}) GROUP BY reason",
         "rejected_lines": rejected,
         "lenient_keys": lenient,

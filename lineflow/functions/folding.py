@@ -21,6 +21,10 @@ UNFOLDED = (0x0131, 0x017F)
 # ``ordinal_ci_key``.
 _LAST = chr(0x10FFFF)
 
+# Bytes that occur in UTF-8 only in U+E000..U+FFFF (their first byte) and in the
+# greatest code point.
+_HIGH_BYTES = (b"\xee", b"\xef", _LAST.encode())
+
 
 def _simple_upper(char: str) -> str:
     """The one-character upper case of ``char``, or ``char`` itself.
@@ -60,8 +64,7 @@ def fold_case(text: Column | str) -> Column:
     ``translate``, so only texts with other characters pay for the table.
     """
     text = F.col(text) if isinstance(text, str) else text
-    lower, upper = case_table()
-    return F.when(_is_ascii(text), F.upper(text)).otherwise(F.translate(text, lower, upper))
+    return F.when(_is_ascii(text), F.upper(text)).otherwise(F.translate(text, *case_table()))
 
 
 def ordinal_ci_key(text: Column | str) -> Column:
@@ -71,14 +74,20 @@ def ordinal_ci_key(text: Column | str) -> Column:
     UTF-16 order differs from it in one place: U+E000..U+FFFF come after all
     supplementary characters.  Those characters therefore get the greatest code
     point put before them (and that code point itself a NUL after it, so the key
-    stays unambiguous).  For ASCII texts the key is as long as the text.
+    stays unambiguous).  Few texts hold any of them, so their lead bytes are looked
+    for first; the fold never turns a character into one of them or out of one.
+    For ASCII texts the key is as long as the text.
     """
     text = F.col(text) if isinstance(text, str) else text
-    lower, upper = case_table()
-    wide = F.translate(text, lower, upper)
-    wide = F.replace(wide, F.lit(_LAST), F.lit(_LAST + "\0"))
-    wide = F.regexp_replace(wide, r"([\x{E000}-\x{FFFF}])", _LAST + "$1")
-    return F.when(_is_ascii(text), F.upper(text)).otherwise(wide).cast("binary")
+    folded = F.translate(text, *case_table())
+    marked = F.replace(folded, F.lit(_LAST), F.lit(_LAST + "\0"))
+    marked = F.regexp_replace(marked, r"([\x{E000}-\x{FFFF}])", _LAST + "$1")
+    utf8 = text.cast("binary")
+    has_high = F.lit(False)
+    for lead in _HIGH_BYTES:
+        has_high = has_high | F.contains(utf8, F.lit(bytearray(lead)))
+    key = F.when(_is_ascii(text), F.upper(text)).when(has_high, marked).otherwise(folded)
+    return key.cast("binary")
 
 
 def ordinal_ci_equal(left: Column | str, right: Column | str) -> Column:

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.functions.parsing import has_text, line_number, line_text, reject_reason, render_line
+from lineflow.functions.parsing import line_number, line_text, reject_reason, render_line
 
 NUM = "num"
 TEXT = "text"
 VALUE = "value"
 
 
+def _computed_once(column: Column) -> Column:
+    """``column``, in a form the optimizer does not copy into a filter above it.
+
+    Pushing the filter below the projection would parse every line twice, and
+    compute several times over what the line itself is made of.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def parse_lines(df: DataFrame, value: str = VALUE) -> DataFrame:
-    """Replace the line by ``num`` and ``text``; malformed lines are dropped."""
+    """Replace the line by ``num`` and ``text``; malformed lines are dropped.
+
+    Filters on other columns reach the source only if they are put before this.
+    """
     rest = [c for c in df.columns if c != value]
-    good = df.filter(line_number(value).isNotNull() & has_text(value))
-    return good.select(*rest, line_number(value).alias(NUM), line_text(value).alias(TEXT))
+    parsed = df.select(*rest, _computed_once(line_number(value)).alias(NUM), line_text(value).alias(TEXT))
+    return parsed.filter(F.col(NUM).isNotNull() & F.col(TEXT).isNotNull())
 
 
 def parse_keys(df: DataFrame, value: str = VALUE) -> DataFrame:
@@ -32,7 +44,7 @@ def parse_keys(df: DataFrame, value: str = VALUE) -> DataFrame:
 
 def rejects(df: DataFrame, value: str = VALUE) -> DataFrame:
     """The lines ``parse_lines`` drops, with the ``reason``."""
-    return df.withColumn("reason", reject_reason(value)).filter(F.col("reason").isNotNull())
+    return df.withColumn("reason", _computed_once(reject_reason(value))).filter(F.col("reason").isNotNull())
 
 
 def reject_counts(df: DataFrame, value: str = VALUE) -> DataFrame:

@@ -123,7 +123,7 @@ def _sizes(slots: DataFrame, options: GeneratorOptions, pool: _Pool) -> DataFram
     """Bytes of the line each slot would hold."""
     rest = len(SEPARATOR) + 1
     drawn = slots.select("*", _numbers(options), _word_ids(options, pool))
-    sized = drawn.join(pool.table.select("word_id", "word_bytes"), "word_id")
+    sized = drawn.join(pool.table.select("word_id", "word_bytes"), "word_id", "left")
     size = F.octet_length(F.col(NUM).cast("string")) + F.col("word_bytes") + rest
     return sized.withColumn("bytes", size.cast("bigint"))
 
@@ -190,4 +190,5 @@ def generate_lines(
     part = F.pmod("worker", F.lit(options.partition_count)).alias("part_id")
     drawn = kept.select("worker", part, "seq", _numbers(options), _word_ids(options, pool))
     words_by_id = pool.table.select("word_id", F.col("word").alias(TEXT))
-    return drawn.join(words_by_id, "word_id").select("worker", "part_id", "seq", NUM, TEXT)
+    # Every id has its word; an outer join spares the test of the drawn id for NULL.
+    return drawn.join(words_by_id, "word_id", "left").select("worker", "part_id", "seq", NUM, TEXT)
