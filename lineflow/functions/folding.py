@@ -68,9 +68,11 @@ def fold_case(text: Column | str) -> Column:
 
 
 def ordinal_ci_key(text: Column | str) -> Column:
-    """Binary sort key: byte order of keys is the ordinal, case-insensitive order.
+    """Sort key: the plain order of keys is the ordinal, case-insensitive order.
 
-    The key is the folded text in UTF-8, whose byte order is code point order.
+    The key is the folded text; strings compare by their UTF-8 bytes, which is code
+    point order.  (A binary key would compare the same but is copied out of the row
+    for every comparison.)
     UTF-16 order differs from it in one place: U+E000..U+FFFF come after all
     supplementary characters.  Those characters therefore get the greatest code
     point put before them (and that code point itself a NUL after it, so the key
@@ -86,8 +88,7 @@ def ordinal_ci_key(text: Column | str) -> Column:
     has_high = F.lit(False)
     for lead in _HIGH_BYTES:
         has_high = has_high | F.contains(utf8, F.lit(bytearray(lead)))
-    key = F.when(_is_ascii(text), F.upper(text)).when(has_high, marked).otherwise(folded)
-    return key.cast("binary")
+    return F.when(_is_ascii(text), F.upper(text)).when(has_high, marked).otherwise(folded)
 
 
 def ordinal_ci_equal(left: Column | str, right: Column | str) -> Column:

@@ -58,6 +58,7 @@ def group_runs(runs: DataFrame, degree: int) -> DataFrame:
 
 def merge_in_groups(spark: SparkSession, path: str, output: str, degree: int = SortOptions.degree) -> None:
     """Merge every ``degree`` runs into one, each a folder ``group_id=...`` of sorted files."""
+    SortOptions(degree=degree)
     write_groups(group_runs(read_runs(spark, path), degree).drop("run_id"), output, "group_id")
 
 

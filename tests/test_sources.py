@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lineflow import plans, sinks, sources, streaming
 from lineflow import operators as op
+from lineflow.__main__ import main
 from lineflow.functions import line_bytes, part_path
 from lineflow.workspace import clear_scratch, scratch_path
 from tests.test_operators import expected_order, sample, table  # noqa: F401
@@ -244,6 +245,20 @@ def test_generate_and_sort_file(spark, tmp_path):
     assert joined(tmp_path / "sorted") == rendered(expected_order(expected))
 
 
+def test_command_line(spark, tmp_path):
+    parts, runs, grouped, merged, output = (f"{tmp_path}/{n}" for n in ("parts", "runs", "grouped", "merged", "sorted"))
+    (tmp_path / "w.json").write_text('["pear", "Apple"]')
+    size = ["--target-size", "20KB", "--worker-count", "4", "--partition-count", "2", "--seed", "5"]
+    main(["generate", parts, "--words", f"{tmp_path}/w.json", *size])
+    main(["sort", f"{parts}/part_id=0", f"{parts}/part_id=1", output])
+    main(["runs", parts, runs, "--chunk-size-mb", "1"])
+    main(["merge", runs, grouped, "--degree", "2"])
+    main(["merge", grouped, merged])
+    assert len(joined(output)) > 20 * 2**10 and joined(output) == joined(merged)
+    with pytest.raises(ValueError):
+        main(["generate", parts, "--target-size", "many"])
+
+
 # ---- streaming -------------------------------------------------------------
 
 
