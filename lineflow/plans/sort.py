@@ -10,7 +10,7 @@ from lineflow.operators.parse import NUM, TEXT, VALUE, parse_lines
 from lineflow.operators.sort import sort_lines
 from lineflow.sinks import write_groups, write_runs, write_sorted, write_text
 from lineflow.sources.text import read_lines, read_runs
-from lineflow.workspace import small_table
+from lineflow.workspace import session_setting, small_table
 
 
 @dataclass(frozen=True)
@@ -37,13 +37,8 @@ def write_sorted_runs(
     spark: SparkSession, path: str | list[str], output: str, options: SortOptions = SortOptions()
 ) -> None:
     """Read lines in chunks and write each as a sorted run, without a shuffle."""
-    setting = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, f"{options.chunk_size_mb}m")
-    try:
+    with session_setting(spark, "spark.sql.files.maxPartitionBytes", f"{options.chunk_size_mb}m"):
         write_runs(parse_lines(read_lines(spark, path)), output)
-    finally:
-        spark.conf.set(setting, before)
 
 
 def group_runs(runs: DataFrame, degree: int) -> DataFrame:

@@ -11,10 +11,15 @@ from lineflow.operators.chunks import sort_groups
 from lineflow.operators.parse import NUM, TEXT, VALUE
 from lineflow.operators.sort import sort_chunks, sort_lines
 from lineflow.sources.text import LINE_FEED
+from lineflow.workspace import session_setting
 
 __all__ = ["write_groups", "write_parts", "write_runs", "write_single", "write_sorted", "write_text"]
 
 
+# Files a task writes at the same time.
+_OPEN_FILES = 32
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     """Write the column ``value`` as it is."""
     lines.write.mode("overwrite").text(path, lineSep=LINE_FEED)
@@ -45,11 +50,15 @@ def write_parts(records: DataFrame, path: str, part: str = "part_id", gather: bo
     Generated lines already lie together by part and are written as they are.
     ``gather`` brings the rows of a part together first, in pieces of bounded size,
     for inputs in which every partition holds rows of many parts.
+
+    A task keeps a file open for each part it meets instead of sorting its rows by
+    part; should it meet more than ``_OPEN_FILES``, Spark sorts the rest.
     """
     lines = records.select(part, render_line(NUM, TEXT).alias(VALUE))
     if gather:
         lines = lines.hint("rebalance", F.col(part))
-    lines.write.mode("overwrite").partitionBy(part).text(path, lineSep=LINE_FEED)
+    with session_setting(records.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(_OPEN_FILES)):
+        lines.write.mode("overwrite").partitionBy(part).text(path, lineSep=LINE_FEED)
 
 
 def write_single(records: DataFrame, path: str, limit: str | int = "100GB") -> None:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="lineflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineflow-"))
+        root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
 
 
@@ -50,6 +51,17 @@ def small_table(spark: SparkSession, **columns: list) -> DataFrame:
     return spark.createDataFrame(pa.table(columns))
 
 
+@contextmanager
+def session_setting(spark: SparkSession, name: str, value: str):
+    """Set a session option while one job is planned and run."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """True if ``path`` exists on its file system."""
     jvm = spark.sparkContext._jvm

@@ -11,7 +11,7 @@ from lineflow.workspace import small_table
 from tests.test_functions import utf16_key
 from tests.test_operators import expected_order
 
-RULES = settings(max_examples=12, deadline=None)
+RULES = settings(max_examples=8, deadline=None)
 
 NUMBER = re.compile(r"[\t-\r ]*([+-]?[0-9]+)[\t-\r ]*\0*")
 HEADS = st.text(alphabet="0123456789+- \t\x01\0.", max_size=6)
