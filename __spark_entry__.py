@@ -10,7 +10,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -211,7 +211,14 @@ def merge_sorted_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sorted_chunks_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every partition sorted on its own; rows out of order within one are counted."""
     chunks = lf.sort_chunks(_orders(spark, sf_dir).select("num", "text"))
-    return chunks.groupBy("text").agg(F.count("*").alias("lines"), F.sum(F.col("num").cast("bigint")).alias("nums"))
+    placed = chunks.withColumns({"chunk": F.spark_partition_id(), "place": F.monotonically_increasing_id()})
+    order = F.struct(lf.ordinal_ci_key("text").alias("key"), "num", "text")
+    previous = F.lag(order).over(Window.partitionBy("chunk").orderBy("place"))
+    return (
+        placed.withColumn("ordered", F.coalesce(previous <= order, F.lit(True)))
+        .groupBy("text")
+        .agg(F.count("*").alias("lines"), F.sum("num").alias("nums"), F.count_if(~F.col("ordered")).alias("out_of_order"))
+    )
 
 
 # ---- chunks, groups, prefixes ----------------------------------------------
@@ -481,8 +488,8 @@ def oracle_sql() -> dict[str, str]:
         "sorted_positions_lineitem": positions(items),
         "sorted_lines_lineitem": f"SELECT {value} FROM ({items})",
         "merge_sorted_three": positions(merged),
-        "sorted_chunks_orders": f"""SELECT text, count(*) AS lines, cast(sum(num) AS BIGINT) AS nums
-            FROM ({orders}) GROUP BY text""",
+        "sorted_chunks_orders": f"""SELECT text, count(*) AS lines, cast(sum(num) AS BIGINT) AS nums,
+            cast(0 AS BIGINT) AS out_of_order FROM ({orders}) GROUP BY text""",
         "chunk_stats": runs,
         "chunk_counts": f"SELECT lang, count(*) AS runs FROM ({runs}) GROUP BY lang",
         "chunk_positions": positions(chunks, "lang", "chunk_id"),

@@ -1,7 +1,7 @@
 """Total order at scale: sorting, positions and totals of earlier rows.
 
 Everything here rests on one shuffle, a range partitioning on *all* sort keys
-plus the number of the input partition.  The last one splits copies of one row
+plus the place of the row in the input.  The last one splits copies of one row
 over several partitions, so a group of equal rows of any size cannot end up in
 one task.
 """
@@ -20,6 +20,10 @@ _SALT = "_salt"
 _PARTITION = "_partition"
 _ORDINAL = "_ordinal"
 
+# Rows next to each other in the input share a salt: it splits copies finely
+# enough and still compresses to nothing in the shuffle.
+_SALT_BITS = 16
+
 # monotonically_increasing_id() holds the partition above this bit and the row
 # number within the partition below it.
 _ORDINAL_BITS = 33
@@ -32,7 +36,8 @@ def range_sort(df: DataFrame, *by: Column | str) -> DataFrame:
     sent through it; after it each is a plain column, so that comparing two rows
     does not compute it again.
     """
-    spread = df.withColumn(_SALT, F.spark_partition_id()).repartitionByRange(*by, _SALT).drop(_SALT)
+    salt = F.shiftright(F.monotonically_increasing_id(), _SALT_BITS)
+    spread = df.withColumn(_SALT, salt).repartitionByRange(*by, _SALT).drop(_SALT)
     return sort_partitions(spread, *by)
 
 

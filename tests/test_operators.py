@@ -63,12 +63,12 @@ def test_sort_is_idempotent_and_uses_one_shuffle(table, sample):
 def test_copies_of_one_line_are_spread(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        hot = spark.range(0, 40000, 1, 16).select(
+        hot = spark.range(0, 2000000, 1, 4).select(
             F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id")).cast("int").alias("num"), F.lit("same").alias("text")
         )
         sizes = op.sort_lines(hot).groupBy(F.spark_partition_id()).count().collect()
-        assert sum(r[1] for r in sizes) == 40000
-        assert max(r[1] for r in sizes) < 40000 / 8 * 2
+        assert sum(r[1] for r in sizes) == 2000000
+        assert max(r[1] for r in sizes) < 2000000 / 8 * 2
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
