@@ -78,6 +78,7 @@ def totals_before(
     by: Sequence[Column | str],
     amount: Column | str | int,
     name: str = "before",
+    below: int | None = None,
 ) -> DataFrame:
     """Add the total ``amount`` of all earlier rows of the same group in the order ``by``.
 
@@ -89,13 +90,18 @@ def totals_before(
     partition and that side of the join is bounded by the number of partitions.
 
     ``amount`` is a column or 1 for a row number.  It must not be negative nor NULL.
+
+    With ``below`` only rows whose total is below it are returned.  A row that
+    reaches it within its own partition is dropped at once, so little is written
+    where little is kept.  What a partition then carries over is too small only if
+    it is no less than ``below``, which drops all later rows of the group as well.
     """
     amount = F.lit(amount) if isinstance(amount, int) else amount
     amount = F.col(amount) if isinstance(amount, str) else amount
     ordered = range_sort(df, *groups, *by)
     ordered = ordered.withColumns({"_amount": amount.cast("bigint"), _PARTITION: F.spark_partition_id()})
     fields = [*ordered.schema.fields, T.StructField(name, T.LongType(), False)]
-    summed = ordered.mapInArrow(_partition_totals(list(groups), name), T.StructType(fields))
+    summed = ordered.mapInArrow(_partition_totals(list(groups), name, below), T.StructType(fields))
     table = materialize(summed, "totals")
 
     earlier = Window.partitionBy(*groups).orderBy(_PARTITION).rowsBetween(Window.unboundedPreceding, -1)
@@ -111,10 +117,11 @@ def totals_before(
         same = same & F.col(group).eqNullSafe(F.col(f"_g{i}"))
     joined = table.join(F.broadcast(carried), same, "left")
     total = F.col(name) + F.coalesce("_carried", F.lit(0))
-    return joined.select(*df.columns, total.alias(name))
+    totals = joined.select(*df.columns, total.alias(name))
+    return totals if below is None else totals.filter(F.col(name) < below)
 
 
-def _partition_totals(groups: list[str], name: str):
+def _partition_totals(groups: list[str], name: str, below: int | None):
     """Arrow function: total of earlier ``_amount``, restarting where a group does.
 
     Nested so that executors need not have this package installed.
@@ -146,7 +153,9 @@ def _partition_totals(groups: list[str], name: str):
                 lengths = np.diff(np.append(firsts, batch.num_rows))
                 sums[firsts[0]:] -= np.repeat(sums[firsts - 1], lengths)
             last, total = [key[-1].as_py() for key in keys], int(sums[-1])
-            columns = [*batch.columns, pa.array(sums - amounts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
+            before = sums - amounts
+            columns = [*batch.columns, pa.array(before, pa.int64())]
+            result = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])
+            yield result if below is None else result.filter(pa.array(before < below))
 
     return add_totals

@@ -18,8 +18,7 @@ def take_bytes(df: DataFrame, target: int, groups: Sequence[str], order: Sequenc
     A line is kept while the bytes before it are fewer than ``target``; the last
     one may overshoot.
     """
-    sized = totals_before(df, groups, order, line_bytes(NUM, TEXT), "_before")
-    return sized.filter(F.col("_before") < target).drop("_before")
+    return totals_before(df, groups, order, line_bytes(NUM, TEXT), "_before", below=target).drop("_before")
 
 
 def assign_parts(df: DataFrame, key: Column | str, workers: int, parts: int) -> DataFrame:

@@ -114,6 +114,9 @@ def test_totals_before(spark, groups):
     try:
         got = op.totals_before(df, groups, ["i"], "v")
         assert {r.i: r.before for r in got.collect()} == expected
+        for below in (0, 5, 700, 10**6):
+            got = op.totals_before(df, groups, ["i"], "v", below=below)
+            assert {r.i: r.before for r in got.collect()} == {i: t for i, t in expected.items() if t < below}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
