@@ -114,5 +114,5 @@ def ordinal_ci_between(text: Column | str, low: Column | str, high: Column | str
 def utf16_length(text: Column | str) -> Column:
     """Length in UTF-16 code units (a supplementary character counts as two)."""
     text = F.col(text) if isinstance(text, str) else text
-    wide = (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
-    return F.when(_is_ascii(text), F.char_length(text)).otherwise(wide)
+    units = F.shiftright(F.octet_length(F.encode(text, "UTF-16BE")), 1)
+    return F.when(_is_ascii(text), F.char_length(text)).otherwise(units)

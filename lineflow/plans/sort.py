@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineflow.operators.ordering import range_sort
 from lineflow.operators.parse import NUM, TEXT, VALUE, parse_lines
-from lineflow.operators.sort import sort_lines
+from lineflow.operators.sort import line_order
 from lineflow.sinks import write_groups, write_runs, write_sorted, write_text
 from lineflow.sources.text import read_lines, read_runs
 from lineflow.workspace import session_setting, small_table
@@ -64,6 +65,7 @@ def merge_runs(spark: SparkSession, path: str | list[str], output: str, format:
     """
     runs = read_runs(spark, path, format)
     if format == "text":
-        write_text(sort_lines(runs.select(VALUE, NUM, TEXT)).select(VALUE), output)
+        ordered = range_sort(runs.select(VALUE, NUM, TEXT), *line_order(), VALUE)
+        write_text(ordered.select(VALUE), output)
     else:
         write_sorted(runs, output)

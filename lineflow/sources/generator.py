@@ -66,11 +66,9 @@ class _Pool:
     size: int
     shortest: int
     mean: float
-
-    @property
-    def repeated(self) -> int:
-        """The first so many words form the pool of repeated texts."""
-        return max(1, self.size // 4)
+    # The first so many words form the pool of repeated texts.
+    repeated: int
+    repeated_mean: float
 
 
 def word_pool(spark: SparkSession, words: DataFrame | Iterable[str], seed: int) -> _Pool:
@@ -96,7 +94,9 @@ def word_pool(spark: SparkSession, words: DataFrame | Iterable[str], seed: int)
         raise ValueError("the word list is empty")
     if total.known < total.n:
         raise ValueError("the word list holds NULL")
-    return _Pool(table, total.n, total.low, total.mean)
+    repeated = max(1, total.n // 4)
+    repeated_mean = table.filter(F.col("word_id") < repeated).agg(F.avg("word_bytes")).first()[0]
+    return _Pool(table, total.n, total.low, total.mean, repeated, repeated_mean)
 
 
 def _numbers(options: GeneratorOptions) -> Column:
@@ -128,6 +128,14 @@ def _sizes(slots: DataFrame, options: GeneratorOptions, pool: _Pool) -> DataFram
     return sized.withColumn("bytes", size.cast("bigint"))
 
 
+def _expected_bytes(options: GeneratorOptions, pool: _Pool) -> float:
+    """Mean size of a line."""
+    most = options.max_number
+    digits = sum(most - 10**place + 1 for place in range(len(str(most)))) / most
+    share = options.duplicate_percentage / 100
+    return digits + len(SEPARATOR) + 1 + share * pool.repeated_mean + (1 - share) * pool.mean
+
+
 def lines_per_worker(spark: SparkSession, options: GeneratorOptions, pool: _Pool) -> dict[int, int]:
     """How many lines each worker emits until its share of bytes is reached.
 
@@ -142,9 +150,8 @@ def lines_per_worker(spark: SparkSession, options: GeneratorOptions, pool: _Pool
         return dict.fromkeys(range(workers), 0)
     shortest = pool.shortest + len(SEPARATOR) + 2
     most = -(-share // shortest)
-    digits = len(str(options.max_number))
-    expected = pool.mean + digits + len(SEPARATOR) + 1
-    budget = min(most, int(share / expected * 1.1) + _MIN_BLOCK)
+    expected = _expected_bytes(options, pool)
+    budget = min(most, int(share / expected * 1.02) + _MIN_BLOCK)
     by_place = Window.partitionBy("worker")
     while True:
         block = min(_MAX_BLOCK, max(_MIN_BLOCK, budget // 1024))

@@ -81,6 +81,16 @@ def test_parts_round_trip(spark, tmp_path, table):
         assert records.exceptAll(parted).count() == 0 and parted.exceptAll(records).count() == 0
 
 
+def test_more_parts_than_open_files(spark, tmp_path):
+    parted = spark.range(0, 3000, 1, 2).select(
+        F.col("id").cast("int").alias("num"), F.lit("x").alias("text"), (F.col("id") % 100).cast("int").alias("part_id")
+    )
+    sinks.write_parts(parted, str(tmp_path / "parts"))
+    back = op.parse_lines(sources.read_parts(spark, f"{tmp_path}/parts/part_id={{0}}", 100))
+    assert back.count() == 3000 and back.filter("num % 100 != part_id").count() == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
 def test_read_part_files_by_pattern(spark, tmp_path):
     pattern = f"{tmp_path}/big part-{{0}}.tmp"
     for i in (0, 2, 11):
@@ -191,6 +201,15 @@ def test_generated_sizes(spark, workers, size):
         assert total - mine[-1].bytes < size // workers <= total
 
 
+def test_sizes_with_very_uneven_words(spark):
+    # Few lines are long, so the first estimate of the number of lines is too low.
+    words = ["x"] * 999 + ["y" * 200_000]
+    options = sources.GeneratorOptions("40KB", 2, 2, 0, 9)
+    rows = sources.generate_lines(spark, words, options).withColumn("bytes", line_bytes("num", "text"))
+    for r in rows.groupBy("worker").agg(F.sum("bytes").alias("all"), F.max_by("bytes", "seq").alias("last")).collect():
+        assert r["all"] - r["last"] < 20 * 1024 <= r["all"]
+
+
 def test_generator_is_reproducible_and_seeded(spark):
     def rows(parallelism, seed):
         spark.conf.set("spark.sql.shuffle.partitions", parallelism)
@@ -206,7 +225,8 @@ def test_generator_is_reproducible_and_seeded(spark):
 def test_duplicates_come_from_a_quarter_of_the_words(spark):
     def texts(percent):
         options = sources.GeneratorOptions("30KB", 2, 2, percent)
-        return {r.text: r.n for r in sources.generate_lines(spark, WORDS, options).groupBy("text").agg(F.count("*").alias("n")).collect()}
+        counts = sources.generate_lines(spark, WORDS, options).groupBy("text").agg(F.count("*").alias("n"))
+        return {r.text: r.n for r in counts.collect()}
 
     assert len(texts(100)) == 2
     spread = texts(0)
@@ -293,6 +313,18 @@ def test_stream_runs(spark, tmp_path, sample):
     assert joined(tmp_path / "out") == rendered(expected_order(expected))
 
 
+def test_stream_with_interval(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "a.txt").write_text("2. b\n1. a\n")
+    records = streaming.stream_lines(spark, str(tmp_path / "in"))
+    query = streaming.stream_runs(records, str(tmp_path / "runs"), str(tmp_path / "checkpoint"), "1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r.num, r.text) for r in streaming.read_stream_runs(spark, str(tmp_path / "runs")).collect()) == [
+        (1, "a"), (2, "b"),
+    ]
+
+
 def test_scratch(spark, tmp_path):
     path = scratch_path(spark, "t")
     spark.range(3).write.parquet(path)
