@@ -204,7 +204,7 @@ def merge_sorted_three(spark: SparkSession, sf_dir: str) -> DataFrame:
         _records(_read(spark, sf_dir, "supplier"), "s_nationkey", "s_name"),
         _records(_read(spark, sf_dir, "customer"), "c_nationkey", "lower(c_mktsegment)"),
     ]
-    merged = lf.merge_sorted(*[lf.sort_lines(i) for i in inputs])
+    merged = lf.merge_sorted(*[lf.sort_chunks(i) for i in inputs])
     return lf.line_positions(merged)
 
 

@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 
 from lineflow.workspace import materialize
 
-_SALT = "_salt"
-_PARTITION = "_partition"
-_ORDINAL = "_ordinal"
+_SALT = "__salt"
+_PARTITION = "__partition"
+_ORDINAL = "__ordinal"
 
 # Rows next to each other in the input share a salt: it splits copies finely
 # enough and still compresses to nothing in the shuffle.
@@ -43,8 +43,8 @@ def range_sort(df: DataFrame, *by: Column | str) -> DataFrame:
 
 def sort_partitions(df: DataFrame, *by: Column | str) -> DataFrame:
     """Sort inside each partition only; no shuffle."""
-    computed = {f"_key{i}": key for i, key in enumerate(by) if not isinstance(key, str)}
-    names = [key if isinstance(key, str) else f"_key{i}" for i, key in enumerate(by)]
+    computed = {f"__key{i}": key for i, key in enumerate(by) if not isinstance(key, str)}
+    names = [key if isinstance(key, str) else f"__key{i}" for i, key in enumerate(by)]
     return df.withColumns(computed).sortWithinPartitions(*names).drop(*computed)
 
 
@@ -61,14 +61,14 @@ def with_positions(df: DataFrame, *by: Column | str, name: str = "position") ->
     before = Window.orderBy(_PARTITION).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         table.groupBy(_PARTITION)
-        .agg(F.count("*").alias("_rows"))
-        .select(_PARTITION, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+        .agg(F.count("*").alias("__rows"))
+        .select(_PARTITION, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__offset"))
     )
     within = ordinal.bitwiseAND(F.lit((1 << _ORDINAL_BITS) - 1))
     return (
         table.join(F.broadcast(offsets), _PARTITION)
-        .withColumn(name, F.col("_offset") + within + 1)
-        .drop(_PARTITION, _ORDINAL, "_offset")
+        .withColumn(name, F.col("__offset") + within + 1)
+        .drop(_PARTITION, _ORDINAL, "__offset")
     )
 
 
@@ -99,7 +99,7 @@ def totals_before(
     amount = F.lit(amount) if isinstance(amount, int) else amount
     amount = F.col(amount) if isinstance(amount, str) else amount
     ordered = range_sort(df, *groups, *by)
-    ordered = ordered.withColumns({"_amount": amount.cast("bigint"), _PARTITION: F.spark_partition_id()})
+    ordered = ordered.withColumns({"__amount": amount.cast("bigint"), _PARTITION: F.spark_partition_id()})
     fields = [*ordered.schema.fields, T.StructField(name, T.LongType(), False)]
     summed = ordered.mapInArrow(_partition_totals(list(groups), name, below), T.StructType(fields))
     table = materialize(summed, "totals")
@@ -107,22 +107,22 @@ def totals_before(
     earlier = Window.partitionBy(*groups).orderBy(_PARTITION).rowsBetween(Window.unboundedPreceding, -1)
     carried = (
         table.groupBy(_PARTITION, *groups)
-        .agg(F.sum("_amount").alias("_total"))
-        .select(_PARTITION, *groups, F.sum("_total").over(earlier).alias("_carried"))
-        .filter(F.col("_carried") > 0)
-        .select(F.col(_PARTITION).alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_carried")
+        .agg(F.sum("__amount").alias("__total"))
+        .select(_PARTITION, *groups, F.sum("__total").over(earlier).alias("__carried"))
+        .filter(F.col("__carried") > 0)
+        .select(F.col(_PARTITION).alias("__in"), *[F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)], "__carried")
     )
-    same = F.col(_PARTITION) == F.col("_p")
+    same = F.col(_PARTITION) == F.col("__in")
     for i, group in enumerate(groups):
-        same = same & F.col(group).eqNullSafe(F.col(f"_g{i}"))
+        same = same & F.col(group).eqNullSafe(F.col(f"__group{i}"))
     joined = table.join(F.broadcast(carried), same, "left")
-    total = F.col(name) + F.coalesce("_carried", F.lit(0))
+    total = F.col(name) + F.coalesce("__carried", F.lit(0))
     totals = joined.select(*df.columns, total.alias(name))
     return totals if below is None else totals.filter(F.col(name) < below)
 
 
 def _partition_totals(groups: list[str], name: str, below: int | None):
-    """Arrow function: total of earlier ``_amount``, restarting where a group does.
+    """Arrow function: total of earlier ``__amount``, restarting where a group does.
 
     Nested so that executors need not have this package installed.
     """
@@ -146,7 +146,7 @@ def _partition_totals(groups: list[str], name: str, below: int | None):
             first = [key[0].as_py() for key in keys]
             if first != last:
                 total = 0
-            amounts = batch.column("_amount").to_numpy(zero_copy_only=False)
+            amounts = batch.column("__amount").to_numpy(zero_copy_only=False)
             sums = np.cumsum(amounts) + total
             firsts = np.flatnonzero(starts)
             if len(firsts):

@@ -35,7 +35,7 @@ def merge_sorted(*inputs: DataFrame) -> DataFrame:
     """Merge records of several inputs into one sorted output; copies are kept.
 
     One range shuffle does it whether or not the inputs are sorted, so nothing is
-    gained by sorting them first.
+    gained by sorting them first; ``sort_lines`` on an input is a shuffle of its own.
     """
     return sort_lines(reduce(DataFrame.unionByName, inputs))
 
