@@ -6,6 +6,7 @@ lines, so lines are made from their columns by SQL both sides share.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -17,6 +18,13 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import lineflow as lf  # noqa: E402
 
+# The training-data operators are a subpackage that may be absent.
+if importlib.util.find_spec("lineflow.llm") and importlib.util.find_spec("corpus_pipeline"):
+    import corpus_pipeline  # noqa: E402
+    from lineflow.llm import queries as llm_queries  # noqa: E402
+else:
+    llm_queries = None
+
 MAX_CHARS = 4096
 DEGREE = 4
 WORKERS = 32
@@ -397,7 +405,11 @@ _QUERIES = (
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """All queries by name; each takes the session and the folder of the tables."""
-    return {query.__name__: query for query in _QUERIES}
+    found = {query.__name__: query for query in _QUERIES}
+    if llm_queries:
+        found |= {query.__name__: query for query in llm_queries.QUERIES}
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
@@ -462,7 +474,7 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT c_nationkey, lower(c_mktsegment) FROM customer"""
     left, right = fold(PUNCTUATED), fold(CASED_TYPE)
     value = "cast(num AS VARCHAR) || '. ' || text AS value"
-    return {
+    found = {
         "parse_lines_part": strict,
         "parse_lines_lineitem": f"SELECT num, text FROM ({items})",
         "reject_reasons": f"SELECT reason, count(*) AS lines FROM ({rejected}) GROUP BY reason",
@@ -510,3 +522,8 @@ def oracle_sql() -> dict[str, str]:
         "generated_properties": """SELECT cast(range AS INTEGER) AS worker, true AS share_reached, true AS stops_there,
             true AS no_gaps, true AS numbers_in_range, true AS words_known, true AS parts_in_turn FROM range(8)""",
     }
+    if llm_queries:
+        found |= llm_queries.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
