@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import byte_bpe, exact_dedup, mixing, token_shards
+from lineflow.llm import byte_bpe, exact_dedup, mixing, quality_rules, secret_ledger, token_shards
 from lineflow.workspace import scratch_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,27 +17,36 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.clean_documents(_read(spark, sf_dir, "documents")).drop("cleaned")
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     token_shards.write_shards(_read(spark, sf_dir, "documents"), path, WORD_TOKENIZER, end_id=2)
     return token_shards.shard_documents(spark, path)
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_ledger.scan(_read(spark, sf_dir, "documents"), scratch_path(spark, "secret-ledger"))
+    return secret_ledger.finding_digests(found)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN)
     return byte_bpe.token_digests(byte_bpe.decode_documents(encoded, BYTE_RANKS))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.curriculum(_read(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken", "passes", "position")
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
-QUERIES = (op3_token_shards, op6_byte_bpe, op9_exact_dedup, op10_mixing)
+QUERIES = (op1_quality_rules, op3_token_shards, op4_secret_ledger, op6_byte_bpe, op9_exact_dedup, op10_mixing)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
