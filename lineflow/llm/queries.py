@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lineflow.llm import byte_bpe, exact_dedup, mixing, quality_rules, secret_ledger, token_shards
+from lineflow.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_ledger, token_shards
 from lineflow.workspace import scratch_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.finding_digests(found)
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(_read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode_documents(_read(spark, sf_dir, "documents"), BYTE_RANKS, BYTE_PATTERN)
     return byte_bpe.token_digests(byte_bpe.decode_documents(encoded, BYTE_RANKS))
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
-QUERIES = (op1_quality_rules, op3_token_shards, op4_secret_ledger, op6_byte_bpe, op9_exact_dedup, op10_mixing)
+QUERIES = (op1_quality_rules, op3_token_shards, op4_secret_ledger, op5_near_dedup, op6_byte_bpe, op9_exact_dedup, op10_mixing)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
