@@ -248,7 +248,9 @@ class WordTokenizer:
             stem, last = word[:-1], word[-1]
             simple = last in self.sign and stem and stem[-1].isalpha() and stem[-1].isascii()
             stems[word] = (lower_ascii(stem), self.sign[last]) if simple else (lower_ascii(word), b"")
-        for stem in {stem for stem, _ in stems.values()} - self.known.keys():
+        for stem in {stem for stem, _ in stems.values()}:
+            if stem in self.known:
+                continue
             if len(self.apart) == 1 and self.APART not in stem:
                 rest.append(stem)
             else:
