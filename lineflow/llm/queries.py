@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lineflow.llm import byte_bpe, exact_dedup, mixing, near_dedup, quality_rules, secret_ledger, token_shards
+from lineflow.llm import byte_bpe, exact_dedup, katz, mixing, near_dedup, quality_rules, secret_ledger, token_shards
 from lineflow.workspace import scratch_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -21,6 +22,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_documents(_read(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    model = katz.fit(docs.filter(~held_out), scratch_path(spark, "katz"))
+    return katz.score(docs, model).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.n_tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-shards")
     token_shards.write_shards(_read(spark, sf_dir, "documents"), path, WORD_TOKENIZER, end_id=2)
@@ -50,7 +66,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
-QUERIES = (op1_quality_rules, op3_token_shards, op4_secret_ledger, op5_near_dedup, op6_byte_bpe, op9_exact_dedup, op10_mixing)
+QUERIES = (op1_quality_rules, op2_katz, op3_token_shards, op4_secret_ledger, op5_near_dedup, op6_byte_bpe, op9_exact_dedup, op10_mixing)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
