@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineflow.llm import byte_bpe, exact_dedup, katz, mixing, near_dedup, quality_rules, secret_ledger, token_shards
+from lineflow.llm import (
+    byte_bpe,
+    exact_dedup,
+    html_cut,
+    katz,
+    mixing,
+    near_dedup,
+    quality_rules,
+    secret_ledger,
+    token_shards,
+    warc_derivatives,
+)
 from lineflow.workspace import scratch_path
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -57,6 +68,18 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(byte_bpe.decode_documents(encoded, BYTE_RANKS))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to WARC responses, these to derivatives, both through files; the derived records."""
+    sources, derived = scratch_path(spark, "responses"), scratch_path(spark, "derivatives")
+    warc_derivatives.write_warc(warc_derivatives.responses_of(_read(spark, sf_dir, "pages")), sources)
+    warc_derivatives.write_warc(warc_derivatives.derive(warc_derivatives.read_warc(spark, sources)), derived)
+    return warc_derivatives.record_digests(warc_derivatives.read_warc(spark, derived))
+
+
+def op8_html_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_cut.extract_main_text(_read(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
@@ -66,7 +89,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
-QUERIES = (op1_quality_rules, op2_katz, op3_token_shards, op4_secret_ledger, op5_near_dedup, op6_byte_bpe, op9_exact_dedup, op10_mixing)
+QUERIES = (
+    op1_quality_rules,
+    op2_katz,
+    op3_token_shards,
+    op4_secret_ledger,
+    op5_near_dedup,
+    op6_byte_bpe,
+    op7_warc,
+    op8_html_cut,
+    op9_exact_dedup,
+    op10_mixing,
+)
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
