@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import functools
+from array import array
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
@@ -20,14 +21,32 @@ from pyspark.sql import functions as F
 from lineflow.llm.shipping import ship_package
 from lineflow.llm.words import id_and_text
 
-#: Pieces whose encoding a worker remembers; beyond it, it starts anew.
-REMEMBERED_PIECES = 500_000
+#: Pieces whose encoding a worker remembers at least, and at most twice as many.
+REMEMBERED_PIECES = 300_000
 REMEMBERED_PAIRS = 2_000_000
 
 #: Rows that are encoded at a time.
 ROWS_AT_A_TIME = 256
 
 
+class Remembered(dict):
+    """Encodings by piece, as bytes; what has not been asked for in a long time is forgotten."""
+
+    def __init__(self, encode: Callable[[bytes], list[int]]):
+        self.encode = encode
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED_PIECES:
+            self.older = dict(self)
+            self.clear()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = array("i", self.encode(piece.encode())).tobytes()
+        self[piece] = ids
+        return ids
+
+
 class BacktrackingEncoder:
     """Encodes single pieces of text by the ranks of a vocabulary file."""
 
@@ -49,7 +68,7 @@ class BacktrackingEncoder:
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pieces = Remembered(self.encode_bytes)
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
         """The two parts the merges of lower rank leave of a token."""
@@ -88,47 +107,44 @@ class BacktrackingEncoder:
                 limit, right = right + 1, right_parts[0]
 
     def _fits(self, left: int, right: int) -> bool:
-        known = self.compatible.get((left, right))
-        if known is None:
-            if len(self.compatible) >= REMEMBERED_PAIRS:
-                self.compatible.clear()
-            known = self.compatible[left, right] = self._stay_apart(left, right)
-        return known
+        """Find out, and remember, if two tokens are compatible."""
+        if len(self.compatible) >= REMEMBERED_PAIRS:
+            self.compatible.clear()
+        fit = self.compatible[left, right] = self._stay_apart(left, right)
+        return fit
 
     def encode_bytes(self, piece: bytes) -> list[int]:
         """The tokens of a piece."""
-        end = len(piece)
-        longest = [None] * (end + 1)
-        length, shorter = self.length, self.shorter
-        for last, token in self.automaton.iter(piece.decode("latin-1")):
-            longest[last + 1 - length[token]] = token  # later ones are longer
+        end, text = len(piece), piece.decode("latin-1")
+        length, shorter, longest_from = self.length, self.shorter, self.automaton.iter_long
+        known_fit, fits = self.compatible.get, self._fits
+        longest: list[int | None] = [None] * (end + 1)  # at each place, once looked up
         given_up = bytearray(end + 1)
         tokens: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, None
         while at < end:
+            if token is None:
+                token = longest[at]
+                if token is None:
+                    token = longest[at] = next(longest_from(text, at))[1]
             while token is not None:
-                if not given_up[at + length[token]] and (not tokens or self._fits(tokens[-1], token)):
-                    break
+                if not given_up[at + length[token]]:
+                    if not tokens:
+                        break
+                    fit = known_fit((tokens[-1], token))
+                    if fit or (fit is None and fits(tokens[-1], token)):
+                        break
                 token = shorter[token]
             if token is not None:
                 tokens.append(token)
                 at += length[token]
-                token = longest[at]
+                token = None
             else:
                 given_up[at] = 1
                 token = tokens.pop()  # exists: the merges do encode the piece
                 at -= length[token]
         return tokens
 
-    def encode(self, piece: str) -> tuple[int, ...]:
-        """The same for text; common pieces are remembered."""
-        known = self.pieces.get(piece)
-        if known is None:
-            if len(self.pieces) >= REMEMBERED_PIECES:
-                self.pieces.clear()
-            known = self.pieces[piece] = tuple(self.encode_bytes(piece.encode()))
-        return known
-
 
 def parse_ranks(file: bytes) -> dict[bytes, int]:
     """Token and rank of each line of a rank file."""
@@ -166,19 +182,14 @@ def _encode_batches(vocabulary, pattern: str) -> Callable[[Iterator], Iterator]:
         import pyarrow as pa
         import regex
 
-        encoder = encoder_of(vocabulary.value)
-        find, known, encode_piece = regex.compile(pattern).findall, encoder.pieces, encoder.encode
+        ids_of = encoder_of(vocabulary.value).pieces.__getitem__
+        find = regex.compile(pattern).findall
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                lengths, ids = [], []
-                for text in part.column(1).to_pylist():
-                    before = len(ids)
-                    for piece in find(text):
-                        ids += known.get(piece) or encode_piece(piece)
-                    lengths.append(len(ids) - before)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
-                values = pa.array(np.array(ids, dtype=np.int32))
+                ids = [b"".join(map(ids_of, find(text))) for text in part.column(1).to_pylist()]
+                offsets = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
+                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"]
                 )
@@ -197,14 +208,20 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def decode(batches):
+        import numpy as np
         import pyarrow as pa
 
-        token = encoder_of(vocabulary.value).bytes_of.__getitem__
+        bytes_of = encoder_of(vocabulary.value).bytes_of
+        token = np.full(max(bytes_of) + 1, None, dtype=object)
+        token[list(bytes_of)] = list(bytes_of.values())
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                lists = part.column("ids").to_pylist()
-                decoded = [None if ids is None else b"".join(map(token, ids)) for ids in lists]
+                lists = part.column("ids")
+                ends = np.cumsum(lists.value_lengths().fill_null(0)).tolist()
+                tokens = token[lists.flatten().to_numpy()].tolist()
+                joined = [b"".join(tokens[a:b]) for a, b in zip([0, *ends], ends)]
+                decoded = [text if known else None for text, known in zip(joined, lists.is_valid().to_pylist())]
                 columns = [part.column("doc_id"), part.column("ids"), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
