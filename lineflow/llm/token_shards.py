@@ -31,8 +31,8 @@ BLOCK_BYTES = 1 << 16  # of a plane; each block is compressed by itself
 SHARD_CHARS = 16_000_000
 SHARD_IDS = 1 << 23
 
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a worker remembers at least, and at most about twice as many.
+REMEMBERED_WORDS = 300_000
 ROWS_AT_A_TIME = 256
 
 
@@ -209,12 +209,10 @@ class WordTokenizer:
 
     The tokenizer drops white space and looks at nothing across it, so a text's ids
     are those of its words, and a word that ends in a full stop or comma behind a
-    letter has that sign's ids after its own.  Words are encoded once, many in one
-    text, set apart by a character none of them holds.
+    letter has that sign's ids after its own.  Each word is encoded when it is met and
+    remembered; what has not been met for long is forgotten.
     """
 
-    APART = "\x1f"
-
     def __init__(self, tokenizer: str):
         import os
 
@@ -225,57 +223,59 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
-        self.apart = self._ids(self.APART)
-        self.sign = {sign: self._bytes(self._ids(sign)) for sign in ".,"}
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    @staticmethod
-    def _bytes(ids) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, dtype="<u4").tobytes()
+        self.older: dict[str, bytes] = {}
+        self.sign = dict(zip(".,", self._encoded([".", ","])))
 
-    def learn(self, words: list[str]) -> None:
-        """Encode words that are not known yet."""
-        import numpy as np
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        if len(self.known) + len(words) > REMEMBERED_WORDS:
-            self.known.clear()
-        stems, rest = {}, []
+    def _learn(self, words: set[str]) -> None:
+        known, older = self.known, self.older
+        stems, new = {}, set()
         for word in words:
-            stem, last = word[:-1], word[-1]
-            simple = last in self.sign and stem and stem[-1].isalpha() and stem[-1].isascii()
-            stems[word] = (lower_ascii(stem), self.sign[last]) if simple else (lower_ascii(word), b"")
-        for stem in {stem for stem, _ in stems.values()}:
-            if stem in self.known:
+            ids = older.get(word)
+            if ids is not None:
+                known[word] = ids
                 continue
-            if len(self.apart) == 1 and self.APART not in stem:
-                rest.append(stem)
+            stem, last = word[:-1], word[-1]
+            if last in self.sign and stem and stem[-1].isalpha() and stem[-1].isascii():
+                stem = lower_ascii(stem)
+                stems[word] = (stem, self.sign[last])
+            else:
+                stem = lower_ascii(word)
+                stems[word] = (stem, b"")
+            if stem not in known:
+                ids = older.get(stem)
+                if ids is None:
+                    new.add(stem)
+                else:
+                    known[stem] = ids
+        unread = []
+        model = self.tokenizer.model
+        for stem in new:
+            if stem.isascii() and stem.isalpha():  # a single piece, in the model's own letters
+                known[stem] = ids_bytes([token.id for token in model.tokenize(stem)])
             else:
-                self.known[stem] = self._bytes(self._ids(stem))
-        if rest:
-            ids = np.array(self._ids(f" {self.APART} ".join(rest)), dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.apart[0]).tolist(), len(ids)]
-            start = 0
-            for stem, end in zip(rest, ends, strict=True):
-                self.known[stem] = ids[start:end].tobytes()
-                start = end + 1
+                unread.append(stem)
+        known.update(zip(unread, self._encoded(unread)))
         for word, (stem, sign) in stems.items():
-            self.known[word] = self.known[stem] + sign
+            known[word] = known[stem] + sign
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts as little-endian 32-bit integers."""
+        if len(self.known) > REMEMBERED_WORDS:
+            self.older, self.known = self.known, {}
+        known = self.known
+        words_of = [find_words(text) for text in texts]
+        new = {word for words in words_of for word in words if word not in known}
+        if new:
+            self._learn(new)
+        return [b"".join([known[word] for word in words]) for words in words_of]
+
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 32-bit integers."""
-        words, known = find_words(text), self.known
-        try:
-            return b"".join([known[word] for word in words])
-        except KeyError:
-            new = [word for word in dict.fromkeys(words) if word not in known]
-            self.learn(new)
-            if len(known) < len(new) or any(word not in known for word in words):
-                self.learn(list(dict.fromkeys(words)))
-            return b"".join([known[word] for word in words])
+def ids_bytes(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _TOKENIZERS: dict[int, WordTokenizer] = {}
@@ -329,7 +329,7 @@ def _shard_batches(tokenizer, end_id: int) -> Callable[[Iterator], Iterator]:
 
         encoder = tokenizer_of(tokenizer.value)
         bits = max(1, max(encoder.size - 1, end_id).bit_length())
-        end = encoder._bytes([end_id])
+        end = ids_bytes([end_id])
         place = TaskContext.get().partitionId() << 32
         doc_ids, lengths, ids = [], [], []
 
@@ -342,8 +342,8 @@ def _shard_batches(tokenizer, end_id: int) -> Callable[[Iterator], Iterator]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = encoder.encode(text) + end
+                for doc_id, own in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                    own += end
                     if doc_ids and held + len(own) // 4 > SHARD_IDS:
                         yield shard()
                         doc_ids, lengths, ids, held, place = [], [], [], 0, place + 1
