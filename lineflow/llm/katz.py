@@ -44,6 +44,12 @@ BATCH_TOKENS = 3_000_000
 REMEMBERED_WORDS = 500_000
 ROWS_AT_A_TIME = 256
 
+TABLES = {
+    "words": "word long, n long",
+    "pairs": "context long, total long, low array<long>, words array<long>, counts array<long>, bucket int",
+    "contexts": "context long, total long, norm double, weight double",
+}
+
 #: Scoring goes through the texts this often, each time for part of the buckets; more
 #: passes need less disk at a time.
 PASSES = 3
@@ -235,7 +241,12 @@ class Model:
     hot: dict[int, int] = field(default_factory=dict)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+        return read_table(spark, self.path, name)
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A table of a model; one without rows may have no file to take a schema from."""
+    return spark.read.schema(TABLES[name]).parquet(f"{path}/{name}")
 
 
 def _discounted(counts, factors: list[float]):
@@ -277,7 +288,7 @@ def fit(texts: DataFrame, path: str, text: str = "text", bucket_tokens: int = BU
     rows = texts.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     words = rows.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words.write.parquet(f"{path}/words")
-    words = spark.read.parquet(f"{path}/words")
+    words = read_table(spark, path, "words")
     lows = [F.count_if(F.col("n") == r) for r in range(1, DISCOUNTED + 2)]
     found = words.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == END, F.col("n"))), *lows).first()
     n_tokens, n_words, n_texts = found[0] or 0, found[1], found[2] or 0
@@ -292,7 +303,7 @@ def fit(texts: DataFrame, path: str, text: str = "text", bucket_tokens: int = BU
     schema = "bucket int, context long, total long, low array<long>, words array<long>, counts array<long>"
     pairs = pairs.groupBy("bucket").applyInArrow(_merge_pairs, schema)
     pairs.write.partitionBy("bucket").parquet(f"{path}/pairs")
-    pairs = spark.read.parquet(f"{path}/pairs")
+    pairs = read_table(spark, path, "pairs")
     lows = [F.sum(F.element_at("low", r)) for r in range(1, DISCOUNTED + 2)]
     pair_lows = [n or 0 for n in pairs.agg(*lows).first()]
     _release()

@@ -1,0 +1,111 @@
+import math
+from collections import Counter, defaultdict
+
+import pytest
+
+from lineflow.llm import katz
+from lineflow.workspace import scratch_path
+from tests.llm.cases import LOW, ODD_ROWS, WORDS, sentence
+
+
+def tokens(text):
+    return [*WORDS.findall((text or "").translate(LOW)), "</s>"]
+
+
+class Plain:
+    """The same model with dictionaries."""
+
+    def __init__(self, texts):
+        self.words, self.pairs = Counter(), defaultdict(Counter)
+        for text in texts:
+            own = tokens(text)
+            self.words.update(own)
+            for a, b in zip(["<s>", *own], own):
+                self.pairs[a][b] += 1
+        self.n, self.v = sum(self.words.values()), len(self.words)
+        counts = [c for after in self.pairs.values() for c in after.values()]
+        self.word_factors = katz.good_turing([list(self.words.values()).count(r) for r in range(1, 7)])
+        self.pair_factors = katz.good_turing([counts.count(r) for r in range(1, 7)])
+        kept = sum(self.low(c, self.word_factors) for c in self.words.values())
+        norm = self.n if kept < self.n - 1e-9 else self.n + 1
+        self.unigram = {w: self.low(c, self.word_factors) / norm for w, c in self.words.items()}
+        self.unknown = 1 - kept / norm
+        self.norm, self.weight = {}, {}
+        for context, after in self.pairs.items():
+            total = sum(after.values())
+            kept = sum(self.low(c, self.pair_factors) for c in after.values())
+            self.norm[context] = total if kept < total - 1e-9 else total + 1
+            left = 1 - kept / self.norm[context]
+            self.weight[context] = left / (1 - sum(self.unigram[w] for w in after))
+
+    @staticmethod
+    def low(count, factors):
+        return factors[count - 1] * count if count <= 5 else count
+
+    def share(self, context, word):
+        count = self.pairs.get(context, {}).get(word, 0)
+        if count:
+            return self.low(count, self.pair_factors) / self.norm[context]
+        return self.weight.get(context, 1.0) * self.unigram.get(word, self.unknown)
+
+    def score(self, text):
+        own = tokens(text)
+        base = sum(math.log10((self.words[w] + 0.1) / (self.n + 0.1 * (self.v + 1))) for w in own)
+        known = sum(w in self.words for w in own)
+        return len(own), known, base, sum(math.log10(self.share(a, b)) for a, b in zip(["<s>", *own], own))
+
+
+def check(found, plain, texts):
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in found), key=lambda r: str(r[:3]))
+    want = sorted(((doc, *plain.score(text)) for doc, text in texts), key=lambda r: str(r[:3]))
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    for mine, theirs in zip(sorted(got, key=str), sorted(want, key=str)):
+        assert mine[3:] == pytest.approx(theirs[3:], rel=1e-9)
+
+
+@pytest.mark.parametrize("bucket_tokens, hot", [(2_500_000, 0.005), (500, 0.005), (500, 0.00005), (3000, 0.2)])
+def test_table_against_dictionaries(spark, monkeypatch, bucket_tokens, hot):
+    """In one bucket, in many, with hardly any word hot and with many."""
+    monkeypatch.setattr(katz, "HOT_SHARE", hot)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    training = docs.filter("doc_id % 3 != 0")
+    model = katz.fit(training, scratch_path(spark, "katz"), bucket_tokens=bucket_tokens)
+    plain = Plain([t for d, t in texts.items() if d % 3])
+    assert (model.n_tokens, model.n_words) == (plain.n, plain.v)
+    check(katz.score(docs, model).collect(), plain, list(texts.items()))
+
+
+def test_contexts_sum_to_one(spark):
+    plain = Plain([sentence(i, 60) for i in range(20)] + [None, "a b", "a b", "a b"])
+    for context in [*list(plain.pairs)[:40], "never seen"]:
+        whole = sum(plain.share(context, w) for w in plain.words) + plain.share(context, "never seen")
+        assert whole == pytest.approx(1, abs=1e-9)
+
+
+def test_odd_rows(spark, odd):
+    model = katz.fit(odd, scratch_path(spark, "katz"), bucket_tokens=1000)
+    found = katz.score(odd, model)
+    plain = Plain([r[1] for r in ODD_ROWS])
+    check(found.collect(), plain, [r[:2] for r in ODD_ROWS])
+
+
+def test_no_texts(spark, empty, odd):
+    model = katz.fit(empty, scratch_path(spark, "katz"))
+    assert katz.score(empty, model).collect() == []
+    scores = katz.score(odd, model).collect()
+    assert len(scores) == len(ODD_ROWS) and all(r.n_known == 0 and math.isfinite(r.score) for r in scores)
+
+
+def test_repeated_contexts_without_low_counts(spark, docs):
+    rows = [(i, "always the same") for i in range(10)]
+    model = katz.fit(docs(*rows), scratch_path(spark, "katz"))
+    plain = Plain([t for _, t in rows])
+    more = [*rows, (99, "always another"), (100, "the same always the")]
+    check(katz.score(docs(*more), model).collect(), plain, more)
+
+
+def test_factors():
+    factors = katz.good_turing([1000, 400, 200, 120, 80, 60])
+    assert all(0 < f < 1 for f in factors)
+    assert katz.good_turing([0, 0, 0, 0, 0, 0]) == [(r - 0.5) / r for r in range(1, 6)]
