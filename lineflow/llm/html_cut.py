@@ -27,8 +27,8 @@ ROWS_AT_A_TIME = 128
 SAMPLE_PAGES = 400
 SAMPLE_BLOCKS = 40_000
 
-#: Price of different labels for blocks that follow each other, and for blocks of one
-#: parent; halved for every step between their parents in the tree.
+#: Price of different labels for blocks that follow each other, halved for every step
+#: between their parents in the tree, and for elements of one name and parent.
 FOLLOWS = 0.6
 SAME_PARENT = 0.8
 
@@ -69,6 +69,7 @@ class Block:
     text: str
     linked: int
     path: tuple[int, ...]
+    own: str
     inside: bool
     frame: bool
     frame_hint: bool
@@ -112,7 +113,7 @@ def blocks_of(page: str) -> list[Block]:
                 path = tuple(o.number for o in blocky[:-1])
                 found.append(
                     Block(
-                        joined, min(linked, len(joined)), path, top.inside, top.frame, top.frame_hint, top.content_hint,
+                        joined, min(linked, len(joined)), path, own, top.inside, top.frame, top.frame_hint, top.content_hint,
                         any(o.tag in HEADINGS for o in blocky), any(o.tag == "li" for o in blocky) or own == "dd",
                     )
                 )
@@ -206,7 +207,7 @@ def features_of(block: Block, has_content: bool) -> tuple[float, ...]:
         block.linked / len(block.text),
         float(block.text[-1] in ".!?…。！？:\"”»"),
         min(1.0, 5 * len(_STOPS(block.text)) / words),
-        float(block.inside),
+        float(block.inside and not block.frame and not block.frame_hint),
         float(block.frame),
         float(block.frame_hint),
         float(block.content_hint),
@@ -362,10 +363,10 @@ def label_blocks(blocks: Sequence[Block], weights: Sequence[float]) -> list[bool
         excess.append(log(share) - log(1 - share))  # cost of boilerplate less cost of content
         if i:
             edges[i - 1, i] = FOLLOWS * _nearness(blocks[i - 1].path, block.path)
-        sibling = last_of.get(block.path)
+        sibling = last_of.get((block.path, block.own))
         if sibling is not None:
             edges[sibling, i] = edges.get((sibling, i), 0.0) + SAME_PARENT
-        last_of[block.path] = i
+        last_of[block.path, block.own] = i
     return minimum_cut(excess, edges)
 
 

@@ -196,6 +196,6 @@ def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source
 
     Rows without words, and those the last pass does not reach, are left out.
     """
-    order = training_order(curriculum(docs, doc_id, source, text)).withColumnRenamed("doc_id", "__of")
-    joined = docs.join(order, F.col(f"`{doc_id}`") == F.col("__of"))
-    return joined.orderBy("position", "__of", "pass").select(*[docs[f"`{c}`"] for c in docs.columns])
+    order = training_order(curriculum(docs, doc_id, source, text)).toDF("__of", "__pass", "__position")
+    joined = docs.join(order, F.col(f"`{doc_id}`").eqNullSafe(F.col("__of")))
+    return joined.orderBy("__position", "__of", "__pass").select(*[f"`{c}`" for c in docs.columns])
