@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.llm.shipping import ship_package
-from lineflow.llm.words import find_words, id_and_text, lower_ascii
+from lineflow.llm.words import id_and_text, lower_words
 from lineflow.workspace import materialize
 
 #: Stand for the beginning and the end of a text.
@@ -39,9 +39,8 @@ START, END = -1, -2
 DISCOUNTED = 5
 
 HOT_SHARE = 0.005
-BUCKET_TOKENS = 2_500_000
+BUCKET_TOKENS = 1_000_000
 BATCH_TOKENS = 3_000_000
-REMEMBERED_WORDS = 500_000
 ROWS_AT_A_TIME = 256
 
 TABLES = {
@@ -58,31 +57,14 @@ PASSES = 3
 # ---- inside tasks ----------------------------------------------------------
 
 
-class WordHasher:
-    """Texts as arrays of word hashes, with an end."""
+_END_BYTES = END.to_bytes(8, "little", signed=True)
 
-    def __init__(self):
-        self.known: dict[str, bytes] = {}
-        self.end = END.to_bytes(8, "little", signed=True)
 
-    def tokens(self, text: str) -> bytes:
-        import xxhash
+def _tokens(text: str) -> bytes:
+    """The hashes of a text's words, and the end."""
+    import xxhash
 
-        words, known = find_words(lower_ascii(text)), self.known
-        try:
-            hashed = [known[word] for word in words]
-        except KeyError:
-            if len(known) > REMEMBERED_WORDS:
-                known.clear()
-            for word in words:
-                if word not in known:
-                    known[word] = xxhash.xxh3_64_digest(word)
-            hashed = [known[word] for word in words]
-        hashed.append(self.end)
-        return b"".join(hashed)
-
-
-_HASHER = WordHasher()
+    return b"".join([*map(xxhash.xxh3_64_digest, lower_words(text)), _END_BYTES])
 
 
 def _token_batches(batches: Iterator, text: str):
@@ -95,7 +77,7 @@ def _token_batches(batches: Iterator, text: str):
         at = batch.schema.get_field_index(text)
         for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
             part = batch.slice(start, ROWS_AT_A_TIME)
-            own = [_HASHER.tokens(t) for t in part.column(at).to_pylist()]
+            own = [_tokens(t) for t in part.column(at).to_pylist()]
             held.extend(own)
             parts.append(part.drop_columns([text]))
             count += sum(map(len, own)) // 8
@@ -140,7 +122,7 @@ def _pack(key, other, *columns) -> bytes:
     """A block: rows sorted by key, each key held once."""
     import numpy as np
 
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    starts = _starts(key)
     runs = np.diff(np.append(starts, len(key))).astype("<u4")
     sizes = np.array([len(starts), len(key), len(columns)], "<u4").tobytes()
     body = [key[starts].astype("<i8"), runs, other.astype("<i8"), *(c.astype("<u4") for c in columns)]
@@ -164,15 +146,6 @@ def _unpack(block: bytes):
     return np.repeat(keys, runs), other, columns, at
 
 
-def _pair_codes(key, other):
-    """Each pair as one integer that sorts like (key, other), without collisions."""
-    import numpy as np
-
-    keys, key_place = np.unique(key, return_inverse=True)
-    others, other_place = np.unique(other, return_inverse=True)
-    return keys, others, key_place.astype(np.int64) * len(others) + other_place
-
-
 def _blocks(key, other, columns, hot, n_buckets: int, keep=None, tail: Callable | None = None):
     """Arrow batch of (bucket, block) of rows sorted by key; only buckets for which ``keep`` holds."""
     import numpy as np
@@ -193,14 +166,28 @@ def _blocks(key, other, columns, hot, n_buckets: int, keep=None, tail: Callable
     return pa.RecordBatch.from_arrays(arrays, ["bucket", "block"])
 
 
+def _starts(*columns):
+    """Where a row of sorted columns differs from the one before it."""
+    import numpy as np
+
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    new[0] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+    return np.flatnonzero(new)
+
+
 def _summed(key, other, n):
     """Equal pairs added up, sorted."""
     import numpy as np
 
-    keys, others, codes = _pair_codes(key, other)
-    codes, place = np.unique(codes, return_inverse=True)
-    total = np.bincount(place, weights=n, minlength=len(codes)).astype(np.int64)
-    return keys[codes // max(1, len(others))], others[codes % max(1, len(others))], total
+    order = np.lexsort((other, key))
+    key, other = key[order], other[order]
+    starts = _starts(key, other)
+    total = np.add.reduceat(n[order].astype(np.int64), starts) if len(starts) else np.empty(0, np.int64)
+    return key[starts], other[starts], total
 
 
 # ---- discounts -------------------------------------------------------------
@@ -337,7 +324,7 @@ def _pair_blocks(hot: list[int], n_buckets: int) -> Callable[[Iterator], Iterato
 
         hot_words = np.array(hot, np.int64)
         for _, tokens, ends in _token_batches(batches, "text"):
-            context, word, n = _summed(_contexts(tokens, ends), tokens, np.ones(len(tokens)))
+            context, word, n = _summed(_contexts(tokens, ends), tokens, np.ones(len(tokens), np.int64))
             yield _blocks(context, word, [n], hot_words, n_buckets)
 
     return blocks
@@ -359,7 +346,7 @@ def _merge_pairs(key, table):
     import pyarrow as pa
 
     context, word, n = _summed(*_all_pairs(table.column("block")))
-    starts = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    starts = _starts(context)
     offsets = pa.array(np.append(starts, len(context)), pa.int32())
     low = np.zeros((len(starts), DISCOUNTED + 1), np.int64)
     place = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(context))))
@@ -535,7 +522,7 @@ def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterato
             context = _contexts(tokens, ends)
             mine = _bucket_of(context, tokens, hot_words, n_buckets) % passes == number
             context, word, doc = context[mine], tokens[mine], doc[mine]
-            order = np.lexsort((doc, word, context))
+            order = np.lexsort((word, context))  # stable: documents stay in order
             context, word, doc = context[order], word[order], doc[order]
 
             def with_keys(context, word, columns):

@@ -5,12 +5,15 @@ set are its sketch.  Documents that share retained values meet in the inverted l
 of these values, the bottom-k of the union of two sketches estimates how similar
 they are, and the full sets decide.
 
-Two things keep lists short without losing a link.  Of a sketch only the rarest
+Three things keep this short without losing a link.  Of a sketch only the rarest
 values are listed: similar documents share so many values that the rest alone cannot
-hold all of them.  And within a list, documents are first compared with the list's
-leader only; whatever that connects need not be compared again, so a group of copies
-takes as many comparisons as it has members.  Only members of different components
-are then compared with each other.
+hold all of them.  Within a list, documents are first compared with the list's leader
+only; whatever that connects need not be compared again, so a group of copies takes as
+many comparisons as it has members.  What is left are members of different components
+that share a list.  Where these are few they are paired; where they are many, as in a
+group of documents that are all just too different, they are compared in blocks, a
+product of two small matrices that gives the sizes of all intersections, and only
+links leave a block.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lineflow.llm.components import components
 from lineflow.llm.shipping import ship_package
-from lineflow.llm.words import find_words, id_and_text, lower_ascii
+from lineflow.llm.words import id_and_text, lower_words
 from lineflow.workspace import materialize
 
 SKETCH = 32
@@ -32,8 +35,12 @@ SKETCH = 32
 #: The chance that the sketches of a pair at the threshold share too few values.
 RISK = 1e-9
 
+#: Documents on either side of a block, and comparisons under one leader beyond which
+#: blocks are made.
+BLOCK = 256
+BLOCK_COMPARISONS = 2_000
+
 ROWS_AT_A_TIME = 256
-REMEMBERED_WORDS = 500_000
 
 
 def least_overlap(size: int, percent: int, risk: float = RISK) -> int:
@@ -50,33 +57,21 @@ def least_overlap(size: int, percent: int, risk: float = RISK) -> int:
     return max(1, size)
 
 
-class Shingler:
-    """Sets of hashed word shingles."""
-
-    def __init__(self, words: int):
-        self.words = words
-        self.known: dict[str, bytes] = {}
+def shingle_hashes(text: str, width: int):
+    """Sorted, different 64-bit hashes of a text's shingles; a short text has one."""
+    import numpy as np
+    import xxhash
 
-    def hashes(self, text: str):
-        """Sorted, different 64-bit hashes of a text's shingles; a short text has one."""
-        import numpy as np
-        import xxhash
-
-        words, known = find_words(lower_ascii(text)), self.known
-        if not words:
-            return np.empty(0, np.int64)
-        if len(known) > REMEMBERED_WORDS:
-            known.clear()
-        for word in words:
-            if word not in known:
-                known[word] = xxhash.xxh3_64_digest(word)
-        hashed = np.frombuffer(b"".join([known[word] for word in words]), "<u8")
-        width = min(self.words, len(words))
-        count = len(words) - width + 1
-        joined = np.full(count, width, np.uint64)
-        for place in range(width):
-            joined = _mixed(joined + hashed[place : place + count])
-        return np.unique(joined.view(np.int64))
+    words = lower_words(text)
+    if not words:
+        return np.empty(0, np.int64)
+    hashed = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), "<u8")
+    width = min(width, len(words))
+    count = len(words) - width + 1
+    joined = np.full(count, width, np.uint64)
+    for place in range(width):
+        joined = _mixed(joined + hashed[place : place + count])
+    return np.unique(joined.view(np.int64))
 
 
 def _mixed(values):
@@ -88,23 +83,14 @@ def _mixed(values):
     return values ^ (values >> np.uint64(31))
 
 
-_SHINGLERS: dict[int, Shingler] = {}
-
-
-def shingler_of(words: int) -> Shingler:
-    """One for each width and worker."""
-    return _SHINGLERS.setdefault(words, Shingler(words))
-
-
 def _sketch_batches(words: int, size: int) -> Callable[[Iterator], Iterator]:
     def sketch(batches):
         import pyarrow as pa
 
-        shingler = shingler_of(words)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                sets = [shingler.hashes(text) for text in part.column(1).to_pylist()]
+                sets = [shingle_hashes(text, words) for text in part.column(1).to_pylist()]
                 columns = [
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
@@ -120,11 +106,10 @@ def _set_batches(words: int) -> Callable[[Iterator], Iterator]:
     def full_sets(batches):
         import pyarrow as pa
 
-        shingler = shingler_of(words)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                sets = [shingler.hashes(text) for text in part.column(1).to_pylist()]
+                sets = [shingle_hashes(text, words) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"]
                 )
@@ -169,12 +154,14 @@ def near_components(
     needed = rows.join(members, rows["doc_id"] == members["node"], "left_semi")
     sets = materialize(needed.mapInArrow(_set_batches(words), f"doc_id {kind}, shingles array<long>"), "sets")
 
-    led = lists.join(lists.groupBy("value").agg(F.min("node").alias("leader")), "value")
-    led = led.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    leaders = lists.groupBy("value").agg(F.min("node").alias("leader"))
+    lists = materialize(lists.join(leaders, "value"), "led-lists")
+    led = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = materialize(_confirmed(led, classes, sets, percent, size), "led-links")
-    first = components(links)
-    apart = _across_components(lists, first, percent)
-    links = links.unionByName(_confirmed(apart, classes, sets, percent, size))
+    mixed = _mixed_lists(lists, components(links))
+    few = _confirmed(_paired(mixed.filter("NOT many"), percent), classes, sets, percent, size)
+    many = _compared_in_blocks(mixed.filter("many"), sets, percent)
+    links = links.unionByName(few).unionByName(many)
 
     # Rows that repeat an id have several classes; the id itself links them.
     same_id = filled.join(classes, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
@@ -204,30 +191,115 @@ def _inverted_lists(classes: DataFrame, percent: int, size: int) -> DataFrame:
     )
 
 
-def _across_components(lists: DataFrame, first: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a list and are in different components: (a, b).
+def _mixed_lists(lists: DataFrame, first: DataFrame) -> DataFrame:
+    """The lists that more than one component shares: value, leader, node, n, component, main, many.
 
-    In each list one component, the largest, is the main one.  The others' members
-    are compared with all members of other components, so a list that one group
-    fills costs no more than its few other members times its length.
+    Under each leader the component with the most members is the ``main`` one; the
+    other members are compared with all.  ``many`` is true where that is more than
+    BLOCK_COMPARISONS.  Lists of one leader hold much the same documents.
     """
     labelled = lists.join(first, "node", "left").select(
-        "value", "node", "n", F.coalesce("component", "node").alias("component")
+        "value", "leader", "node", "n", F.coalesce("component", "node").alias("component")
     )
     labelled = materialize(labelled, "labelled")
-    per_component = labelled.groupBy("value", "component").agg(F.count("*").alias("members"))
-    main = per_component.groupBy("value").agg(
-        F.max_by("component", F.struct("members", "component")).alias("main"), F.count("*").alias("n_components")
+    ends = labelled.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = labelled.join(ends.filter("low != high").select("value"), "value")
+    parts = mixed.groupBy("leader", "component").agg(F.count_distinct("node").alias("members"))
+    of_leader = parts.groupBy("leader").agg(
+        F.max_by("component", F.struct("members", "component")).alias("main"),
+        (F.sum("members") * (F.sum("members") - F.max("members")) > BLOCK_COMPARISONS).alias("many"),
+    )
+    return materialize(mixed.join(of_leader, "leader"), "mixed")
+
+
+def _paired(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list."""
+    minor = mixed.filter("component != main").select(
+        "value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a")
+    )
+    other = mixed.select(
+        "value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"), "main"
     )
-    mixed = labelled.join(main.filter("n_components > 1"), "value")
-    minor = mixed.filter("component != main").select("value", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("of_a"))
-    other = mixed.select("value", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("of_b"), "main")
     once = (F.col("of_b") == F.col("main")) | (F.col("a") < F.col("b"))
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = minor.join(other, "value").filter((F.col("of_a") != F.col("of_b")) & once & close)
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _compared_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components under one leader.
+
+    The minor members and all members of a leader are dealt into blocks of about
+    BLOCK documents by a hash, and every minor block meets every block, a task of
+    bounded size each.
+    """
+    members = mixed.select("leader", "node", "component", "main").distinct()
+    counts = members.groupBy("leader").agg(
+        F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("minor_blocks"),
+        F.ceil(F.count("*") / BLOCK).alias("blocks"),
+    )
+    dealt = members.join(counts, "leader").withColumn("place", F.xxhash64("node"))
+    shape = ["leader", "node", "component"]
+    minor = dealt.filter("component != main").select(
+        *shape,
+        F.lit(True).alias("minor"),
+        F.pmod("place", "minor_blocks").alias("row"),
+        F.explode(F.expr("sequence(0L, blocks - 1)")).alias("column"),
+    )
+    other = dealt.select(
+        *shape,
+        F.lit(False).alias("minor"),
+        F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("row"),
+        F.pmod("place", "blocks").alias("column"),
+    )
+    rows = minor.unionByName(other).join(sets.withColumnRenamed("doc_id", "node"), "node")
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    grouped = rows.groupBy("leader", "row", "column")
+    return grouped.applyInArrow(_block_links(percent), f"a {kind}, b {kind}").distinct()
+
+
+def _block_links(percent: int) -> Callable:
+    def links(table):
+        import numpy as np
+        import pyarrow as pa
+
+        minor = table.column("minor").to_numpy()
+        nodes, parts = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sets = [np.asarray(s.values) for s in table.column("shingles")]
+        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        found = []
+        if len(left) and len(right):
+            common = np.intersect1d(
+                np.unique(np.concatenate([sets[i] for i in left])), np.unique(np.concatenate([sets[i] for i in right]))
+            )
+            inside = np.zeros((len(left), len(right)), np.float32)
+            for start in range(0, len(common), 8192):
+                values = common[start : start + 8192]
+                inside += _indicator(sets, left, values) @ _indicator(sets, right, values).T
+            sizes = np.array([len(s) for s in sets], np.int64)
+            inside = inside.astype(np.int64)
+            all_of = sizes[left][:, None] + sizes[right][None, :] - inside
+            linked = (100 * inside >= percent * all_of) & (parts[left][:, None] != parts[right][None, :])
+            found = [(nodes[left[i]], nodes[right[j]]) for i, j in zip(*np.nonzero(linked))]
+        low, high = [min(p) for p in found], [max(p) for p in found]
+        kind = table.schema.field("node").type
+        return pa.table({"a": pa.array(low, kind), "b": pa.array(high, kind)})
+
+    return links
+
+
+def _indicator(sets: list, chosen, values):
+    """Row i has a one where set i holds the value of the column; values are sorted."""
+    import numpy as np
+
+    matrix = np.zeros((len(chosen), len(values)), np.float32)
+    for row, i in enumerate(chosen):
+        at = np.searchsorted(values, sets[i])
+        at[at == len(values)] = 0
+        matrix[row, at[values[at] == sets[i]]] = 1
+    return matrix
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 

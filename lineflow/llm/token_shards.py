@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm.shipping import ship_package
-from lineflow.llm.words import find_words, id_and_text, lower_ascii
+from lineflow.llm.words import id_and_text, lower_words
 
 MAGIC = b"WAVM"
 BLOCK_BYTES = 1 << 16  # of a plane; each block is compressed by itself
@@ -32,7 +32,7 @@ SHARD_CHARS = 16_000_000
 SHARD_IDS = 1 << 23
 
 #: Words whose ids a worker remembers at least, and at most about twice as many.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 500_000
 ROWS_AT_A_TIME = 256
 
 
@@ -222,51 +222,48 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.sign = dict(zip(".,", self._encoded([".", ","])))
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.sign = dict(zip((b".", b","), self._encoded([".", ","])))
 
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        stems, new = {}, set()
+    def _learn(self, words: set[bytes]) -> None:
+        known, older, sign = self.known, self.older, self.sign
+        signed, new = [], set()
         for word in words:
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
-                continue
-            stem, last = word[:-1], word[-1]
-            if last in self.sign and stem and stem[-1].isalpha() and stem[-1].isascii():
-                stem = lower_ascii(stem)
-                stems[word] = (stem, self.sign[last])
+            elif word[-1:] in sign and word[-2:-1].isalpha():
+                signed.append(word)
+                stem = word[:-1]
+                if stem not in known:
+                    ids = older.get(stem)
+                    if ids is None:
+                        new.add(stem)
+                    else:
+                        known[stem] = ids
             else:
-                stem = lower_ascii(word)
-                stems[word] = (stem, b"")
-            if stem not in known:
-                ids = older.get(stem)
-                if ids is None:
-                    new.add(stem)
-                else:
-                    known[stem] = ids
+                new.add(word)
         unread = []
-        model = self.tokenizer.model
+        tokenize = self.tokenizer.model.tokenize
         for stem in new:
-            if stem.isascii() and stem.isalpha():  # a single piece, in the model's own letters
-                known[stem] = ids_bytes([token.id for token in model.tokenize(stem)])
+            if stem.isalpha():  # ASCII letters: a single piece, in the model's own alphabet
+                known[stem] = ids_bytes([token.id for token in tokenize(stem.decode())])
             else:
                 unread.append(stem)
-        known.update(zip(unread, self._encoded(unread)))
-        for word, (stem, sign) in stems.items():
-            known[word] = known[stem] + sign
+        known.update(zip(unread, self._encoded([stem.decode() for stem in unread])))
+        for word in signed:
+            known[word] = known[word[:-1]] + sign[word[-1:]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts as little-endian 32-bit integers."""
         if len(self.known) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
         known = self.known
-        words_of = [find_words(text) for text in texts]
+        words_of = [lower_words(text) for text in texts]
         new = {word for words in words_of for word in words if word not in known}
         if new:
             self._learn(new)

@@ -16,13 +16,14 @@ find_words = re.compile(WORD).findall
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-#: For ``str.translate``: lower-case A-Z only.
-LOWER_ASCII = str.maketrans(UPPER, LOWER)
-
-
 def lower_ascii(text: str) -> str:
     """``text`` with A-Z, and nothing else, in lower case."""
-    return text.lower() if text.isascii() else text.translate(LOWER_ASCII)
+    return text.lower() if text.isascii() else text.encode().lower().decode()
+
+
+def lower_words(text: str) -> list[bytes]:
+    """The words of the lower-cased text in UTF-8; bytes are split at just this white space."""
+    return text.encode().lower().split()
 
 
 def lower_ascii_column(text: Column) -> Column:

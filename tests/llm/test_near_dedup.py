@@ -34,8 +34,13 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("seed, width, percent", [(1, 3, 85), (2, 5, 80), (3, 1, 60)])
-def test_components_against_all_pairs(docs, seed, width, percent):
+@pytest.mark.parametrize(
+    "seed, width, percent, block, many", [(1, 3, 85, 256, 2000), (2, 5, 80, 256, 0), (3, 1, 60, 7, 0), (4, 3, 85, 5, 100)]
+)
+def test_components_against_all_pairs(docs, monkeypatch, seed, width, percent, block, many):
+    """Comparing in pairs, in one block, and in many small ones."""
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BLOCK_COMPARISONS", many)
     rows = corpus(seed)
     found = nd.near_components(docs(*rows), words=width, percent=percent).collect()
     wanted = plain_components(rows, width, percent)
