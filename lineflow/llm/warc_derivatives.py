@@ -1,6 +1,7 @@
 """WARC derivatives: metadata and plain-text conversion records of responses.
 
-Records are rows: the header fields as an ordered list, the content block as bytes.
+Records are rows: ``head``, the lines of the header fields without Content-Length, and
+``block``, the content as bytes.
 Files are written by Spark's text writer, which ends every row with a separator: with
 the two line ends that close a record as separator, a file of rows is a WARC file, and
 gzip is the writer's option.  Files are read by the text source, cut where a record
@@ -18,7 +19,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineflow.llm.shipping import ship_package
@@ -35,7 +36,7 @@ RESPONSES = uuid.UUID("6d1f3c8e-6a0b-5d0c-9d5a-0e5b1a6f7c01")
 #: The date of responses that bring none.
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
-RECORD = "fields array<struct<name:string,value:string>>, block binary, truncated boolean"
+RECORD = "head string, block binary, truncated boolean"
 
 #: Fixed: header fields that derived records take over from their response.
 INHERITED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "X-Source-Id")
@@ -69,13 +70,26 @@ def plain_text(page: str) -> str:
     return "\n".join(line for line in joined if line)
 
 
-def _rows(found: list, schema: str = RECORD):
+def _rows(found: list):
     import pyarrow as pa
 
-    pair = pa.struct([("name", pa.string()), ("value", pa.string())])
-    fields = pa.array([[{"name": n, "value": v} for n, v in f] for f, _, _ in found], pa.list_(pair))
-    arrays = [fields, pa.array([b for _, b, _ in found], pa.binary()), pa.array([t for _, _, t in found], pa.bool_())]
-    return pa.RecordBatch.from_arrays(arrays, ["fields", "block", "truncated"])
+    arrays = [
+        pa.array([h for h, _, _ in found], pa.string()),
+        pa.array([b for _, b, _ in found], pa.binary()),
+        pa.array([t for _, _, t in found], pa.bool_()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["head", "block", "truncated"])
+
+
+def head_of(fields: list[tuple[str, str]]) -> str:
+    """The lines of header fields."""
+    return LINE.join(f"{name}: {value}" for name, value in fields)
+
+
+def fields_of(head: str) -> list[tuple[str, str]]:
+    """The names and values of header lines, in order; lines without a colon are left out."""
+    parts = (line.partition(":") for line in head.split(LINE))
+    return [(name, value.strip()) for name, colon, value in parts if colon]
 
 
 # ---- responses -------------------------------------------------------------
@@ -118,7 +132,7 @@ def response(page_id: str | None, url: str | None, page: str) -> tuple:
         ("Content-Type", "application/http; msgtype=response"),
         ("X-Source-Id", page_id or ""),
     ]
-    return fields, block, False
+    return head_of(fields), block, False
 
 
 # ---- files -----------------------------------------------------------------
@@ -130,14 +144,13 @@ def write_warc(records: DataFrame, path: str) -> None:
     Content-Length is written from the block.  A row's bytes are the record; no
     record is split, and an empty table writes no record.
     """
-    head = F.concat_ws(LINE, F.lit(VERSION), F.transform("fields", lambda f: F.concat_ws(": ", f["name"], f["value"])))
     length = F.concat(F.lit(f"{LINE}Content-Length: "), F.octet_length("block").cast("string"), F.lit(RECORD_END))
-    value = F.concat(F.concat(head, length).cast("binary"), F.col("block")).cast("string")
+    value = F.concat(F.concat(F.lit(f"{VERSION}{LINE}"), "head", length).cast("binary"), F.col("block")).cast("string")
     records.select(value.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of gzipped WARC files: fields (without Content-Length), block, truncated.
+    """The records of gzipped WARC files: head (without Content-Length), block, truncated.
 
     A record whose block ends before its Content-Length is given as far as it goes and
     marked.  Gzipped files are read by one task each, from the start, so their size
@@ -153,8 +166,8 @@ def _record_batches(batches: Iterator) -> Iterator:
     found, held, file, size = [], None, None, 0
 
     def done(truncated: bool):
-        fields, block, length = held
-        found.append((fields, block[:length], truncated))
+        head, block, length = held
+        found.append((head, block[:length], truncated))
 
     between = f"{RECORD_END}{VERSION}{LINE}".encode()
     for batch in batches:
@@ -177,18 +190,15 @@ def _record_batches(batches: Iterator) -> Iterator:
 
 
 def _parsed(piece: bytes) -> tuple:
-    """Fields, what follows them, and how long the block is said to be."""
+    """Header lines, what follows them, and how long the block is said to be."""
     head, _, block = piece.removeprefix(f"{VERSION}{LINE}".encode()).partition(b"\r\n\r\n")
-    fields, length = [], len(block)
+    lines, length = [], len(block)
     for line in head.decode("utf-8", "replace").split(LINE):
-        name, colon, value = line.partition(":")
-        if not colon:
-            continue
-        if name.lower() == "content-length":
-            length = int(value)
+        if line[:15].lower() == "content-length:":
+            length = int(line[15:])
         else:
-            fields.append((name, value.strip()))
-    return fields, block, length
+            lines.append(line)
+    return LINE.join(lines), block, length
 
 
 # ---- derivatives -----------------------------------------------------------
@@ -211,8 +221,8 @@ def derive(records: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
                 found = []
-                for fields, block, truncated in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    found.extend(derivatives([(f["name"], f["value"]) for f in fields], block, truncated))
+                for head, block, truncated in zip(*(part.column(i).to_pylist() for i in range(3))):
+                    found.extend(derivatives(fields_of(head), block, truncated))
                 yield _rows(found)
 
     return records.mapInArrow(derived, RECORD)
@@ -250,7 +260,7 @@ def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) ->
     source = known.get("WARC-Record-ID", "")
     return [
         (
-            [
+            head_of([
                 ("WARC-Type", name),
                 ("WARC-Record-ID", record_id(f"{source}\n{name}")),
                 ("WARC-Refers-To", source),
@@ -258,7 +268,7 @@ def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) ->
                 ("WARC-Source-Payload-Digest", digest),
                 ("WARC-Block-Digest", sha1_of(content)),
                 ("Content-Type", kind_of),
-            ],
+            ]),
             content,
             False,
         )
@@ -275,16 +285,18 @@ def _decoded(payload: bytes, charset: str) -> str:
 
 def record_digests(records: DataFrame) -> DataFrame:
     """Of each record its type, ids, target, digests and block, in plain columns."""
-    fields = F.map_from_entries(F.transform("fields", lambda f: F.struct(f["name"], f["value"])))
-    named = records.withColumn("f", fields)
-    return named.select(
-        F.nullif(F.col("f")["X-Source-Id"], F.lit("")).cast("long").alias("page_id"),
-        F.col("f")["WARC-Type"].alias("record_type"),
-        F.col("f")["WARC-Record-ID"].alias("record_id"),
-        F.col("f")["WARC-Refers-To"].alias("refers_to"),
-        F.col("f")["WARC-Target-URI"].alias("target_uri"),
-        F.col("f")["WARC-Source-Payload-Digest"].alias("payload_digest"),
-        F.col("f")["WARC-Block-Digest"].alias("block_digest"),
+
+    def field(name: str) -> Column:
+        return F.nullif(F.regexp_extract("head", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
+
+    return records.select(
+        field("X-Source-Id").cast("long").alias("page_id"),
+        field("WARC-Type").alias("record_type"),
+        field("WARC-Record-ID").alias("record_id"),
+        field("WARC-Refers-To").alias("refers_to"),
+        field("WARC-Target-URI").alias("target_uri"),
+        field("WARC-Source-Payload-Digest").alias("payload_digest"),
+        field("WARC-Block-Digest").alias("block_digest"),
         F.octet_length("block").cast("long").alias("n_bytes"),
         F.sha2("block", 256).alias("block_sha256"),
         "truncated",

@@ -23,11 +23,11 @@ PAGES = [
 @pytest.fixture(scope="module")
 def pages(spark):
     table = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    return table.withColumn("fields", F.lit("clash")).withColumn("block", F.lit("clash"))
+    return table.withColumn("head", F.lit("clash")).withColumn("block", F.lit("clash"))
 
 
 def plain(record):
-    return [(f["name"], f["value"]) for f in record.fields], bytes(record.block), record.truncated
+    return wd.fields_of(record.head), bytes(record.block), record.truncated
 
 
 def all_of(df):
