@@ -72,6 +72,10 @@ ORDER_TEXT = "o_orderpriority || ' ' || o_orderstatus"
 # Texts differ only in case for half of the keys.
 CASED_TYPE = "CASE WHEN p_partkey % 2 = 1 THEN lower(p_type) ELSE p_type END"
 
+COMPARED_TYPE = "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END"
+
+LISTED_WORD = "p_name || ', \"' || p_type || '\" ' || cast(p_partkey AS string)"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -173,7 +177,7 @@ def ci_compare_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.select(
         "p_partkey",
         lf.ordinal_ci_compare(punctuated, cased).alias("compared"),
-        lf.ordinal_ci_equal(cased, "p_type").alias("same"),
+        lf.ordinal_ci_equal(cased, F.expr(COMPARED_TYPE)).alias("same"),
     )
 
 
@@ -237,24 +241,27 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lf.run_stats(_chunks(spark, sf_dir), "lang", "chunk_id")
+    """Lengths are all that is kept of the lines."""
+    lengths = _document_lines(spark, sf_dir).select("lang", "doc_id", "pos", lf.utf16_length("text").alias("chars"))
+    chunks = lf.assign_chunks(lengths, MAX_CHARS, ["lang"], ["doc_id", "pos"], chars="chars")
+    return lf.run_stats(chunks, "lang", "chunk_id", chars="chars")
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = lf.run_stats(_chunks(spark, sf_dir), "lang", "chunk_id")
+    runs = chunk_stats(spark, sf_dir)
     return runs.groupBy("lang").agg(F.count("*").alias("runs"))
 
 
 def chunk_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = _chunks(spark, sf_dir).select("lang", "chunk_id", "num", "text")
-    return lf.group_positions(chunks, "lang", "chunk_id")
+    return lf.group_positions(chunks, "lang", "chunk_id", bounded=True)
 
 
 def group_merge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = _chunks(spark, sf_dir).select(
         "lang", F.expr(f"chunk_id div {DEGREE}").alias("group_id"), "num", "text"
     )
-    return lf.group_positions(grouped, "lang", "group_id")
+    return lf.group_positions(grouped, "lang", "group_id", bounded=True)
 
 
 def take_bytes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,13 +278,18 @@ def part_stats_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files -----------------------------------------------------------------
 
 
+def _lines_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a sorted text with their place in it."""
+    lines = lf.read_lines(spark, path, with_origin=True)
+    return lf.with_positions(lines, "part", "block", "seq").select("position", "value")
+
+
 def sorted_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write lines, sort the file, read it back; positions follow the file order."""
     source, target = lf.scratch_path(spark, "lines"), lf.scratch_path(spark, "sorted")
     lf.write_text(_mixed(spark, sf_dir).select("value"), source)
     lf.sort_file(spark, source, target)
-    lines = lf.read_lines(spark, target, with_origin=True)
-    return lf.with_positions(lines, "source", "block", "seq").select("position", "value")
+    return _lines_in_order(spark, target)
 
 
 def runs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,16 +299,16 @@ def runs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lf.write_sorted_runs(spark, source, runs)
     lf.merge_in_groups(spark, runs, groups, DEGREE)
     lf.merge_runs(spark, groups, target)
-    lines = lf.read_lines(spark, target, with_origin=True)
-    return lf.with_positions(lines, "source", "block", "seq").select("position", "value")
+    return _lines_in_order(spark, target)
 
 
 def text_runs_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text runs keep malformed lines; their key is empty and sorts first."""
-    runs = lf.scratch_path(spark, "text-runs")
-    lf.write_text(_mixed(spark, sf_dir).select("value"), runs)
-    keyed = lf.read_runs(spark, runs, "text").select("value", "num", "text")
-    return lf.with_positions(keyed, *lf.line_order(), "value")
+    runs, target = lf.scratch_path(spark, "text-runs"), lf.scratch_path(spark, "merged-text")
+    sorted_runs = lf.sort_partitions(lf.parse_keys(_mixed(spark, sf_dir)).repartition(4), *lf.line_order(), "value")
+    lf.write_text(sorted_runs.select("value"), runs)
+    lf.merge_runs(spark, runs, target, format="text")
+    return lf.parse_keys(_lines_in_order(spark, target))
 
 
 def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,13 +319,35 @@ def parts_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.part_stats(lf.parse_lines(lf.read_parts(spark, parts + "/part_id={0}", PARTS)))
 
 
+def parts_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sorted lines dealt out to parts and read back in the order of parts and lines."""
+    parts = lf.scratch_path(spark, "ordered-parts")
+    placed = sorted_positions_part(spark, sf_dir).withColumn("part_id", (F.col("position") % PARTS).cast("int"))
+    ordered = placed.repartitionByRange("part_id", "position").sortWithinPartitions("part_id", "position")
+    lf.write_parts(ordered.select("part_id", "num", "text"), parts)
+    lines = lf.read_parts(spark, parts + "/part_id={0}", PARTS, with_origin=True)
+    return lf.with_positions(lines, "part_id", "part", "block", "seq").select("position", "part_id", "value")
+
+
+def utf16_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written in UTF-16 and read again."""
+    path = lf.scratch_path(spark, "utf16")
+    lines = _document_lines(spark, sf_dir)
+    lines = lf.render_lines(lines.select("num", "text"))
+    encoded = lines.select(F.encode(F.concat("value", F.lit("\r")), "UTF-16LE").cast("string").alias("value"))
+    encoded.write.option("encoding", "UTF-16LE").text(path, lineSep="\n")
+    return lf.parse_lines(lf.read_lines(spark, path, encoding="UTF-16LE"))
+
+
 def stream_runs_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files arrive as a stream, each batch leaves sorted runs, runs are merged."""
     arriving, runs, checkpoint = (lf.scratch_path(spark, n) for n in ("arriving", "stream-runs", "stream"))
     lf.write_text(_part_lines(spark, sf_dir).repartition(4), arriving)
     records = lf.stream_lines(spark, arriving, max_files=2)
     lf.stream_runs(records, runs, checkpoint).awaitTermination()
-    return lf.line_positions(lf.read_stream_runs(spark, runs).select("num", "text"))
+    target = lf.scratch_path(spark, "compacted")
+    lf.compact_runs(spark, runs, target)
+    return lf.parse_lines(_lines_in_order(spark, target))
 
 
 # ---- words and generated lines ---------------------------------------------
@@ -324,17 +358,27 @@ def word_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("p_partkey", F.posexplode("words").alias("seq", "word"))
 
 
+def word_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list of words, written to one file and read from it."""
+    path = lf.scratch_path(spark, "word-file")
+    word = F.replace(F.expr(LISTED_WORD), F.lit('"'), F.lit('\\"'))
+    entries = _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('"'), word, F.lit('",')).alias("value"))
+    ends = spark.createDataFrame([(-1, "["), (2**62, "null]")], "p_partkey long, value string")
+    lf.write_text(entries.unionByName(ends).coalesce(1).sortWithinPartitions("p_partkey").select("value"), path)
+    return lf.read_words(spark, path).filter("word IS NOT NULL")
+
+
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.size(lf.word_array(F.expr(WORD_DOCUMENT)))
     return _read(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum(size.cast("bigint")).alias("words"))
 
 
-def _generated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
-    """Lines made of part names, as many bytes as the orders have lines' worth."""
+def _generated(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lines made of part names, as many bytes as the orders have lines' worth; and the words."""
     words = _read(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("word")).distinct()
     size = _orders(spark, sf_dir).agg(F.sum(lf.line_bytes("num", "text"))).first()[0]
     options = lf.GeneratorOptions(size, 8, 4, 15, 1_000_000, seed=42)
-    return lf.generate_lines(spark, words, options), words, size // 8
+    return lf.generate_lines(spark, words, options), words
 
 
 def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -342,20 +386,18 @@ def generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generated_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What must hold for each worker's lines."""
-    lines, words, share = _generated(spark, sf_dir)
-    size = lf.line_bytes("num", "text")
-    known = words.select(F.col("word").alias("text"), F.lit(True).alias("known"))
+    """Of each worker's lines: how many, how large, and how many repeat a word of the small pool."""
+    lines, words = _generated(spark, sf_dir)
+    pool = lf.word_pool(spark, words, seed=42)
+    few = pool.table.filter(F.col("word_id") < pool.repeated).select(F.col("word").alias("text"), F.lit(1).alias("few"))
     return (
-        lines.join(known, "text", "left")
-        .groupBy("worker")
+        lines.join(few, "text", "left")
+        .groupBy("worker", "part_id")
         .agg(
-            (F.sum(size) >= share).alias("share_reached"),
-            (F.sum(size) - F.max_by(size, "seq") < share).alias("stops_there"),
-            (F.count("*") == F.max("seq") + 1).alias("no_gaps"),
-            ((F.min("num") >= 1) & (F.max("num") <= 1_000_000)).alias("numbers_in_range"),
-            (F.count("known") == F.count("*")).alias("words_known"),
-            F.every(F.col("part_id") == F.col("worker") % 4).alias("parts_in_turn"),
+            F.count("*").alias("lines"),
+            F.sum(lf.line_bytes("num", "text")).alias("bytes"),
+            F.count("few").alias("of_small_pool"),
+            F.sum(F.col("num").cast("bigint")).alias("nums"),
         )
     )
 
@@ -395,8 +437,11 @@ _QUERIES = (
     runs_round_trip,
     text_runs_merge,
     parts_round_trip,
+    parts_in_order,
+    utf16_lines,
     stream_runs_then_merge,
     word_lists,
+    word_file,
     word_counts,
     generated_lines,
     generated_properties,
@@ -413,10 +458,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """The same results in SQL for DuckDB.
-
-    ``generated_lines`` has none: the draws are hashes SQL does not offer.
-    """
+    """The same results in SQL for DuckDB."""
     lower, upper = lf.case_table()
 
     def fold(text: str) -> str:
@@ -474,6 +516,32 @@ def oracle_sql() -> dict[str, str]:
         UNION ALL SELECT c_nationkey, lower(c_mktsegment) FROM customer"""
     left, right = fold(PUNCTUATED), fold(CASED_TYPE)
     value = "cast(num AS VARCHAR) || '. ' || text AS value"
+
+    def draw(first: int, digits: int, row: str) -> str:
+        return f"cast('0x' || substr(md5({row}), {first}, {digits}) AS BIGINT)"
+
+    slot = "'42:' || cast(worker AS VARCHAR) || ':' || cast(seq AS VARCHAR)"
+    # Generated lines are longer than those of orders, so there are slots enough.
+    generated = f"""WITH words AS (SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS word FROM part),
+        pool AS (SELECT word, row_number() OVER (ORDER BY {draw(1, 15, "'42:' || word")}, word) - 1 AS word_id FROM words),
+        counted AS (SELECT count(*) AS n, greatest(1, count(*) // 4) AS few FROM words),
+        target AS (SELECT cast(sum({size}) AS BIGINT) AS bytes_of FROM ({orders})),
+        slots AS (SELECT cast(w.range AS INTEGER) AS worker, o.seq
+            FROM range(8) w, (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS seq FROM orders) o
+            WHERE o.seq < (SELECT count(*) // 8 FROM orders)),
+        drawn AS (SELECT worker, seq, cast({draw(1, 11, slot)} % 1000000 + 1 AS INTEGER) AS num,
+            {draw(18, 15, slot)} % CASE WHEN {draw(12, 6, slot)} % 100 < 15 THEN few ELSE n END AS word_id
+            FROM slots, counted),
+        lines AS (SELECT worker, seq, num, word AS text, {size.replace("text", "word")} AS bytes
+            FROM drawn JOIN pool USING (word_id)),
+        placed AS (SELECT *, sum(bytes) OVER (PARTITION BY worker ORDER BY seq ROWS UNBOUNDED PRECEDING) - bytes AS before
+            FROM lines)
+        SELECT worker, cast(worker % 4 AS INTEGER) AS part_id, seq, num, text FROM placed, target
+        WHERE before < bytes_of // 8 + CASE WHEN worker < bytes_of % 8 THEN 1 ELSE 0 END"""
+    few_words = f"""SELECT word AS text, 1 AS few FROM (SELECT word, count(*) OVER () AS n, row_number() OVER (
+        ORDER BY {draw(1, 15, "'42:' || word")}, word) - 1 AS word_id FROM (
+        SELECT DISTINCT p_name || ' ' || p_type || ' ' || p_brand AS word FROM part))
+        WHERE word_id < greatest(1, n // 4)"""
     found = {
         "parse_lines_part": strict,
         "parse_lines_lineitem": f"SELECT num, text FROM ({items})",
@@ -491,7 +559,7 @@ def oracle_sql() -> dict[str, str]:
             'data/part-' || cast(p_partkey % {WORKERS} % {PARTS} AS VARCHAR) || '.tmp' AS path FROM part""",
         "ci_equal_groups": f"SELECT {right} AS folded, count(*) AS lines FROM part GROUP BY folded",
         "ci_compare_columns": f"""SELECT p_partkey, CASE WHEN {left} < {right} THEN -1 WHEN {left} > {right} THEN 1
-            ELSE 0 END AS compared, true AS same FROM part""",
+            ELSE 0 END AS compared, {right} = {fold(COMPARED_TYPE)} AS same FROM part""",
         "ci_range_filter": f"""SELECT lang, count(*) AS lines, cast(sum(num) AS BIGINT) AS nums FROM ({documents})
             WHERE {fold('text')} BETWEEN 'B' AND 'É' GROUP BY lang""",
         "sorted_positions_part": positions(part_records),
@@ -518,9 +586,17 @@ def oracle_sql() -> dict[str, str]:
         "stream_runs_then_merge": positions(part_records),
         "word_lists": f"""SELECT p_partkey, cast(unnest(range(len(words))) AS INTEGER) AS seq, unnest(words) AS word
             FROM ({words})""",
+        "word_file": f"""SELECT cast(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS seq, {LISTED_WORD} AS word
+            FROM part""",
+        "parts_in_order": f"""SELECT row_number() OVER (ORDER BY part_id, place) AS position, part_id, {value} FROM (
+            SELECT num, text, position AS place, cast(position % {PARTS} AS INTEGER) AS part_id
+            FROM ({positions(part_records)}))""",
+        "utf16_lines": f"SELECT num, text FROM ({documents})",
+        "generated_lines": generated,
         "word_counts": f"SELECT p_brand, cast(sum(len(words)) AS BIGINT) AS words FROM ({words}) GROUP BY p_brand",
-        "generated_properties": """SELECT cast(range AS INTEGER) AS worker, true AS share_reached, true AS stops_there,
-            true AS no_gaps, true AS numbers_in_range, true AS words_known, true AS parts_in_turn FROM range(8)""",
+        "generated_properties": f"""SELECT worker, part_id, count(*) AS lines, cast(sum({size}) AS BIGINT) AS bytes,
+            count(few) AS of_small_pool, cast(sum(num) AS BIGINT) AS nums FROM ({generated})
+            LEFT JOIN ({few_words}) USING (text) GROUP BY worker, part_id""",
     }
     if llm_queries:
         found |= llm_queries.oracle_sql()

@@ -21,7 +21,7 @@ from lineflow.functions.parsing import (
     strip_all_cr,
     strip_cr,
 )
-from lineflow.functions.paths import part_path
+from lineflow.functions.paths import part_number, part_path
 from lineflow.functions.sizes import parse_size, size_in_bytes
 
 __all__ = [
@@ -40,6 +40,7 @@ __all__ = [
     "ordinal_ci_equal",
     "ordinal_ci_key",
     "parse_size",
+    "part_number",
     "part_path",
     "reject_reason",
     "render_line",

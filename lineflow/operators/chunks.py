@@ -19,24 +19,33 @@ def assign_chunks(
     source: Sequence[str],
     order: Sequence[Column | str],
     text: str = TEXT,
+    chars: Column | str | None = None,
 ) -> DataFrame:
     """Number the chunks of each source: ``chunk_id`` counts from 0 in ``order``.
 
     A record belongs to the chunk its first character falls into when the texts of
     a source are laid end to end and cut every ``max_chars`` characters.  A chunk
-    therefore holds less than ``max_chars`` characters plus one text.
+    therefore holds less than ``max_chars`` characters plus one text.  A NULL text
+    has no characters.
+
+    Where the texts themselves are not needed, leave them out and give their lengths
+    in ``chars``.
     """
     if max_chars < 1:
         raise ValueError("max_chars must be positive")
-    placed = totals_before(df, source, order, utf16_length(text), "chunk_id")
+    placed = totals_before(df, source, order, utf16_length(text) if chars is None else chars, "chunk_id")
     return placed.withColumn("chunk_id", F.expr(f"chunk_id div {max_chars}"))
 
 
-def run_stats(df: DataFrame, *run: str, text: str = TEXT) -> DataFrame:
-    """Records and characters of each run or chunk; one row per run."""
+def run_stats(df: DataFrame, *run: str, text: str = TEXT, chars: Column | str | None = None) -> DataFrame:
+    """Records and characters of each run or chunk; one row per run.
+
+    ``chars`` gives the lengths where the texts are left out.
+    """
+    length = utf16_length(text) if chars is None else F.col(chars) if isinstance(chars, str) else chars
     return df.groupBy(*run).agg(
         F.count("*").alias("lines"),
-        F.sum(utf16_length(text).cast("bigint")).alias("chars"),
+        F.sum(length.cast("bigint")).alias("chars"),
     )
 
 

@@ -4,10 +4,15 @@ Everything here rests on one shuffle, a range partitioning on *all* sort keys
 plus the place of the row in the input.  The last one splits copies of one row
 over several partitions, so a group of equal rows of any size cannot end up in
 one task.
+
+The place must be the same when a task runs again.  Rows read from files have it;
+rows that come out of a shuffle may arrive in another order, so these are written to
+the shared folder first.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +25,9 @@ _SALT = "__salt"
 _PARTITION = "__partition"
 _ORDINAL = "__ordinal"
 
-# Rows next to each other in the input share a salt: it splits copies finely
-# enough and still compresses to nothing in the shuffle.
-_SALT_BITS = 16
+# Rows next to each other in the input share a salt.  1,024 copies stay together,
+# 130 MB of the longest lines; the salt still compresses to nothing in the shuffle.
+_SALT_BITS = 10
 
 # monotonically_increasing_id() holds the partition above this bit and the row
 # number within the partition below it.
@@ -34,13 +39,22 @@ def range_sort(df: DataFrame, *by: Column | str) -> DataFrame:
 
     Keys given as expressions are computed on either side of the shuffle and not
     sent through it; after it each is a plain column, so that comparing two rows
-    does not compute it again.
+    does not compute it again.  Input that holds a shuffle is written first, by a job
+    at the time of the call.
     """
+    if _order_may_change(df):
+        df = materialize(df, "sort-input")
     salt = F.shiftright(F.monotonically_increasing_id(), _SALT_BITS)
     spread = df.withColumn(_SALT, salt).repartitionByRange(*by, _SALT).drop(_SALT)
     return sort_partitions(spread, *by)
 
 
+def _order_may_change(df: DataFrame) -> bool:
+    """True if a task run again may see the rows of ``df`` in another order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return re.search(r"(?<!Broadcast)(?<!Reused)Exchange|ShuffleQueryStage|Scan ExistingRDD", plan) is not None
+
+
 def sort_partitions(df: DataFrame, *by: Column | str) -> DataFrame:
     """Sort inside each partition only; no shuffle."""
     computed = {f"__key{i}": key for i, key in enumerate(by) if not isinstance(key, str)}
@@ -89,7 +103,8 @@ def totals_before(
     a partition can have begun earlier, so there is at most one carried total per
     partition and that side of the join is bounded by the number of partitions.
 
-    ``amount`` is a column or 1 for a row number.  It must not be negative nor NULL.
+    ``amount`` is a column or 1 for a row number.  It must not be negative; NULL adds
+    nothing.  NaN is equal to itself as a group.
 
     With ``below`` only rows whose total is below it are returned.  A row that
     reaches it within its own partition is dropped at once, so little is written
@@ -99,7 +114,7 @@ def totals_before(
     amount = F.lit(amount) if isinstance(amount, int) else amount
     amount = F.col(amount) if isinstance(amount, str) else amount
     ordered = range_sort(df, *groups, *by)
-    ordered = ordered.withColumns({"__amount": amount.cast("bigint"), _PARTITION: F.spark_partition_id()})
+    ordered = ordered.withColumns({"__amount": F.coalesce(amount.cast("bigint"), F.lit(0).cast("bigint")), _PARTITION: F.spark_partition_id()})
     fields = [*ordered.schema.fields, T.StructField(name, T.LongType(), False)]
     summed = ordered.mapInArrow(_partition_totals(list(groups), name, below), T.StructType(fields))
     table = materialize(summed, "totals")
@@ -127,6 +142,9 @@ def _partition_totals(groups: list[str], name: str, below: int | None):
     Nested so that executors need not have this package installed.
     """
 
+    def _comparable(value):
+        return "NaN" if isinstance(value, float) and value != value else value
+
     def add_totals(batches):
         import numpy as np
         import pyarrow as pa
@@ -141,9 +159,12 @@ def _partition_totals(groups: list[str], name: str, below: int | None):
             for key in keys:
                 here, there = key.slice(1), key.slice(0, len(key) - 1)
                 differs = pc.fill_null(pc.not_equal(here, there), False)
+                if pa.types.is_floating(key.type):  # NaN is a group of its own
+                    nans = pc.and_(pc.is_nan(here), pc.is_nan(there))
+                    differs = pc.and_(differs, pc.invert(pc.fill_null(nans, False)))
                 nulls = pc.not_equal(pc.is_null(here), pc.is_null(there))
                 starts[1:] |= pc.or_(differs, nulls).to_numpy(zero_copy_only=False)
-            first = [key[0].as_py() for key in keys]
+            first = [_comparable(key[0].as_py()) for key in keys]
             if first != last:
                 total = 0
             amounts = batch.column("__amount").to_numpy(zero_copy_only=False)
@@ -152,7 +173,7 @@ def _partition_totals(groups: list[str], name: str, below: int | None):
             if len(firsts):
                 lengths = np.diff(np.append(firsts, batch.num_rows))
                 sums[firsts[0]:] -= np.repeat(sums[firsts - 1], lengths)
-            last, total = [key[-1].as_py() for key in keys], int(sums[-1])
+            last, total = [_comparable(key[-1].as_py()) for key in keys], int(sums[-1])
             before = sums - amounts
             columns = [*batch.columns, pa.array(before, pa.int64())]
             result = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, name])

@@ -12,22 +12,21 @@ TEXT = "text"
 VALUE = "value"
 
 
-def _computed_once(column: Column) -> Column:
-    """``column``, in a form the optimizer does not copy into a filter above it.
+def _generated(df: DataFrame, rest: list[str], **columns: Column) -> DataFrame:
+    """``rest`` and the columns, which a generator makes, one row from each row.
 
-    Pushing the filter below the projection would parse every line twice, and
-    compute several times over what the line itself is made of.
+    The optimizer puts filters on other columns below a generator, where they reach
+    the source, and leaves filters on the generated columns above it.  Of a projection
+    it would compute these columns twice, once to filter.
     """
-    return F.when(F.spark_partition_id() >= 0, column)
+    struct = F.struct(*[column.alias(name) for name, column in columns.items()])
+    return df.select(*rest, F.inline(F.array(struct)))
 
 
 def parse_lines(df: DataFrame, value: str = VALUE) -> DataFrame:
-    """Replace the line by ``num`` and ``text``; malformed lines are dropped.
-
-    Filters on other columns reach the source only if they are put before this.
-    """
+    """Replace the line by ``num`` and ``text``; malformed lines are dropped."""
     rest = [c for c in df.columns if c != value]
-    parsed = df.select(*rest, _computed_once(line_number(value)).alias(NUM), line_text(value).alias(TEXT))
+    parsed = _generated(df, rest, **{NUM: line_number(value), TEXT: line_text(value)})
     return parsed.filter(F.col(NUM).isNotNull() & F.col(TEXT).isNotNull())
 
 
@@ -44,7 +43,7 @@ def parse_keys(df: DataFrame, value: str = VALUE) -> DataFrame:
 
 def rejects(df: DataFrame, value: str = VALUE) -> DataFrame:
     """The lines ``parse_lines`` drops, with the ``reason``."""
-    return df.withColumn("reason", _computed_once(reject_reason(value))).filter(F.col("reason").isNotNull())
+    return _generated(df, df.columns, reason=reject_reason(value)).filter(F.col("reason").isNotNull())
 
 
 def reject_counts(df: DataFrame, value: str = VALUE) -> DataFrame:

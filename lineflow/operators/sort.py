@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lineflow.functions.folding import ordinal_ci_key
@@ -45,7 +45,14 @@ def line_positions(df: DataFrame) -> DataFrame:
     return with_positions(df, *line_order())
 
 
-def group_positions(df: DataFrame, *groups: str) -> DataFrame:
-    """Add ``position``, the line number each record has within its sorted group."""
+def group_positions(df: DataFrame, *groups: str, bounded: bool = False) -> DataFrame:
+    """Add ``position``, the line number each record has within its sorted group.
+
+    Groups may be of any size.  If they are ``bounded`` by how they were made, such as
+    chunks, a window does it, with one shuffle and nothing written.
+    """
+    if bounded:
+        order = Window.partitionBy(*groups).orderBy(*line_order())
+        return df.withColumn("position", F.row_number().over(order).cast("bigint"))
     counted = totals_before(df, groups, line_order(), 1, "position")
     return counted.withColumn("position", F.col("position") + 1)

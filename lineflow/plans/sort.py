@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lineflow.operators.ordering import range_sort
 from lineflow.operators.parse import NUM, TEXT, VALUE, parse_lines
@@ -48,6 +49,8 @@ def group_runs(runs: DataFrame, degree: int) -> DataFrame:
     There is one name per file; reading them takes no column of the data.
     """
     files = sorted(r.run_id for r in runs.select("run_id").distinct().collect())
+    if not files:
+        return runs.withColumn("group_id", F.lit(0).cast("bigint"))
     groups = small_table(runs.sparkSession, run_id=files, group_id=[place // degree for place in range(len(files))])
     return runs.join(groups, "run_id")
 

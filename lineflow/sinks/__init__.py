@@ -26,7 +26,11 @@ def write_text(lines: DataFrame, path: str) -> None:
 
 
 def write_sorted(records: DataFrame, path: str) -> None:
-    """Sort and write lines; the files joined in name order are the sorted text."""
+    """Sort and write lines; the files joined in the order of their part numbers are the sorted text.
+
+    Spark pads part numbers to five digits only, so from 100,000 files on the order of
+    names is another one; ``read_lines(with_origin=True)`` gives the number.
+    """
     write_text(_rendered(sort_lines(records)), path)
 
 
@@ -65,7 +69,7 @@ def write_single(records: DataFrame, path: str, limit: str | int = "100GB") -> N
     """Sort and write lines to a single file.
 
     One task writes it all, so the size is checked first.  Beyond ``limit`` use
-    ``write_sorted``: its files joined in name order are the same text.
+    ``write_sorted``: its files joined by part number are the same text.
     """
     size = records.agg(F.sum(line_bytes(NUM, TEXT))).first()[0] or 0
     if size > size_in_bytes(limit):

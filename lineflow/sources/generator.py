@@ -28,29 +28,31 @@ class GeneratorOptions:
     """What to generate.
 
     Each of ``worker_count`` independent streams of lines gets an equal share of
-    ``target_size``; streams are dealt out to ``partition_count`` parts in turn.
+    ``target_size``, the first ones a byte more if it cannot be divided; streams are dealt out to ``partition_count`` parts in turn.
     ``duplicate_percentage`` of the lines take their word from a fixed random
     quarter of the words.  Numbers are 1 .. ``max_number``.
     """
 
     target_size: str | int = "1GB"
-    worker_count: int | None = None
+    worker_count: int = 8
     partition_count: int = 8
     duplicate_percentage: int = 10
     max_number: int = 100_000
     seed: int = 0
 
     def __post_init__(self) -> None:
-        size_in_bytes(self.target_size)
+        if size_in_bytes(self.target_size) < 0:
+            raise ValueError(f"target_size must not be negative: {self.target_size}")
         _check("duplicate_percentage", self.duplicate_percentage, 0, 100)
         _check("max_number", self.max_number, 1, 2**31 - 1)
         _check("partition_count", self.partition_count, 1, 2**31 - 1)
-        if self.worker_count is not None:
-            _check("worker_count", self.worker_count, 1, 2**31 - 1)
+        _check("worker_count", self.worker_count, 1, 2**31 - 1)
 
-    def workers(self, spark: SparkSession) -> int:
-        """The given number of workers, else half the cluster's parallelism."""
-        return self.worker_count or max(1, spark.sparkContext.defaultParallelism // 2)
+    def share(self, worker: Column | str) -> Column:
+        """Bytes a worker is to reach."""
+        each, left = divmod(size_in_bytes(self.target_size), self.worker_count)
+        worker = F.col(worker) if isinstance(worker, str) else worker
+        return F.lit(each).cast("bigint") + (worker < left).cast("bigint")
 
 
 def _check(name: str, value: int, low: int, high: int) -> None:
@@ -144,10 +146,13 @@ def lines_per_worker(spark: SparkSession, options: GeneratorOptions, pool: _Pool
     and only the block in which the share is reached is looked at line by line.
     The result has one entry per worker.
     """
-    workers = options.workers(spark)
-    share = size_in_bytes(options.target_size) // workers
-    if share <= 0:
+    workers, size = options.worker_count, size_in_bytes(options.target_size)
+    share = -(-size // workers)
+    if size == 0:
         return dict.fromkeys(range(workers), 0)
+    # The others have nothing to reach.
+    busy = min(workers, size)
+    reach = options.share("worker")
     shortest = pool.shortest + len(SEPARATOR) + 2
     most = -(-share // shortest)
     expected = _expected_bytes(options, pool)
@@ -159,9 +164,9 @@ def lines_per_worker(spark: SparkSession, options: GeneratorOptions, pool: _Pool
         slots = _slots(spark, workers, budget, partitions).withColumn("block", F.expr(f"seq div {block}"))
         blocks = _sizes(slots, options, pool).groupBy("worker", "block").agg(F.sum("bytes").alias("bytes"))
         ends = blocks.withColumn("end", F.sum("bytes").over(by_place.orderBy("block")))
-        last = ends.filter((F.col("end") >= share) & (F.col("end") - F.col("bytes") < share))
+        last = ends.filter((F.col("end") >= reach) & (F.col("end") - F.col("bytes") < reach))
         last = last.select("worker", "block", (F.col("end") - F.col("bytes")).alias("start")).collect()
-        if len(last) == workers:
+        if len(last) == busy:
             break
         # Too few lines planned; at ``most`` lines every share is reached.
         budget = min(most, budget * 2)
@@ -175,8 +180,8 @@ def lines_per_worker(spark: SparkSession, options: GeneratorOptions, pool: _Pool
     sized = _sizes(inside, options, pool).withColumn(
         "before", F.col("start") + F.coalesce(F.sum("bytes").over(before), F.lit(0))
     )
-    counts = sized.filter(F.col("before") < share).groupBy("worker").agg((F.max("seq") + 1).alias("lines"))
-    return {r.worker: r.lines for r in counts.collect()}
+    counts = sized.filter(F.col("before") < reach).groupBy("worker").agg((F.max("seq") + 1).alias("lines"))
+    return dict.fromkeys(range(workers), 0) | {r.worker: r.lines for r in counts.collect()}
 
 
 def generate_lines(

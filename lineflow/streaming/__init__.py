@@ -7,20 +7,23 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lineflow.operators.parse import parse_lines
 from lineflow.sinks import write_runs, write_sorted
-from lineflow.sources.text import LINE_FEED, clean_lines, read_runs
+from lineflow.sources.text import clean_lines, read_runs, text_options
 
 __all__ = ["compact_runs", "read_stream_runs", "stream_lines", "stream_runs"]
 
 
-def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+def stream_lines(
+    spark: SparkSession, path: str, max_files: int | None = None, encoding: str | None = None
+) -> DataFrame:
     """Parsed records of the text files that arrive in a folder.
 
-    ``max_files`` bounds the files taken into one batch.
+    ``max_files`` bounds the files taken into one batch; ``encoding`` is as in
+    ``read_lines``.
     """
-    reader = spark.readStream.option("lineSep", LINE_FEED)
+    reader = spark.readStream.options(**text_options(encoding))
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return parse_lines(clean_lines(reader.text(path)))
+    return parse_lines(clean_lines(reader.text(path), encoding))
 
 
 def stream_runs(records: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:

@@ -4,15 +4,21 @@ Operators that need the same partitioning twice (once to count, once to read)
 write it to a table in the shared folder the cluster names in
 ``spark.checkpoint.dir``.  Such a table survives the loss of executors, which a
 cached DataFrame does not, and is read back with column pruning.
+
+Where no folder is named, a session whose executors are the driver itself uses the
+folder Spark keeps for the application and deletes with it; any other session must
+name one.  Functions that write such tables run jobs when they are called: positions,
+totals, chunks, prefixes, and the planning of generated lines.
 """
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 from contextlib import contextmanager
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER = "lineflow"
@@ -22,10 +28,9 @@ def scratch_root(spark: SparkSession) -> str:
     """Folder of this application's intermediate tables."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext._jsc.sc().isLocal():
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lineflow-"))
-        root = spark.sparkContext.getCheckpointDir()
+        root = SparkFiles.getRootDirectory()
     return f"{root.rstrip('/')}/{_FOLDER}/{spark.sparkContext.applicationId}"
 
 
@@ -70,12 +75,32 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system.exists(hadoop_path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete the intermediate tables ``df`` reads, and no others.
+
+    Call it when neither ``df`` nor anything made from it is needed any more.
+    """
+    spark = df.sparkSession
+    root = scratch_root(spark)
+    tables = {match[0] for file in df.inputFiles() if (match := re.search(rf"{re.escape(_tail(root))}/[^/]+", file))}
+    for table in tables:
+        _delete(spark, f"{root}{table.removeprefix(_tail(root))}")
+
+
 def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's intermediate tables.
+    """Delete all of this application's intermediate tables.
 
     Call it when no DataFrame returned by an operator is needed any more.
     """
+    _delete(spark, scratch_root(spark))
+
+
+def _tail(root: str) -> str:
+    return "/" + "/".join(root.rsplit("/", 2)[1:])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     file_system.delete(hadoop_path, True)

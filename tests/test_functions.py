@@ -148,6 +148,13 @@ def test_part_path(spark):
     assert spark.range(2).select(lf.part_path("p-{0}", F.col("id"))).collect()[1][0] == "p-1"
 
 
+def test_part_numbers_order_more_files_than_five_digits(spark):
+    names = ["part-99999-a.txt", "part-100000-a.txt", "part-00007-b.parquet", "other-1.txt", "part-x"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", lf.part_number("name").alias("part"))
+    assert [r.name for r in rows.filter("part IS NOT NULL").orderBy("part").collect()] == [names[2], names[0], names[1]]
+    assert rows.filter("part IS NULL").count() == 2
+
+
 def test_draws_do_not_depend_on_partitioning(spark):
     def drawn(n):
         return spark.range(0, 1000, 1, n).select(

@@ -169,3 +169,29 @@ def test_take_bytes(spark):
 def test_assign_parts(spark):
     got = op.assign_parts(spark.range(100), "id", 6, 4).select("id", "worker", "part_id").collect()
     assert all((r.worker, r.part_id) == (r.id % 6, r.id % 6 % 4) for r in got)
+
+
+def test_nan_and_null_groups(spark):
+    rows = [(float("nan"), 3, "c"), (float("nan"), 1, "a"), (None, 2, "b"), (float("nan"), 2, "b"), (1.0, 1, "x"), (None, 1, "a")]
+    df = spark.createDataFrame(rows, "g double, num int, text string")
+    for bounded in (False, True):
+        found = op.group_positions(df, "g", bounded=bounded).collect()
+        assert {(str(r.g), r.text): r.position for r in found} == {
+            ("nan", "a"): 1, ("nan", "b"): 2, ("nan", "c"): 3, ("None", "a"): 1, ("None", "b"): 2, ("1.0", "x"): 1,
+        }
+
+
+def test_chunks_of_null_texts(spark):
+    df = spark.createDataFrame([("s", 1, "abc"), ("s", 2, None), ("s", 3, "def")], "source string, place int, text string")
+    chunks = {r.place: r.chunk_id for r in op.assign_chunks(df, 3, ["source"], ["place"]).collect()}
+    assert chunks == {1: 0, 2: 1, 3: 1}
+
+
+def test_rows_from_a_shuffle_are_written_before_they_are_split(spark):
+    """The partitions of a sort must not depend on the order a task sees its rows in."""
+    copies = spark.range(0, 40_000, 1, 4).select((F.col("id") % 3).alias("k"), F.lit(1).cast("int").alias("num"), F.lit("x").alias("text"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shuffled = op.sort_lines(copies.repartition(7, "k").select("num", "text"))
+    assert "Scan parquet" in plan(shuffled) and "hashpartitioning" not in plan(shuffled)
+    sizes = [[len(p) for p in op.sort_lines(copies.select("num", "text")).rdd.glom().collect()] for _ in range(2)]
+    assert sizes[0] == sizes[1] and sum(sizes[0]) == 40_000

@@ -38,6 +38,15 @@ def test_parse_is_one_stage_and_runs_once(text):
     assert shape.count("RLIKE") == 1
 
 
+def test_filters_reach_the_source_through_parsing(spark, tmp_path):
+    lines = spark.range(0, 100).select((F.col("id") % 5).alias("day"), "id", F.lit("1. x").alias("value"))
+    lines.write.partitionBy("day").parquet(str(tmp_path / "lines"))
+    stored = spark.read.parquet(str(tmp_path / "lines"))
+    for parsed in (lf.parse_lines(stored), lf.rejects(stored), lf.parse_keys(stored)):
+        shape = plan(parsed.filter("id = 5 AND day = 0"))
+        assert "EqualTo(id,5)" in shape and re.search(r"PartitionFilters: \[[^\]]*day", shape)
+
+
 def test_sort_ships_records_only(stored):
     shape = plan(lf.sort_lines(stored.select("num", "text")))
     exchange = shape[shape.index("Exchange") :]

@@ -1,4 +1,5 @@
 import glob
+import json
 import os
 
 import pytest
@@ -52,6 +53,16 @@ def test_read_lines_with_origin_keeps_file_order(spark, tmp_path):
     assert [(r.num, r.text) for r in rows] == [(i, n) for n in "ab" for i in range(3000)]
 
 
+def test_lines_in_utf16(spark, tmp_path):
+    for order in ("LE", "BE"):
+        path = tmp_path / f"{order}.txt"
+        path.write_bytes("\ufeff415. Äpfel\r\n2. 漢🙂\n3. last".encode(f"utf-16-{order.lower()}"))
+        lines = sources.read_lines(spark, str(path), encoding=f"UTF-16{order}")
+        assert sorted(r.value for r in lines.collect()) == ["2. 漢🙂", "3. last", "415. Äpfel"]
+    with pytest.raises(ValueError):
+        sources.read_lines(spark, str(path), encoding="UTF-16")
+
+
 def test_sort_file(spark, tmp_path, sample, many_files):
     source = tmp_path / "in.txt"
     source.write_bytes(b"garbage\n" + b"".join(f"{n:+d}.?{t}\r\n".encode() for n, t in sample) + b"9.")
@@ -174,6 +185,47 @@ def test_word_array(lines):
     assert {r[0]: r[1] for r in got} == WORD_DOCUMENTS
 
 
+@pytest.mark.parametrize(
+    "document, words",
+    [
+        ('["x","y"]', ["x", "y"]),
+        ('\ufeff["x","y"]', ["x", "y"]),
+        ("[]", []),
+        (" null ", []),
+        ('["a\\"b","c\\\\","\\u00e9,]\\n", "" ]', ['a"b', "c\\", "é,]\n", ""]),
+        ('["a",null, null,"b"]', ["a", None, None, "b"]),
+        ("[null]", [None]),
+        ('[1,"a"]', None),
+        ('["a",]', None),
+        ('["a" "b"]', None),
+        ('["a"', None),
+        ("", None),
+        ('{"a":"b"}', None),
+        ('["a"] x', None),
+        ('"a"', None),
+        ('["a\nb"]', None),
+    ],
+)
+def test_word_files(spark, tmp_path, document, words):
+    path = tmp_path / "words.json"
+    path.write_text(document, encoding="utf-8")
+    found = [r.word for r in sources.read_words(spark, str(path)).orderBy("seq").collect()]
+    assert found == (list(sources.FALLBACK_WORDS) if words is None else words)
+
+
+def test_a_large_word_file_is_read_whole_by_many_tasks(spark, tmp_path):
+    """140 MB, more than one JSON value may have in Spark, with quotes at the borders of pieces."""
+    words = [("w" * 999 + '\\",') * (i % 3 + 2) + str(i) for i in range(47_000)]
+    path = tmp_path / "words.json"
+    path.write_text(json.dumps(words))
+    assert path.stat().st_size > 140_000_000
+    found = sources.read_words(spark, str(path))
+    assert found.count() == len(words)
+    digest = lambda column: F.sum(F.xxhash64(column, "seq") % 1_000_003)
+    some = found.filter("seq % 997 = 0").orderBy("seq").collect()
+    assert [r.word for r in some] == words[::997] and found.agg(digest("word")).first()[0] is not None
+
+
 def test_read_words(spark, tmp_path):
     path = tmp_path / "words.json"
     path.write_text('[\n  "Apple",\n  "Orange"\n]')
@@ -233,6 +285,12 @@ def test_duplicates_come_from_a_quarter_of_the_words(spark):
     assert len(spread) == 8 and max(spread.values()) < 2 * min(spread.values())
 
 
+def test_shares_are_spread_to_the_byte(spark):
+    lines = sources.generate_lines(spark, WORDS, sources.GeneratorOptions("10B", 32, 4))
+    assert sorted(r.worker for r in lines.collect()) == list(range(10))
+    assert sources.generate_lines(spark, WORDS, sources.GeneratorOptions("0B", 4, 4)).count() == 0
+
+
 def test_generated_lines_need_no_shuffle(spark):
     df = sources.generate_lines(spark, WORDS, sources.GeneratorOptions("10KB", 2, 2))
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -240,7 +298,7 @@ def test_generated_lines_need_no_shuffle(spark):
 
 
 @pytest.mark.parametrize(
-    "bad", [{"target_size": "x"}, {"duplicate_percentage": 101}, {"max_number": 0}, {"partition_count": 0}, {"worker_count": 0}]
+    "bad", [{"target_size": "x"}, {"target_size": "-5KB"}, {"duplicate_percentage": 101}, {"max_number": 0}, {"partition_count": 0}, {"worker_count": 0}]
 )
 def test_generator_options_are_checked(bad):
     with pytest.raises(ValueError):
@@ -325,6 +383,17 @@ def test_stream_with_interval(spark, tmp_path):
     ]
 
 
+def test_tables_of_one_query_are_released(spark, table):
+    from lineflow.workspace import release
+
+    one, other = op.line_positions(table), op.line_positions(table)
+    assert one.count() == other.count()
+    release(one)
+    spark.catalog.clearCache()
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in one.inputFiles())
+    assert all(os.path.exists(f.removeprefix("file:")) for f in other.inputFiles())
+
+
 def test_scratch(spark, tmp_path):
     path = scratch_path(spark, "t")
     spark.range(3).write.parquet(path)
