@@ -40,7 +40,7 @@ DISCOUNTED = 5
 
 HOT_SHARE = 0.005
 BUCKET_TOKENS = 1_000_000
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 1_500_000
 ROWS_AT_A_TIME = 256
 
 TABLES = {
@@ -112,7 +112,7 @@ def _bucket_of(key, other, hot, n_buckets: int):
 
     spread = key.view(np.uint64).copy()
     if len(hot):
-        is_hot = np.isin(key, hot)
+        is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
         spread[is_hot] ^= other.view(np.uint64)[is_hot] * np.uint64(0x9E3779B97F4A7C15)
     spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return ((spread >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
@@ -466,22 +466,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     hot_totals = {row.context: (row.total, row.norm) for row in spread}
     resolved = []
     for number in range(passes):
-        postings = rows.select("key", "text").mapInArrow(
-            _posting_blocks(model, number, passes), "bucket int, block binary"
-        )
-        pairs = model.table(spark, "pairs").filter(F.col("bucket") % passes == number)
-        discounted = sum(F.element_at("low", r) for r in range(1, DISCOUNTED + 1)) > 0
-        norm = F.col("total") + F.when(discounted, F.lit(0.0)).otherwise(F.lit(1.0))
-        pairs = pairs.select("bucket", "context", "total", norm.alias("norm"), "words", "counts")
-        met = pairs.groupBy("bucket").cogroup(postings.groupBy("bucket"))
-        met = met.applyInArrow(
-            _meet(model, hot_totals),
-            "key long, context long, word long, n long, score double, base double, known long",
-        )
-        summed = met.groupBy("key", "context", "word").agg(
-            F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known")
-        )
-        resolved.append(materialize(summed, "scores"))
+        resolved.append(_score_pass(rows, model, hot_totals, number, passes))
         _release()
     parts = resolved[0]
     for part in resolved[1:]:
@@ -509,6 +494,28 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     )
 
 
+def _score_pass(
+    rows: DataFrame, model: Model, hot_totals: dict[int, tuple[int, float]], number: int, passes: int
+) -> DataFrame:
+    """The written sums, and pairs still to be scored, of the buckets of one pass."""
+    postings = rows.select("key", "text").mapInArrow(
+        _posting_blocks(model, number, passes), "bucket int, block binary"
+    )
+    pairs = model.table(rows.sparkSession, "pairs").filter(F.col("bucket") % passes == number)
+    discounted = sum(F.element_at("low", r) for r in range(1, DISCOUNTED + 1)) > 0
+    norm = F.col("total") + F.when(discounted, F.lit(0.0)).otherwise(F.lit(1.0))
+    pairs = pairs.select("bucket", "context", "total", norm.alias("norm"), "words", "counts")
+    met = pairs.groupBy("bucket").cogroup(postings.groupBy("bucket"))
+    met = met.applyInArrow(
+        _meet(model, hot_totals),
+        "key long, context long, word long, n long, score double, base double, known long",
+    )
+    summed = met.groupBy("key", "context", "word").agg(
+        F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known")
+    )
+    return materialize(summed, "scores")
+
+
 def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterator], Iterator]:
     hot, n_buckets = sorted(model.hot), model.n_buckets
 
