@@ -15,8 +15,12 @@ The model is three tables in a folder:
 Words are 64-bit hashes.  What is counted moves through the network as blocks, sorted
 arrays that hold a context once and then its words, since single rows would be several
 times the size of the text.  Blocks go to buckets of a fixed number of tokens.  A
-context, or word, with more than HOT_SHARE of all tokens is spread over all buckets
-pair by pair; there are at most 1 / HOT_SHARE of them, so the list of these is bounded.
+context, or word, with more than a quarter of that number, or more than HOT_SHARE of all
+tokens if that is less, is hot: it is spread over all buckets pair by pair.  A pair
+that is hot itself is one row of a block when counted, but a row per token when texts
+are scored; there it is spread by text, and its count is looked up.  So what is in one
+bucket does not grow with the corpus.  There are at most four hot words for each bucket,
+or 1 / HOT_SHARE if that is more, and as many hot pairs: tasks hold them as sorted arrays.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lineflow.llm.shipping import ship_package
 from lineflow.llm.words import id_and_text, lower_words
-from lineflow.workspace import materialize
+from lineflow.workspace import materialize, small_table
 
 #: Stand for the beginning and the end of a text.
 START, END = -1, -2
@@ -106,14 +110,55 @@ def _contexts(tokens, ends):
     return before
 
 
-def _bucket_of(key, other, hot, n_buckets: int):
-    """The bucket of each pair: by ``key``, or by both where the key is hot."""
+def _places(values, known):
+    """The place of each value in the sorted array ``known``; -1: not in it."""
+    import numpy as np
+
+    if not len(known):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, -1)
+
+
+class _HotPairs:
+    """Sorted hot words and codes of hot pairs, to look up pairs in."""
+
+    def __init__(self, model: Model):
+        import numpy as np
+
+        self.words = np.array(sorted(model.hot), np.int64)
+        pairs = np.array(list(model.hot_pairs), np.int64).reshape(-1, 2)
+        codes = _places(pairs[:, 0], self.words) * len(self.words) + _places(pairs[:, 1], self.words)
+        order = np.argsort(codes)
+        self.codes, self.counts = codes[order], np.array(list(model.hot_pairs.values()), np.int64)[order]
+
+    def places(self, context, word):
+        """The place of each pair among the hot ones; -1: not hot."""
+        import numpy as np
+
+        place = np.full(len(context), -1)
+        if len(self.codes):
+            first = _places(context, self.words)
+            maybe = np.flatnonzero(first >= 0)
+            second = _places(word[maybe], self.words)
+            maybe, second = maybe[second >= 0], second[second >= 0]
+            place[maybe] = _places(first[maybe] * len(self.words) + second, self.codes)
+        return place
+
+
+def _bucket_of(key, other, hot, n_buckets: int, also=None):
+    """The bucket of each pair: by ``key``, or by both where the key is hot.
+
+    ``also`` holds rows and what they are spread by besides.
+    """
     import numpy as np
 
     spread = key.view(np.uint64).copy()
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-        spread[is_hot] ^= other.view(np.uint64)[is_hot] * np.uint64(0x9E3779B97F4A7C15)
+    is_hot = _places(key, hot) >= 0
+    spread[is_hot] ^= other.view(np.uint64)[is_hot] * np.uint64(0x9E3779B97F4A7C15)
+    if also is not None:
+        rows, by = also
+        spread[rows] ^= by.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     spread = (spread ^ (spread >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return ((spread >> np.uint64(33)) % np.uint64(n_buckets)).astype(np.int32)
 
@@ -146,18 +191,17 @@ def _unpack(block: bytes):
     return np.repeat(keys, runs), other, columns, at
 
 
-def _blocks(key, other, columns, hot, n_buckets: int, keep=None, tail: Callable | None = None):
-    """Arrow batch of (bucket, block) of rows sorted by key; only buckets for which ``keep`` holds."""
+def _blocks(key, other, columns, bucket, n_buckets: int, tail: Callable | None = None):
+    """Arrow batch of (bucket, block) of rows sorted by key."""
     import numpy as np
     import pyarrow as pa
 
-    bucket = _bucket_of(key, other, hot, n_buckets)
     order = np.argsort(bucket, kind="stable")
     bounds = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
     numbers, blocks = [], []
     for number in range(n_buckets):
         rows = order[bounds[number] : bounds[number + 1]]
-        if len(rows) and (keep is None or keep(number)):
+        if len(rows):
             own = [c[rows] for c in columns]
             block = tail(key[rows], other[rows], own) if tail else _pack(key[rows], other[rows], *own)
             numbers.append(number)
@@ -226,6 +270,8 @@ class Model:
     unknown: float
     #: word: count of the hot words.
     hot: dict[int, int] = field(default_factory=dict)
+    #: (context, word): count of the hot pairs; both are hot words.
+    hot_pairs: dict[tuple[int, int], int] = field(default_factory=dict)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         return read_table(spark, self.path, name)
@@ -279,8 +325,10 @@ def fit(texts: DataFrame, path: str, text: str = "text", bucket_tokens: int = BU
     lows = [F.count_if(F.col("n") == r) for r in range(1, DISCOUNTED + 2)]
     found = words.agg(F.sum("n"), F.count("*"), F.max(F.when(F.col("word") == END, F.col("n"))), *lows).first()
     n_tokens, n_words, n_texts = found[0] or 0, found[1], found[2] or 0
-    hot = {row.word: row.n for row in words.filter(F.col("n") > F.lit(HOT_SHARE * n_tokens)).collect()}
-    if n_texts > HOT_SHARE * n_tokens:
+    # At most n_tokens / limit of them.
+    limit = min(HOT_SHARE * n_tokens, bucket_tokens / 4)
+    hot = {row.word: row.n for row in words.filter(F.col("n") > F.lit(limit)).collect()}
+    if n_texts > limit:
         hot[START] = n_texts
     n_buckets = 1 + n_tokens // bucket_tokens
     hot_words = sorted(hot)
@@ -293,6 +341,8 @@ def fit(texts: DataFrame, path: str, text: str = "text", bucket_tokens: int = BU
     pairs = read_table(spark, path, "pairs")
     lows = [F.sum(F.element_at("low", r)) for r in range(1, DISCOUNTED + 2)]
     pair_lows = [n or 0 for n in pairs.agg(*lows).first()]
+    frequent = pairs.filter(F.col("total") > F.lit(limit)).select("context", F.inline(F.arrays_zip("words", "counts")))
+    hot_pairs = frequent.filter(F.col("counts") > F.lit(limit)).collect()
     _release()
 
     word_lows = list(found[3:])
@@ -302,7 +352,7 @@ def fit(texts: DataFrame, path: str, text: str = "text", bucket_tokens: int = BU
     norm = float(n_tokens) if lost > 0 else n_tokens + 1.0
     model = Model(
         path, n_tokens, n_words, n_texts, n_buckets, word_factors, pair_factors, norm,
-        (lost if lost > 0 else 1.0) / norm, hot,
+        (lost if lost > 0 else 1.0) / norm, hot, {(row[0], row[1]): row[2] for row in hot_pairs},
     )
     _write_contexts(spark, model)
     _release()
@@ -325,7 +375,7 @@ def _pair_blocks(hot: list[int], n_buckets: int) -> Callable[[Iterator], Iterato
         hot_words = np.array(hot, np.int64)
         for _, tokens, ends in _token_batches(batches, "text"):
             context, word, n = _summed(_contexts(tokens, ends), tokens, np.ones(len(tokens), np.int64))
-            yield _blocks(context, word, [n], hot_words, n_buckets)
+            yield _blocks(context, word, [n], _bucket_of(context, word, hot_words, n_buckets), n_buckets)
 
     return blocks
 
@@ -400,7 +450,8 @@ def _reversed_blocks(model: Model) -> Callable[[Iterator], Iterator]:
         def packed():
             context, word, n = (np.concatenate(part) for part in zip(*held))
             order = np.lexsort((context, word))
-            return _blocks(word[order], context[order], [n[order]], hot_words, n_buckets)
+            word, context, n = word[order], context[order], n[order]
+            return _blocks(word, context, [n], _bucket_of(word, context, hot_words, n_buckets), n_buckets)
 
         for batch in batches:
             words, counts = batch.column("words"), batch.column("counts")
@@ -429,9 +480,8 @@ def _seen_shares(model: Model) -> Callable:
         words, place = np.unique(word, return_inverse=True)
         total = np.bincount(place, weights=n, minlength=len(words)).astype(np.int64)
         if hot:  # their pairs are in all buckets
-            known = np.array(hot, np.int64)
-            at = np.minimum(np.searchsorted(known, words), len(known) - 1)
-            total = np.where(known[at] == words, np.array(hot_counts, np.int64)[at], total)
+            at = _places(words, np.array(hot, np.int64))
+            total = np.where(at >= 0, np.array(hot_counts, np.int64)[at], total)
         share = _discounted(total, model.word_factors) / model.word_norm
         contexts, of = np.unique(context, return_inverse=True)
         seen = np.bincount(of, weights=share[place], minlength=len(contexts))
@@ -452,17 +502,19 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     id and text, so null and repeated ids, also with different texts, are scored each
     by its own text; rows that repeat both share their scores.
 
-    A pair meets its context's row in the bucket of both.  Pairs found there are
-    scored; the others, with their weight and unigram share still to come, are joined
+    A pair meets its context's row in the bucket of both.  Pairs found there, and hot
+    ones wherever they are, are scored; the others, with their weight and unigram share still to come, are joined
     with ``contexts`` and ``words``.
     """
+    import pyarrow as pa
+
     spark = docs.sparkSession
     ship_package(spark)
     rows = id_and_text(docs, doc_id, text).withColumn("key", F.xxhash64("doc_id", "text"))
     own = materialize(rows.select("doc_id", "key"), "text-keys")
     weights = model.table(spark, "contexts").select("context", "total", "norm", "weight")
     # At most as many rows as there are hot words.
-    spread = weights.filter(F.col("context").isin(sorted(model.hot))).collect()
+    spread = weights.join(small_table(spark, context=pa.array(sorted(model.hot), pa.int64())), "context").collect()
     hot_totals = {row.context: (row.total, row.norm) for row in spread}
     resolved = []
     for number in range(passes):
@@ -517,32 +569,35 @@ def _score_pass(
 
 
 def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterator], Iterator]:
-    hot, n_buckets = sorted(model.hot), model.n_buckets
+    hot, n_buckets = _HotPairs(model), model.n_buckets
 
     def blocks(batches):
         import numpy as np
 
-        hot_words = np.array(hot, np.int64)
         for table, tokens, ends in _token_batches(batches, "text"):
             doc_keys = table.column("key").to_numpy()
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             context = _contexts(tokens, ends)
-            mine = _bucket_of(context, tokens, hot_words, n_buckets) % passes == number
-            context, word, doc = context[mine], tokens[mine], doc[mine]
+            rows = np.flatnonzero(hot.places(context, tokens) >= 0)
+            place = rows - np.append(0, ends[:-1])[doc[rows]]
+            bucket = _bucket_of(context, tokens, hot.words, n_buckets, (rows, doc_keys[doc[rows]] + place))
+            mine = bucket % passes == number
+            context, word, doc, bucket = context[mine], tokens[mine], doc[mine], bucket[mine]
             order = np.lexsort((word, context))  # stable: documents stay in order
-            context, word, doc = context[order], word[order], doc[order]
+            context, word, doc, bucket = context[order], word[order], doc[order], bucket[order]
 
             def with_keys(context, word, columns):
                 docs, place = np.unique(columns[0], return_inverse=True)
                 return _pack(context, word, place) + doc_keys[docs].tobytes()
 
-            yield _blocks(context, word, [doc], hot_words, n_buckets, tail=with_keys)
+            yield _blocks(context, word, [doc], bucket, n_buckets, tail=with_keys)
 
     return blocks
 
 
 def _meet(model: Model, hot_totals: dict[int, tuple[int, float]]) -> Callable:
     """Scores of a bucket's postings by the bucket's contexts."""
+    hot = _HotPairs(model)
 
     def meet(pairs, postings):
         import numpy as np
@@ -582,8 +637,13 @@ def _meet(model: Model, hot_totals: dict[int, tuple[int, float]]) -> Callable:
         total[inside] = totals[row[inside]]
         norm = np.ones(len(context))
         norm[inside] = known.column("norm").to_numpy()[row[inside]]
-        for special, of_all in hot_totals.items():
-            total[context == special], norm[context == special] = of_all
+        specials = sorted(hot_totals)
+        special = _places(context, np.array(specials, np.int64))
+        spread = np.flatnonzero(special >= 0)
+        if len(spread):
+            of_all = [hot_totals[c] for c in specials]
+            total[spread] = np.array([t for t, _ in of_all], np.int64)[special[spread]]
+            norm[spread] = np.array([n for _, n in of_all], float)[special[spread]]
 
         vocabulary = np.unique(known_words)
         width = max(1, len(vocabulary))
@@ -598,6 +658,8 @@ def _meet(model: Model, hot_totals: dict[int, tuple[int, float]]) -> Callable:
         hit[hit] = codes[by_code[found_at[hit]]] == wanted[hit]
         count = np.zeros(len(context), np.int64)
         count[np.flatnonzero(there)[hit]] = known_counts[by_code[found_at[hit]]]
+        at = hot.places(context, word)  # their texts are in all buckets
+        count[at >= 0] = hot.counts[at[at >= 0]]
 
         seen = count > 0
         score = np.zeros(len(context))

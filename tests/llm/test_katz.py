@@ -109,3 +109,29 @@ def test_factors():
     factors = katz.good_turing([1000, 400, 200, 120, 80, 60])
     assert all(0 < f < 1 for f in factors)
     assert katz.good_turing([0, 0, 0, 0, 0, 0]) == [(r - 0.5) / r for r in range(1, 6)]
+
+
+def test_buckets_stay_small_whatever_the_share_of_a_word_is(spark, docs):
+    """A word, and a pair, too rare for HOT_SHARE but with many tokens; and a pair in every text."""
+    rows = []
+    for i in range(300):
+        own = sentence(i, 360).split()
+        own[20:20] = ["often", f"then{i}a", "often", f"then{i}b"] if i % 2 else ["one", "pair"] * 2
+        rows.append((i, " ".join([*own, *["every", "text"] * 15])))
+    corpus = docs(*rows)
+    model = katz.fit(corpus, scratch_path(spark, "katz"), bucket_tokens=800)
+    assert max(Counter(w for _, t in rows for w in t.split() if w in ("often", "one", "pair")).values()) < 0.005 * model.n_tokens
+    mean = model.n_tokens / model.n_buckets
+    stored = model.table(spark, "pairs").groupBy("bucket").agg({"total": "sum"}).collect()
+    postings = Counter()
+    table = corpus.selectExpr("xxhash64(doc_id, text) AS key", "text").toArrow()
+    for batch in katz._posting_blocks(model, 0, 1)(iter(table.to_batches())):
+        for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist()):
+            postings[bucket] += len(katz._unpack(block)[0])
+    assert sum(postings.values()) == model.n_tokens
+    assert max(postings.values()) < 2 * mean
+    context = max(model.table(spark, "pairs").filter(f"NOT context IN ({', '.join(map(str, model.hot))})").collect(), key=lambda r: r.total)
+    assert context.total <= 800 / 4 and len(stored) <= model.n_buckets
+    plain = Plain([t for _, t in rows])
+    more = [*rows, (999, "every text often then1a one pair every pair")]
+    check(katz.score(docs(*more), model).collect(), plain, more)
