@@ -40,16 +40,13 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     of a hash that stands for several contents get identifiers of their own.
     """
     normal = id_and_text(docs, doc_id, text).select("doc_id", lower_ascii_column(F.col("text")).alias("text"))
+    sha256 = F.sha2(F.col("text"), 256).alias("text_sha256")
     cut = normal.select("doc_id", "text", chunks_of(F.col("text")).alias("chunks"))
     table = materialize(
-        cut.select(
-            "doc_id",
-            F.transform("chunks", lambda chunk: F.xxhash64(chunk)).alias("recipe"),
-            F.sha2(F.col("text"), 256).alias("text_sha256"),
-        ),
+        cut.select("doc_id", F.transform("chunks", lambda chunk: F.xxhash64(chunk)).alias("recipe"), sha256),
         "recipes",
     )
-    chunks = cut.select("doc_id", F.posexplode("chunks").alias("place", "chunk")).withColumn("id", F.xxhash64("chunk"))
+    chunks = cut.select(sha256, F.posexplode("chunks").alias("place", "chunk")).withColumn("id", F.xxhash64("chunk"))
     shared = (
         chunks.groupBy("id")
         .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
@@ -64,14 +61,15 @@ def recipes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def _told_apart(table: DataFrame, chunks: DataFrame) -> DataFrame:
     """Recipes in which the given chunks, whose ids are ambiguous, are written out."""
-    written = chunks.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "chunk"))).alias("chunks"))
+    entries = F.collect_set(F.struct("place", "chunk"))
+    written = chunks.groupBy("text_sha256").agg(F.map_from_entries(entries).alias("chunks"))
     spelled = F.zip_with(
         "recipe",
         F.sequence(F.lit(0), F.size("recipe") - 1),
         lambda id, place: F.struct(id.alias("id"), F.try_element_at("chunks", place).alias("chunk")),
     )
     whole = F.when(F.size("recipe") == 0, F.array().cast("array<struct<id:bigint,chunk:string>>")).otherwise(spelled)
-    return table.join(written, "doc_id", "left").select("doc_id", whole.alias("recipe"), "text_sha256")
+    return table.join(written, "text_sha256", "left").select("doc_id", whole.alias("recipe"), "text_sha256")
 
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -106,7 +104,11 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 def drop_exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` without the copies :func:`exact_groups` does not keep; columns unchanged.
 
-    Only the ids to drop are joined.  Rows with a null id all stay.
+    Only what to drop is joined, by id and text, so rows that share an id, or have
+    none, go or stay each by its own text.
     """
-    gone = exact_groups(docs, doc_id, text).filter("NOT kept").select(F.col("doc_id").alias(doc_id))
-    return docs.join(gone, doc_id, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    gone = exact_groups(docs, doc_id, text).filter("NOT kept")
+    gone = gone.select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__gone_sha256")).distinct()
+    normal = lower_ascii_column(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("__gone")) & (F.sha2(normal, 256) == F.col("__gone_sha256"))
+    return docs.join(gone, same, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -102,6 +102,7 @@ def curriculum(
     weights: Sequence[int] = WEIGHTS,
     schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES,
     most: int = MOST_PASSES,
+    row: str | None = None,
 ) -> DataFrame:
     """What the mix takes of each row: doc_id, size, source_size, target, taken, passes, position.
 
@@ -114,8 +115,9 @@ def curriculum(
     partitions, nulls last.
 
     Null sources are a source of their own, the last.  A null id is ordered like an
-    empty one.  Rows that repeat an id are all taken alike but for the last pass.
-    Sources without words have target 0.  An empty table gives an empty one.
+    empty one.  Rows that repeat an id are all taken alike but for the last pass, and stand
+    in the order of their size and text.  Sources without words have target 0.  An empty
+    table gives an empty one.  ``row`` names a column that is passed on with each row.
 
     A source may hold any share of the rows: sums run over buckets of the md5 order,
     and then within a bucket, so no task sees a whole source.
@@ -126,6 +128,8 @@ def curriculum(
         F.col(f"`{source}`").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         key.alias("key"),
+        F.xxhash64(F.col(f"`{text}`").cast("string")).alias("tie"),
+        *([F.col(f"`{row}`").alias("row")] if row else []),
     )
     rows = materialize(rows, "sizes")
     targets = materialize(source_targets(rows, weights, most), "targets")
@@ -140,7 +144,8 @@ def curriculum(
         F.col("bucket").alias("in_bucket"),
         F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before_bucket"),
     )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    order = ["key", "doc_id", "size", "tie", *(["row"] if row else [])]
+    within = Window.partitionBy("source", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("in_bucket_before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     same_bucket = placed["source"].eqNullSafe(buckets["in_source"]) & (placed["bucket"] == buckets["in_bucket"])
     placed = placed.join(buckets, same_bucket).withColumn("before", F.col("before_bucket") + F.col("in_bucket_before"))
@@ -170,13 +175,14 @@ def curriculum(
             F.when(F.col("passes") > 0, time).alias("position"),
             "before",
             "place",
+            *(["row"] if row else []),
         )
     )
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def training_order(mix: DataFrame, schedules: Sequence[Sequence[tuple[float, float]]] = SCHEDULES) -> DataFrame:
-    """doc_id, pass, position of every taken copy, range-sorted by position.
+    """doc_id, pass, position of every taken copy, and row if ``mix`` has it, range-sorted by position.
 
     ``mix`` is what :func:`curriculum` returns.  A later pass of a document is due
     when its source has been passed through that many times more.
@@ -188,14 +194,18 @@ def training_order(mix: DataFrame, schedules: Sequence[Sequence[tuple[float, flo
     for k, schedule in enumerate(schedules):
         at = due_time(schedule, share)
         time = at if time is None else F.when(F.col("place") % len(schedules) == k, at).otherwise(time)
-    return copies.select("doc_id", "pass", time.alias("position")).orderBy("position", "doc_id", "pass")
+    row = ["row"] if "row" in mix.columns else []
+    return copies.select("doc_id", "pass", time.alias("position"), *row).orderBy("position", "doc_id", "pass", *row)
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The documents of the mix in training order, each as often as it is taken; columns unchanged.
 
-    Rows without words, and those the last pass does not reach, are left out.
+    Rows without words, and those the last pass does not reach, are left out.  Rows are
+    numbered in a copy of ``docs``, so that each is taken by its own passes also where
+    ids are null or repeated.
     """
-    order = training_order(curriculum(docs, doc_id, source, text)).toDF("__of", "__pass", "__position")
-    joined = docs.join(order, F.col(f"`{doc_id}`").eqNullSafe(F.col("__of")))
-    return joined.orderBy("__position", "__of", "__pass").select(*[f"`{c}`" for c in docs.columns])
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    order = training_order(curriculum(numbered, doc_id, source, text, row="__row"))
+    joined = numbered.join(order.toDF("__of", "__pass", "__position", "__of_row"), F.col("__row") == F.col("__of_row"))
+    return joined.orderBy("__position", "__of", "__pass", "__row").select(*[f"`{c}`" for c in docs.columns])

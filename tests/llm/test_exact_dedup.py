@@ -70,3 +70,16 @@ def test_copies_go_and_columns_stay(odd):
 def test_no_python_runs(odd):
     plan = exact_dedup.exact_groups(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_rows_of_one_id_and_of_none_go_by_their_own_text(docs):
+    rows = [(5, "a text of its own"), (5, "A copy"), (9, "a copy"), (None, "a COPY"), (None, "none has it"), (None, "nor this"), (5, None), (7, "")]
+    kept = exact_dedup.drop_exact_copies(docs(*rows)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([rows[i] for i in (0, 2, 4, 5, 7)], key=str)
+
+
+def test_shared_hashes_under_repeated_and_null_ids(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    texts = [sentence(1, 900), sentence(2, 900), sentence(1, 900).upper()]
+    rows = [(i, t) for i in (1, 1, None) for t in texts] + [(2, texts[0])]
+    assert rows_of(exact_dedup.exact_groups(docs(*rows))) == brute(rows)

@@ -101,3 +101,23 @@ def test_small_buckets_give_the_same(odd, monkeypatch):
     whole = mixing.curriculum(odd).collect()
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
     assert mixing.curriculum(odd).collect() == whole
+
+
+def test_null_and_repeated_ids_come_as_often_as_they_are_taken(spark):
+    """Three sources; ids null, repeated with other texts, and rows repeated whole."""
+    rows = [(None, "abc"[i % 3], f"null {i} " + "w " * (i % 5)) for i in range(60)]
+    rows += [(7, "a", f"seven {i}") for i in range(30)] + [(8, "b", "the same words")] * 20
+    rows += [(100 + i, "c", f"c {i} has more words than the others") for i in range(80)]
+    source = table(spark, rows)
+    mix = mixing.curriculum(source).collect()
+    found = mixing.mix_documents(source).collect()
+    assert len(found) == sum(r.passes for r in mix) > 0
+    taken, size = {}, lambda text: len(WORDS.findall(text))
+    for r in mix:
+        taken[r.doc_id, r["size"]] = taken.get((r.doc_id, r["size"]), 0) + r.passes
+    came, times = {}, {}
+    for r in found:
+        came[r.doc_id, size(r.text)] = came.get((r.doc_id, size(r.text)), 0) + 1
+        times[tuple(r)] = times.get(tuple(r), 0) + 1
+    assert came == {k: n for k, n in taken.items() if n}
+    assert all(n <= 3 * rows.count(row) for row, n in times.items())
