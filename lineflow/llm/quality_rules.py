@@ -1,8 +1,9 @@
 """Quality rules, line first: bad lines go, then documents that lost too much.
 
 Rules look at one line at a time: how it ends, whether it is navigation, whether it
-is boilerplate.  A line that fails any of them is removed.  A document is rejected if
-the removed lines held too large a share of its words' characters.
+is boilerplate.  A line that fails any of them is removed.  Lines of a hard-wrapped
+paragraph are first judged together.  A document is rejected if the removed lines held
+too large a share of its words' characters.
 """
 
 from __future__ import annotations
@@ -75,9 +76,19 @@ class Rules:
     #: Capitals by letters, in lines of at least so many letters.
     max_capitals: float = 0.6
     min_letters: int = 12
-    #: Different words by words, in lines of at least so many words.
+    #: Different words by words, in lines of at least so many words; on average over
+    #: windows of at most so many.
     min_variety: float = 0.25
     variety_words: int = 12
+    variety_window: int = 500
+    #: A boilerplate phrase fails lines of fewer words, and lines of whose characters
+    #: such phrases are so large a part.
+    boilerplate_words: int = 25
+    max_boilerplate: float = 0.1
+    #: Paragraphs whose longest line has fewer characters are not hard-wrapped; in wider
+    #: ones than max_wrap, each sentence is judged for itself.
+    min_wrap: int = 30
+    max_wrap: int = 200
 
 
 _symbols = re.compile(f"[{re.escape(SYMBOLS)}]").findall
@@ -86,13 +97,27 @@ _stops = re.compile(r"[.!?,;:](?=[\x20\x09-\x0D])").findall
 _shouts = re.compile(r"[!?]{2,}(?=[\x20\x09-\x0D]|$)").findall
 _capitals = re.compile("[A-ZÀ-ÖØ-Þ]").findall
 _letters = re.compile(r"[^\W\d_]").findall
-_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE))).search
+_boilerplate = re.compile("|".join(map(re.escape, BOILERPLATE))).findall
 
 
-def line_fault(line: str, words: list[str], rules: Rules) -> str | None:
-    """The rule a line with words fails first, or None."""
+def _variety(words: list[str], window: int) -> float:
+    """Different words by words, on average over equal windows of at most ``window`` words."""
     n = len(words)
-    if not line.rstrip(" \t\r\v\f" + CLOSING).endswith(SENTENCE_ENDS):
+    if n <= window:
+        return len(set(words)) / n
+    cuts = -(-n // window)
+    bounds = [n * k // cuts for k in range(cuts + 1)]
+    return sum(len(set(words[a:b])) for a, b in zip(bounds, bounds[1:])) / n
+
+
+def _ends_sentence(line: str) -> bool:
+    return line.rstrip(" \t\r\v\f" + CLOSING).endswith(SENTENCE_ENDS)
+
+
+def line_fault(line: str, words: list[str], rules: Rules, finished: bool = False) -> str | None:
+    """The rule a line with words fails first, or None; ``finished``: it goes on in the next line."""
+    n = len(words)
+    if not finished and not _ends_sentence(line):
         if n < rules.prose_words or len(_stops(line)) < rules.prose_stops * n:
             return "punctuation"
     if len(_shouts(line)) > rules.max_shouting * n:
@@ -104,13 +129,43 @@ def line_fault(line: str, words: list[str], rules: Rules) -> str | None:
     capitals = len(_capitals(line))
     if capitals >= rules.min_letters and capitals > rules.max_capitals * len(_letters(line)):
         return "capitals"
-    if n >= rules.variety_words and len(set(words)) < rules.min_variety * n:
+    if n >= rules.variety_words and _variety(words, rules.variety_window) < rules.min_variety:
         return "repetition"
-    if _boilerplate(line.lower()):
+    phrases = _boilerplate(line.lower())
+    if phrases and (n < rules.boilerplate_words or sum(map(len, phrases)) > rules.max_boilerplate * len(line)):
         return "boilerplate"
     return None
 
 
+def wrapped_paragraphs(lines: list[str], words: list[list[str]], rules: Rules) -> list[tuple[int, int]]:
+    """First and last place of each run of lines that are one hard-wrapped text.
+
+    A line was wrapped if the next line's first word would not have fitted behind it;
+    the width is that of the longest line of several words between blank lines.  A run
+    ends with its last finished sentence, and what follows is a run of its own.  Two
+    lines, or wide ones, may be full by chance: these make runs of a sentence each.
+    """
+    found, start = [], 0
+    while start < len(lines):
+        end = start
+        while end < len(lines) and words[end]:
+            end += 1
+        width = max((len(lines[k].rstrip()) for k in range(start, end) if len(words[k]) > 1), default=0)
+        first = start
+        for k in range(start, end):
+            if k + 1 < end and len(lines[k].rstrip()) + 1 + len(words[k + 1][0]) > width:
+                continue
+            if first < k and width >= rules.min_wrap:
+                stops = [place for place in range(first, k + 1) if _ends_sentence(lines[place])]
+                if k - first > 1 and width <= rules.max_wrap:
+                    stops = stops[-1:]
+                bounds = [first, *(place + 1 for place in stops), k + 1]
+                found += [(a, b - 1) for a, b in zip(bounds, bounds[1:]) if b - a > 1]
+            first = k + 1
+        start = end + 1
+    return found
+
+
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a 3-word window found twice or more, the first included."""
     if len(words) < 4:
@@ -131,8 +186,18 @@ def assess(text: str, rules: Rules) -> tuple[dict[str, int], str]:
     """Counts of a text, and the text without the lines that fail."""
     words = find_words(text)
     kept, faults, seen, repeats, lost = [], Counter(), set(), 0, 0
-    for line in text.split("\n"):
-        own = find_words(line)
+    lines = text.split("\n")
+    by_line = [find_words(line) for line in lines]
+    #: By place, what the wrapped paragraph of a line says of it: sound, or only finished.
+    sound, finished = set(), set()
+    for first, last in wrapped_paragraphs(lines, by_line, rules):
+        places = range(first, last + 1)
+        fault = line_fault(" ".join(lines[k].strip() for k in places), [w for k in places for w in by_line[k]], rules)
+        if fault is None:
+            sound.update(places)
+        elif fault != "punctuation":
+            finished.update(places)
+    for place, (line, own) in enumerate(zip(lines, by_line)):
         if not own:
             kept.append(line)
             continue
@@ -141,7 +206,7 @@ def assess(text: str, rules: Rules) -> tuple[dict[str, int], str]:
             fault = "duplicate"
         else:
             seen.add(line)
-            fault = line_fault(line, own, rules)
+            fault = None if place in sound else line_fault(line, own, rules, place in finished)
         if fault is None:
             kept.append(line)
         else:

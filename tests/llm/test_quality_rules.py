@@ -1,3 +1,5 @@
+import random
+import textwrap
 from collections import Counter
 
 from lineflow.llm import quality_rules as qr
@@ -83,3 +85,38 @@ def test_labelled_documents(spark):
     clean = [r.kept for r in judged if r.quality == 1]
     junk = [r.kept for r in judged if r.quality == 0]
     assert sum(clean) / len(clean) > 0.98 and sum(junk) / len(junk) < 0.05
+
+
+def prose(n_words, seed=1):
+    """Sentences of words drawn as in a natural text, few of them often."""
+    rng, words = random.Random(seed), []
+    weights = [1 / (r + 5) for r in range(2500)]
+    while len(words) < n_words:
+        own = [f"wo{r}rd" for r in rng.choices(range(2500), weights, k=rng.randrange(9, 24))]
+        words += [own[0].capitalize(), *own[1:-1], own[-1] + "."]
+    return " ".join(words)
+
+
+def test_long_lines_are_judged_by_their_length():
+    text = prose(2000).replace("wo2rd", "copyright law", 1)
+    assert fault(text) is None
+    assert len(set(prose(20000).split())) < 0.25 * len(prose(20000).split())
+    assert fault(prose(20000)) is None
+    assert fault("the same few words again and again " * 2000 + ".") == "repetition"
+    notice = "Copyright 2020 by someone. All rights reserved. Privacy policy and terms of use of this place apply to you. "
+    assert fault(notice + "By your visit, you accept cookies and the cookie policy of our partners, too.") == "boilerplate"
+
+
+def test_hard_wrapped_text_stays_whole():
+    for width in (40, 60, 72):
+        paragraphs = [textwrap.fill(prose(300, seed).replace("wo3rd", "copyright law", 1), width) for seed in range(4)]
+        for text in ("\n\n".join(paragraphs), "\n".join(paragraphs), paragraphs[0]):
+            counts, left = qr.assess(text, qr.Rules())
+            assert counts["lost_chars"] <= 0.02 * counts["word_chars"] and qr.verdict(counts, qr.Rules())[1]
+
+
+def test_short_lines_beside_prose_still_go():
+    good = prose(200)
+    for bad in ("Home\nNews\nSport", "Copyright 2020 by someone.", "Read more about it here and now\nNext page"):
+        assert qr.assess(f"{good}\n{bad}", qr.Rules())[1] == good
+        assert qr.assess(f"{bad}\n{good}", qr.Rules())[1] == good
