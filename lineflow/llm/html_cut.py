@@ -40,6 +40,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
     "span strike strong sub sup time tt u var wbr".split()
 )
+#: What can stand in a head; anything else ends it, tags for its end being optional.
+HEAD_ELEMENTS = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 CONTENT_ELEMENTS = frozenset(("article", "main"))
 FRAME_ELEMENTS = frozenset("nav header footer aside form menu dialog button fieldset".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -51,9 +53,11 @@ FRAME_WORDS = (
 )
 CONTENT_WORDS = "article body content entry main post story text"
 
-_FRAME_HINT = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(FRAME_WORDS.split())})(?![a-z0-9])", re.I).search
+_FRAME_NAMES = frozenset(FRAME_WORDS.split())
 _CONTENT_HINT = re.compile(rf"(?<![a-z0-9])(?:{'|'.join(CONTENT_WORDS.split())})(?![a-z0-9])", re.I).search
-_HIDDEN = re.compile(r"(?<![\w-])hidden(?![\w-])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I).search
+_MAY_HIDE = re.compile(r"hidden|display", re.I).search
+_ATTRIBUTES = re.compile(r"([^\s\"'=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?").findall
+_HIDING_STYLE = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*hidden)(?![\w-])", re.I).search
 _NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I).findall
 _MARKUP = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
@@ -62,6 +66,19 @@ _MARKUP = re.compile(
 _STOPS = re.compile(r"[.!?…。！？](?=\s|$)").findall
 
 
+def _is_hidden(rest: str) -> bool:
+    """If attributes hide their element: hidden itself, as aria-hidden or as a class, or by style."""
+    if not _MAY_HIDE(rest):
+        return False
+    for name, *values in _ATTRIBUTES(rest):
+        name, value = name.lower(), "".join(values).lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return True
+        if name == "class" and "hidden" in value.split() or name == "style" and _HIDING_STYLE(value):
+            return True
+    return False
+
+
 @dataclass
 class Block:
     """A run of text between two block elements."""
@@ -76,25 +93,41 @@ class Block:
     content_hint: bool
     heading: bool
     item: bool
+    #: Frame words stand only above the content element it is in.
+    hint_above: bool = False
 
 
 class _Open:
-    __slots__ = ("tag", "number", "inside", "frame", "frame_hint", "content_hint")
+    __slots__ = ("tag", "number", "inside", "frame", "hidden", "named", "above_content", "content_hint")
 
     def __init__(self, tag, number, above, names, hidden):
         self.tag, self.number = tag, number
-        role_main = "main" in names.lower().split()
-        self.inside = tag in CONTENT_ELEMENTS or role_main or (above is not None and above.inside)
+        own_names = names.lower().split()
+        is_main = tag == "main" or "main" in own_names
+        was_inside = above is not None and above.inside
+        self.inside = tag in CONTENT_ELEMENTS or is_main or was_inside
         # A header within an article holds its headline.
         own = tag in FRAME_ELEMENTS and not (tag == "header" and self.inside)
         self.frame = own or (above is not None and above.frame)
         page = tag in ("html", "body")
-        self.frame_hint = (not page and (hidden or bool(_FRAME_HINT(names)))) or (above is not None and above.frame_hint)
+        self.hidden = (not page and hidden) or (above is not None and above.hidden)
+        # Frame words of a wrapper do not hold over a main; over an article, see blocks_of.
+        self.named = above is not None and above.named
+        self.above_content = above is not None and above.above_content
+        if self.inside and not was_inside:
+            self.above_content, self.named = self.named and not is_main, False
+        elif is_main:
+            self.above_content = self.named = False
+        self.named = self.named or (not page and not _FRAME_NAMES.isdisjoint(own_names))
         self.content_hint = bool(_CONTENT_HINT(names)) or (above is not None and above.content_hint)
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page, in order; broken markup is read as far as it goes."""
+    """The text blocks of a page, in order; broken markup is read as far as it goes.
+
+    Frame words above an article hold for it only if the page has content without them,
+    such as the article that a list of related ones goes with.
+    """
     found: list[Block] = []
     stack: list[_Open] = []
     text: list[str] = []
@@ -113,8 +146,9 @@ def blocks_of(page: str) -> list[Block]:
                 path = tuple(o.number for o in blocky[:-1])
                 found.append(
                     Block(
-                        joined, min(linked, len(joined)), path, own, top.inside, top.frame, top.frame_hint, top.content_hint,
-                        any(o.tag in HEADINGS for o in blocky), any(o.tag == "li" for o in blocky) or own == "dd",
+                        joined, min(linked, len(joined)), path, own, top.inside, top.frame, top.hidden or top.named,
+                        top.content_hint, any(o.tag in HEADINGS for o in blocky),
+                        any(o.tag == "li" for o in blocky) or own == "dd", top.above_content,
                     )
                 )
         linked = 0
@@ -123,6 +157,8 @@ def blocks_of(page: str) -> list[Block]:
     while at < end:
         match = _MARKUP.search(page, at)
         stop = match.start() if match else end
+        if in_head and page[at:stop].strip():
+            in_head = False
         if stop > at and not in_head:
             piece = page[at:stop]
             text.append(piece)
@@ -136,7 +172,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if match["end"]:
-            if tag == "head":
+            if tag in ("head", "body", "html", "br"):
                 in_head = False
             if tag == "a":
                 links = max(0, links - 1)
@@ -147,14 +183,14 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[place:]
                     break
             continue
+        if tag not in HEAD_ELEMENTS:
+            in_head = False
         if tag in UNREAD:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if tag == "head":
-            in_head = True
-        elif tag == "body":
-            in_head = False
+            in_head = not found and not "".join(text).strip()
         if tag in ("br", "hr", "wbr"):
             text.append(" ")
         if tag in VOID:
@@ -169,9 +205,12 @@ def blocks_of(page: str) -> list[Block]:
         rest = match["rest"]
         names = " ".join("".join(n) for n in _NAMES(rest)) if "=" in rest else ""
         number += 1
-        hidden = bool(rest) and bool(_HIDDEN(rest))
+        hidden = bool(rest) and _is_hidden(rest)
         stack.append(_Open(tag, number, stack[-1] if stack else None, names, hidden))
     finish()
+    if any(b.hint_above for b in found) and any(b.inside and not b.frame and not b.frame_hint and not b.hint_above for b in found):
+        for block in found:
+            block.frame_hint = block.frame_hint or block.hint_above
     return found
 
 

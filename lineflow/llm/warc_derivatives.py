@@ -42,7 +42,9 @@ RECORD = "head string, block binary, truncated boolean"
 INHERITED = ("WARC-Target-URI", "WARC-Date", "WARC-IP-Address", "X-Source-Id")
 
 _HIDDEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)(?=[\s>]).*?(?:</\1(?=[\s>])[^>]*>|\Z)", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|noframes)(?=[\s>]).*?(?:</\1(?=[\s>])[^>]*>|\Z)|"
+    r"<title(?=[\s>]).*?(?:</title(?=[\s>])[^>]*>|(?=</head[\s>]|<body[\s>])|\Z)",
+    re.S | re.I,
 )
 _BREAKS = re.compile(
     r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|html|"
@@ -64,7 +66,11 @@ def record_id(name: str) -> str:
 
 
 def plain_text(page: str) -> str:
-    """All text of a page, a line per block."""
+    """All text of a page, a line per block.
+
+    Of what can stand in a head only elements that are left out anyway hold text, so
+    it does not matter where the head ends.
+    """
     lines = _TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", page))).split("\n")
     joined = (" ".join(html.unescape(line).split()) for line in lines)
     return "\n".join(line for line in joined if line)

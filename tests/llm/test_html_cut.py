@@ -93,3 +93,52 @@ def test_the_table(spark):
         article = html_of[row.page_id].split("<article>")[1].split("</article>")[0]
         blocks = [b.text for b in hc.blocks_of(f"<article>{article}</article>")]
         assert row.text == "\n\n".join(blocks)
+
+
+BODY = "<article><h1>The headline</h1><p>A paragraph of the text, long enough. It goes on.</p></article><footer>Bye</footer>"
+BODY_TEXT = "The headline\n\nA paragraph of the text, long enough. It goes on."
+
+
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>T</title><meta charset=utf-8>",
+        "<head><title>T</title><link rel=x><style>p{}</style><body>",
+        "<head><script>x</script><select><option>1</select>",
+        "<html><head><title>T</title></head>",
+        "<title>T</title>",
+    ],
+)
+def test_heads_that_end_by_themselves(start):
+    assert hc.main_text(start + BODY) == BODY_TEXT
+    assert hc.main_text("<head><title>T</title>") == ""
+
+
+def test_text_ends_a_head():
+    assert [b.text for b in hc.blocks_of("<head><title>T</title>\n Some text.<p>More.")] == ["Some text.", "More."]
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['style="overflow:hidden"', 'class="content has-sidebar"', 'class="post comments-open"', 'class="widget"', 'id=social',
+     'class="overflow-hidden"', 'data-state="hidden"', 'style="overflow: hidden; display: block"'],
+)
+def test_wrappers_of_content(wrapper):
+    for inner in (BODY, BODY.replace("article>", "main>")):
+        page = f"<body><div class=sidebar><p>Other things.</p></div><div {wrapper}>{inner}</div></body>"
+        assert hc.main_text(page) == BODY_TEXT
+        assert not any(b.frame_hint for b in hc.blocks_of(page) if b.inside)
+
+
+@pytest.mark.parametrize(
+    "wrapper", ["hidden", 'style="color:red;display:none"', 'aria-hidden="true"', 'class="a hidden"', "hidden=until-found"]
+)
+def test_hidden_content_stays_hidden(wrapper):
+    assert all(b.frame_hint for b in hc.blocks_of(f"<div {wrapper}><main><article><p>Text.</article></main></div>"))
+
+
+def test_related_articles_and_comments_are_no_content():
+    page = f'{BODY}<div class="related"><article><p>Another article that one may read as well. It is good.</p></article></div>'
+    assert hc.main_text(page) == BODY_TEXT
+    page = BODY.replace("</article>", '<div class="comments"><article><p>I liked it, thank you. Great.</p></article></div></article>')
+    assert hc.main_text(page) == BODY_TEXT

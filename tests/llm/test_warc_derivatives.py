@@ -115,3 +115,9 @@ def test_empty_table(spark, pages):
     path = scratch_path(spark, "warc")
     wd.write_warc(wd.derive(wd.responses_of(pages.filter("false"))), path)
     assert wd.read_warc(spark, path).collect() == []
+
+
+def test_text_of_pages_whose_head_is_not_closed():
+    head = "<html><head><meta charset=utf-8><title>A title</title><style>p{}</style>"
+    for start in (head, head + "<body>", head + "</head>", head + "</head><body>", "<title>A title</title>", "<head><title>A title</head><body>"):
+        assert wd.plain_text(start + "<p>One <b>two</b><p>Three</body></html>") == "One two\nThree"
