@@ -6,7 +6,6 @@ lines, so lines are made from their columns by SQL both sides share.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -19,10 +18,10 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import lineflow as lf  # noqa: E402
 
 # The training-data operators are a subpackage that may be absent.
-if importlib.util.find_spec("lineflow.llm") and importlib.util.find_spec("corpus_pipeline"):
+try:
     import corpus_pipeline  # noqa: E402
     from lineflow.llm import queries as llm_queries  # noqa: E402
-else:
+except ImportError:
     llm_queries = None
 
 MAX_CHARS = 4096

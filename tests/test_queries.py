@@ -20,7 +20,8 @@ def duck():
 
 
 def spark_type(field):
-    return {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN"}[field.dataType.simpleString()]
+    names = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE"}
+    return names[field.dataType.simpleString()]
 
 
 @pytest.mark.parametrize("name", entry_point.queries())
