@@ -36,9 +36,12 @@ SKETCH = 32
 RISK = 1e-9
 
 #: Documents on either side of a block, and comparisons under one leader beyond which
-#: blocks are made.
+#: blocks are made; the links that follow are the same.
 BLOCK = 256
-BLOCK_COMPARISONS = 2_000
+BLOCK_COMPARISONS = 100
+
+#: Pieces into which the members of one leader are dealt where they are joined with it.
+DEALT = 16
 
 ROWS_AT_A_TIME = 256
 
@@ -83,6 +86,11 @@ def _mixed(values):
     return values ^ (values >> np.uint64(31))
 
 
+def set_key(shingles) -> bytes:
+    """Equal sets, and all but surely no others, have the same key."""
+    return hashlib.md5(shingles).digest()
+
+
 def _sketch_batches(words: int, size: int) -> Callable[[Iterator], Iterator]:
     def sketch(batches):
         import pyarrow as pa
@@ -90,14 +98,15 @@ def _sketch_batches(words: int, size: int) -> Callable[[Iterator], Iterator]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                sets = [shingle_hashes(text, words) for text in part.column(1).to_pylist()]
+                sets = [shingle_hashes(text, words) for text in part.column("text").to_pylist()]
                 columns = [
-                    part.column(0),
+                    part.column("doc_id"),
+                    part.column("text_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()),
+                    pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.array([s[:size] for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "sketch"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n_shingles", "node", "sketch"])
 
     return sketch
 
@@ -109,14 +118,18 @@ def _set_batches(words: int) -> Callable[[Iterator], Iterator]:
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                sets = [shingle_hashes(text, words) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"]
-                )
+                sets = [shingle_hashes(text, words) for text in part.column("text").to_pylist()]
+                columns = [pa.array([set_key(s) for s in sets], pa.binary()), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["node", "shingles"])
 
     return full_sets
 
 
+def _keyed_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, text, text_key of each row; rows of one id are told apart by the last."""
+    return id_and_text(docs, doc_id, text).withColumn("text_key", F.xxhash64("text"))
+
+
 def near_components(
     docs: DataFrame,
     words: int = 5,
@@ -138,38 +151,64 @@ def near_components(
     confirmed on the full sets; none is made otherwise, and one is missed with a
     chance below RISK.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    rows = id_and_text(docs, doc_id, text)
+    sketches, links = _sketches_and_links(docs, words, percent, doc_id, text, size)
+    filled = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    # Rows that repeat an id have several sets; the id itself links them.
+    several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a != last")
+    same_id = filled.join(several, "doc_id").select("a", F.col("node").alias("b")).distinct()
+    labels = _labelled(filled, components(links.unionByName(same_id.filter("a != b"))))
+    least = labels.groupBy("label").agg(F.min("doc_id").alias("component"))
+    of_id = materialize(labels.select("doc_id", "label").distinct().join(least, "label").select("doc_id", "component"), "of-id")
+    found = sketches.join(of_id.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return found.select(
+        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
+    )
+
+
+def _labelled(filled: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, text_key, node and the ``label`` of the node's component."""
+    joined = filled.join(found.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+    return materialize(joined.select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("label")), "labels")
+
+
+def _sketches_and_links(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, size: int):
+    """doc_id, text_key, n_shingles, node, sketch of each row; and links (a, b) between nodes.
+
+    A node is the key of a set, so equal sets are one.  Of all links, enough are made to
+    connect what any links connect.
+    """
+    ship_package(docs.sparkSession)
+    rows = _keyed_rows(docs, doc_id, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_key binary, sketch array<long>"
+    schema = f"doc_id {kind}, text_key long, n_shingles long, node binary, sketch array<long>"
     sketches = materialize(rows.mapInArrow(_sketch_batches(words, size), schema), "sketches")
     filled = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = filled.groupBy("set_key").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    classes = filled.groupBy("node").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes, "classes")
     lists = materialize(_inverted_lists(classes, percent, size), "lists")
-    members = materialize(lists.select("node").distinct(), "members")
-    needed = rows.join(members, rows["doc_id"] == members["node"], "left_semi")
-    sets = materialize(needed.mapInArrow(_set_batches(words), f"doc_id {kind}, shingles array<long>"), "sets")
+    members = lists.select("node").distinct().join(classes, "node")
+    members = materialize(members.select("node", F.col("row.doc_id").alias("of"), F.col("row.text_key").alias("key")), "members")
+    chosen = (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("key"))
+    needed = rows.join(members, chosen, "left_semi")
+    sets = materialize(needed.mapInArrow(_set_batches(words), "node binary, shingles array<long>"), "sets")
+    if sets.count() > members.count():  # rows equal in id and text
+        sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     leaders = lists.groupBy("value").agg(F.min("node").alias("leader"))
     lists = materialize(lists.join(leaders, "value"), "led-lists")
     led = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = materialize(_confirmed(led, classes, sets, percent, size), "led-links")
     mixed = _mixed_lists(lists, components(links))
+    within = materialize(_compared_within_blocks(mixed.filter("many"), sets, percent), "block-links")
+    links = links.unionByName(within)
+    if within.count():
+        mixed = _mixed_lists(lists, components(links))
     few = _confirmed(_paired(mixed.filter("NOT many"), percent), classes, sets, percent, size)
     many = _compared_in_blocks(mixed.filter("many"), sets, percent)
-    links = links.unionByName(few).unionByName(many)
-
-    # Rows that repeat an id have several classes; the id itself links them.
-    same_id = filled.join(classes, "set_key").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    found = components(links.unionByName(same_id.filter("a != b")))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return sketches.join(found, sketches["doc_id"] == found["node"], "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    return sketches, materialize(links.unionByName(few).unionByName(many), "near-links")
 
 
 def _inverted_lists(classes: DataFrame, percent: int, size: int) -> DataFrame:
@@ -179,10 +218,10 @@ def _inverted_lists(classes: DataFrame, percent: int, size: int) -> DataFrame:
     ``s - m + 1`` rarest, and so does the partner, as all rank values alike.  Values
     of one class alone are the rarest of all and lead nowhere.
     """
-    listed = classes.select("node", "set_key", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
+    listed = classes.select("node", "n", F.size("sketch").alias("s"), F.explode("sketch").alias("value"))
     often = listed.groupBy("value").agg(F.count("*").alias("often")).filter("often > 1")
     shared = listed.join(often, "value")
-    own = Window.partitionBy("node", "set_key")
+    own = Window.partitionBy("node")
     rank = F.row_number().over(own.orderBy("often", "value"))
     least = F.element_at(F.array(*[F.lit(least_overlap(s, percent)) for s in range(1, size + 1)]), F.col("s"))
     ranked = shared.withColumns({"rank": rank, "shared": F.count("*").over(own), "least": least})
@@ -209,7 +248,14 @@ def _mixed_lists(lists: DataFrame, first: DataFrame) -> DataFrame:
         F.max_by("component", F.struct("members", "component")).alias("main"),
         (F.sum("members") * (F.sum("members") - F.max("members")) > BLOCK_COMPARISONS).alias("many"),
     )
-    return materialize(mixed.join(of_leader, "leader"), "mixed")
+    return materialize(_with_leader(mixed, of_leader), "mixed")
+
+
+def _with_leader(members: DataFrame, of_leader: DataFrame) -> DataFrame:
+    """``members`` joined with one row per leader; the members of one are dealt out, its row is repeated."""
+    dealt = members.withColumn("deal", F.pmod(F.xxhash64("node"), F.lit(DEALT)))
+    copies = of_leader.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(DEALT - 1).cast("bigint"))))
+    return dealt.join(copies, ["leader", "deal"]).drop("deal")
 
 
 def _paired(mixed: DataFrame, percent: int) -> DataFrame:
@@ -226,6 +272,20 @@ def _paired(mixed: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _compared_within_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components within blocks of one leader's members.
+
+    Every member is in one block, so this takes time in proportion to the members.  It
+    connects most of what can be, and leaves few members to be compared with all.
+    """
+    members = mixed.select("leader", "node", "component").distinct()
+    counts = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = _with_leader(members, counts)
+    dealt = dealt.withColumns({"minor": F.lit(None).cast("boolean"), "block": F.pmod(F.xxhash64("node", "leader"), "blocks")})
+    rows = dealt.select("leader", "block", "node", "component", "minor").join(sets, "node")
+    return rows.groupBy("leader", "block").applyInArrow(_block_links(percent), "a binary, b binary").distinct()
+
+
 def _compared_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components under one leader.
 
@@ -238,7 +298,7 @@ def _compared_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> Data
         F.ceil(F.count_if(F.col("component") != F.col("main")) / BLOCK).alias("minor_blocks"),
         F.ceil(F.count("*") / BLOCK).alias("blocks"),
     )
-    dealt = members.join(counts, "leader").withColumn("place", F.xxhash64("node"))
+    dealt = _with_leader(members, counts).withColumn("place", F.xxhash64("node"))
     shape = ["leader", "node", "component"]
     minor = dealt.filter("component != main").select(
         *shape,
@@ -252,23 +312,30 @@ def _compared_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> Data
         F.explode(F.expr("sequence(0L, minor_blocks - 1)")).alias("row"),
         F.pmod("place", "blocks").alias("column"),
     )
-    rows = minor.unionByName(other).join(sets.withColumnRenamed("doc_id", "node"), "node")
-    kind = sets.schema["doc_id"].dataType.simpleString()
+    rows = minor.unionByName(other).join(sets, "node")
     grouped = rows.groupBy("leader", "row", "column")
-    return grouped.applyInArrow(_block_links(percent), f"a {kind}, b {kind}").distinct()
+    return grouped.applyInArrow(_block_links(percent), "a binary, b binary").distinct()
 
 
 def _block_links(percent: int) -> Callable:
+    """Links between the minor members and the others of a block, or among all if none is marked.
+
+    Only as many as connect what is linked: a spanning forest of the components.
+    """
+
     def links(table):
         import numpy as np
         import pyarrow as pa
 
-        minor = table.column("minor").to_numpy()
-        nodes, parts = table.column("node").to_numpy(), table.column("component").to_numpy()
+        minor = table.column("minor").to_pylist()
+        nodes, parts = table.column("node").to_pylist(), table.column("component").to_pylist()
         sets = [np.asarray(s.values) for s in table.column("shingles")]
-        left, right = np.flatnonzero(minor), np.flatnonzero(~minor)
+        left = np.array([i for i, m in enumerate(minor) if m is not False], np.int64)
+        right = np.array([i for i, m in enumerate(minor) if m is not True], np.int64)
+        names = {part: number for number, part in enumerate(dict.fromkeys(parts))}
+        part = np.array([names[p] for p in parts], np.int64)
         found = []
-        if len(left) and len(right):
+        if len(left) and len(right) and len(names) > 1:
             common = np.intersect1d(
                 np.unique(np.concatenate([sets[i] for i in left])), np.unique(np.concatenate([sets[i] for i in right]))
             )
@@ -279,11 +346,21 @@ def _block_links(percent: int) -> Callable:
             sizes = np.array([len(s) for s in sets], np.int64)
             inside = inside.astype(np.int64)
             all_of = sizes[left][:, None] + sizes[right][None, :] - inside
-            linked = (100 * inside >= percent * all_of) & (parts[left][:, None] != parts[right][None, :])
-            found = [(nodes[left[i]], nodes[right[j]]) for i, j in zip(*np.nonzero(linked))]
-        low, high = [min(p) for p in found], [max(p) for p in found]
-        kind = table.schema.field("node").type
-        return pa.table({"a": pa.array(low, kind), "b": pa.array(high, kind)})
+            linked = (100 * inside >= percent * all_of) & (part[left][:, None] != part[right][None, :])
+            parent = list(range(len(names)))
+
+            def root(of):
+                while parent[of] != of:
+                    parent[of] = of = parent[parent[of]]
+                return of
+
+            for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+                i, j = int(left[i]), int(right[j])
+                a, b = root(part[i]), root(part[j])
+                if a != b:
+                    parent[a] = b
+                    found.append(sorted((nodes[i], nodes[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary())})
 
     return links
 
@@ -317,8 +394,8 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     least = F.element_at(F.array(*[F.lit(least_overlap(s, percent)) for s in range(1, size + 1)]), F.size(lowest))
     close = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     likely = materialize(both.filter(close & (common >= least)).select("a", "b").distinct(), "likely-pairs")
-    sets_a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    sets_b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    sets_a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    sets_b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     joined = likely.join(sets_a, "a").join(sets_b, "b")
     inside = F.size(F.array_intersect("set_a", "set_b"))
     all_of = F.size("set_a") + F.size("set_b") - inside
@@ -328,7 +405,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
 def drop_near_copies(
     docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; columns unchanged."""
-    found = near_components(docs, words, percent, doc_id, text)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """``docs`` with one document of each component, that of the smallest id; columns unchanged.
+
+    Each row is judged by its own text, also where ids repeat: of a component one text of
+    the smallest id stays, the one with the smallest set key.  Rows equal in id and text
+    are one document and stay or go together.  Rows with a null id and those without
+    words stay.
+    """
+    sketches, links = _sketches_and_links(docs, words, percent, doc_id, text, SKETCH)
+    labels = _labelled(sketches.filter("doc_id IS NOT NULL AND n_shingles > 0"), components(links))
+    stays = labels.groupBy("label").agg(F.min(F.struct("doc_id", "node", "text_key")).alias("row")).select("row.*")
+    gone = labels.join(stays, ["doc_id", "node", "text_key"], "left_anti").select(
+        F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")
+    )
+    same = (docs[f"`{doc_id}`"] == F.col("gone_id")) & (F.xxhash64(F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))) == F.col("gone_key"))
+    return docs.join(materialize(gone.distinct(), "gone"), same, "left_anti").select(*[f"`{c}`" for c in docs.columns])

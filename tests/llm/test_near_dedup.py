@@ -92,6 +92,25 @@ def test_a_group_takes_no_more_pairs_than_members(docs, monkeypatch):
     assert pairs[0] < 300 * 25 and pairs[1] == 0
 
 
+@pytest.mark.parametrize("size", [100, 200, 400])
+def test_links_grow_with_members_only(docs, monkeypatch, size):
+    """Near copies around the threshold: each doubling doubles the links, not more."""
+    rng = random.Random(size)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, variant(base, i, rng.choice([0, 4, 8, 12]))) for i in range(size)]
+    counted = []
+    monkeypatch.setattr(nd, "components", lambda links: counted.append(links.count()) or components(links))
+    found = nd.near_components(docs(*rows), words=5, percent=80).collect()
+    assert {r.doc_id: r.component_id for r in found} == plain_components(rows, 5, 80)
+    assert counted[-1] < 3 * size
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(docs):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    kept = nd.drop_near_copies(docs((3, one), (5, one + " end"), (5, two), (None, one), (None, one)))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, one), (0, one), (3, one), (5, two)]
+
+
 def test_least_overlap():
     assert nd.least_overlap(1, 85) == 1
     assert 8 <= nd.least_overlap(32, 80) <= nd.least_overlap(32, 85) <= 20
