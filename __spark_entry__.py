@@ -263,6 +263,15 @@ def group_merge_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.group_positions(grouped, "lang", "group_id", bounded=True)
 
 
+def greedy_chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a buffer fills: the lines and lengths of each, and where its first line is."""
+    lengths = _document_lines(spark, sf_dir).select("lang", "doc_id", "pos", lf.utf16_length("text").alias("chars"))
+    chunks = lf.greedy_chunks(lengths, MAX_CHARS, ["lang"], ["doc_id", "pos"], chars="chars")
+    return chunks.groupBy("lang", "chunk_id").agg(
+        F.count("*").alias("lines"), F.sum(F.col("chars").cast("bigint")).alias("chars"), F.min("doc_id").alias("first_doc")
+    )
+
+
 def take_bytes_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _orders(spark, sf_dir)
     total = lines.agg(F.sum(lf.line_bytes("num", "text"))).first()[0]
@@ -349,6 +358,58 @@ def stream_runs_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.parse_lines(_lines_in_order(spark, target))
 
 
+def streams_share_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams with checkpoints of their own write to one folder; all their lines are there."""
+    runs = lf.scratch_path(spark, "shared-runs")
+    for half in (0, 1):
+        arriving, checkpoint = (lf.scratch_path(spark, n) for n in ("arriving", "stream"))
+        lf.write_text(_mixed(spark, sf_dir).filter(F.col("p_partkey") % 2 == half).select("value"), arriving)
+        lf.stream_runs(lf.stream_lines(spark, arriving), runs, checkpoint).awaitTermination()
+    return lf.read_stream_runs(spark, runs).groupBy("text").agg(F.count("*").alias("lines"), F.sum("num").alias("nums"))
+
+
+def stream_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream keeps records and what it rejects; started again, it adds to neither."""
+    arriving, runs, bad, checkpoint = (lf.scratch_path(spark, n) for n in ("arriving", "runs", "rejects", "stream"))
+    lf.write_text(_mixed(spark, sf_dir).select("value"), arriving)
+    for _ in range(2):
+        lines = lf.stream_lines(spark, arriving, parse=False)
+        lf.stream_runs(lines, runs, checkpoint, rejected=bad).awaitTermination()
+    accepted = lf.read_stream_runs(spark, runs).select(F.lit("accepted").alias("reason"))
+    refused = lf.read_stream_rejects(spark, runs, bad).select("reason")
+    return accepted.unionByName(refused).groupBy("reason").agg(F.count("*").alias("lines"))
+
+
+def _part_store(spark: SparkSession, sf_dir: str) -> str:
+    """Lines of the parts, in three portions that one stream takes in turn, each sorted into a store."""
+    arriving, runs, checkpoint, store = (lf.scratch_path(spark, n) for n in ("arriving", "runs", "stream", "store"))
+    lines = _read(spark, sf_dir, "part").select("p_partkey", F.expr(PART_LINE).alias("value"))
+    for portion in range(3):
+        lf.append_text(lines.filter(F.col("p_partkey") % 3 == portion).select("value"), arriving)
+        lf.stream_runs(lf.stream_lines(spark, arriving), runs, checkpoint).awaitTermination()
+        lf.add_runs(spark, runs, store)
+    return store
+
+
+def store_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compacted, added to, and compacted again: every line's place in the text."""
+    return lf.read_store(spark, _part_store(spark, sf_dir))
+
+
+def store_lines_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lf.lines_between(spark, _part_store(spark, sf_dir), 51, 150)
+
+
+def store_texts_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lf.texts_between(spark, _part_store(spark, sf_dir), "b", "LINEN")
+
+
+def store_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where lines made of customers would stand among those of the parts."""
+    records = _records(_read(spark, sf_dir, "customer"), "c_nationkey", "lower(c_mktsegment)", "c_custkey").drop("c_custkey")
+    return lf.rank_lines(records.unionByName(_records(_read(spark, sf_dir, "part"), "p_size", "p_name")), _part_store(spark, sf_dir))
+
+
 # ---- words and generated lines ---------------------------------------------
 
 
@@ -430,6 +491,7 @@ _QUERIES = (
     chunk_counts,
     chunk_positions,
     group_merge_positions,
+    greedy_chunk_stats,
     take_bytes_orders,
     part_stats_lineitem,
     sorted_file_round_trip,
@@ -439,6 +501,12 @@ _QUERIES = (
     parts_in_order,
     utf16_lines,
     stream_runs_then_merge,
+    streams_share_runs,
+    stream_rejects,
+    store_positions,
+    store_lines_between,
+    store_texts_between,
+    store_ranks,
     word_lists,
     word_file,
     word_counts,
@@ -573,6 +641,18 @@ def oracle_sql() -> dict[str, str]:
         "chunk_counts": f"SELECT lang, count(*) AS runs FROM ({runs}) GROUP BY lang",
         "chunk_positions": positions(chunks, "lang", "chunk_id"),
         "group_merge_positions": positions(groups, "lang", "group_id"),
+        "greedy_chunk_stats": f"""WITH RECURSIVE laid AS MATERIALIZED (SELECT lang, doc_id, pos, {units} AS chars,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) AS place,
+                sum({units}) OVER (PARTITION BY lang ORDER BY doc_id, pos ROWS UNBOUNDED PRECEDING) AS ending FROM ({documents})),
+            starts AS (SELECT lang, 0 AS chunk_id, cast(1 AS BIGINT) AS place, cast(0 AS HUGEINT) AS base
+                FROM laid GROUP BY lang
+                UNION ALL SELECT s.lang, s.chunk_id + 1, n.place, n.ending - n.chars FROM starts s, LATERAL (
+                    SELECT place, ending, chars FROM laid WHERE laid.lang = s.lang AND laid.place > s.place AND chars > 0
+                    AND laid.ending > s.base + {MAX_CHARS} ORDER BY place LIMIT 1) n),
+            ranges AS (SELECT *, lead(place, 1, 9223372036854775807) OVER (PARTITION BY lang ORDER BY chunk_id) AS next FROM starts)
+            SELECT laid.lang, cast(chunk_id AS BIGINT) AS chunk_id, count(*) AS lines, cast(sum(chars) AS BIGINT) AS chars,
+            min(doc_id) AS first_doc FROM laid JOIN ranges r ON laid.lang = r.lang AND laid.place >= r.place AND laid.place < r.next
+            GROUP BY laid.lang, chunk_id""",
         "take_bytes_orders": f"""SELECT o_orderkey, worker, num, text FROM (
             SELECT *, sum({size}) OVER (PARTITION BY worker ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) - {size}
             AS before, sum({size}) OVER () // 16 AS target FROM ({orders})) WHERE before < target""",
@@ -583,6 +663,18 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY {fold('text')} NULLS FIRST, num, text, value) AS position FROM ({lenient})""",
         "parts_round_trip": parts,
         "stream_runs_then_merge": positions(part_records),
+        "streams_share_runs": f"""SELECT text, count(*) AS lines, cast(sum(num) AS BIGINT) AS nums FROM ({strict})
+            GROUP BY text""",
+        "stream_rejects": f"""SELECT reason, count(*) AS lines FROM (SELECT 'accepted' AS reason FROM ({strict})
+            UNION ALL SELECT reason FROM ({rejected})) GROUP BY reason""",
+        "store_positions": positions(part_records),
+        "store_lines_between": f"SELECT * FROM ({positions(part_records)}) WHERE position BETWEEN 51 AND 150",
+        "store_texts_between": f"""SELECT * FROM ({positions(part_records)})
+            WHERE {fold('text')} BETWEEN 'B' AND 'LINEN'""",
+        "store_ranks": f"""SELECT cast(num AS INTEGER) AS num, text, position FROM (SELECT num, text, 1 + cast(count(*) FILTER (stored = 1) OVER (ORDER BY {fold('text')}, num, text, stored
+            ROWS UNBOUNDED PRECEDING) AS BIGINT) AS position, stored FROM (
+            SELECT num, text, 1 AS stored FROM ({part_records}) UNION ALL
+            SELECT c_nationkey, lower(c_mktsegment), 0 FROM customer UNION ALL SELECT p_size, p_name, 0 FROM part)) WHERE stored = 0""",
         "word_lists": f"""SELECT p_partkey, cast(unnest(range(len(words))) AS INTEGER) AS seq, unnest(words) AS word
             FROM ({words})""",
         "word_file": f"""SELECT cast(row_number() OVER (ORDER BY p_partkey) - 1 AS INTEGER) AS seq, {LISTED_WORD} AS word

@@ -1,6 +1,6 @@
 """Operators: plain functions from DataFrames to DataFrames."""
 
-from lineflow.operators.chunks import assign_chunks, run_stats, sort_groups
+from lineflow.operators.chunks import assign_chunks, greedy_chunks, run_stats, sort_groups
 from lineflow.operators.ordering import range_sort, sort_partitions, totals_before, with_positions
 from lineflow.operators.parse import parse_keys, parse_lines, reject_counts, rejects, render_lines
 from lineflow.operators.sort import (
@@ -16,6 +16,7 @@ from lineflow.operators.take import assign_parts, part_stats, take_bytes
 __all__ = [
     "assign_chunks",
     "assign_parts",
+    "greedy_chunks",
     "group_positions",
     "line_order",
     "line_positions",

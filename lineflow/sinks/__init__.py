@@ -1,4 +1,4 @@
-"""Sinks.  All replace what is at the path."""
+"""Sinks.  All but ``append_text`` replace what is at the path."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from lineflow.operators.sort import sort_chunks, sort_lines
 from lineflow.sources.text import LINE_FEED
 from lineflow.workspace import session_setting
 
-__all__ = ["write_groups", "write_parts", "write_runs", "write_single", "write_sorted", "write_text"]
+__all__ = ["append_text", "write_groups", "write_parts", "write_runs", "write_single", "write_sorted", "write_text"]
 
 
 # Files a task writes at the same time.
@@ -25,6 +25,11 @@ def write_text(lines: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").text(path, lineSep=LINE_FEED)
 
 
+def append_text(lines: DataFrame, path: str) -> None:
+    """Add files with the column ``value`` as it is to a folder."""
+    lines.write.mode("append").text(path, lineSep=LINE_FEED)
+
+
 def write_sorted(records: DataFrame, path: str) -> None:
     """Sort and write lines; the files joined in the order of their part numbers are the sorted text.
 

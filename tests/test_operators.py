@@ -195,3 +195,41 @@ def test_rows_from_a_shuffle_are_written_before_they_are_split(spark):
     assert "Scan parquet" in plan(shuffled) and "hashpartitioning" not in plan(shuffled)
     sizes = [[len(p) for p in op.sort_lines(copies.select("num", "text")).rdd.glom().collect()] for _ in range(2)]
     assert sizes[0] == sizes[1] and sum(sizes[0]) == 40_000
+
+
+# ---- greedy chunks ---------------------------------------------------------
+
+
+def plain_greedy(rows, most):
+    """(source, place) to chunk, filling one buffer after the other."""
+    found, state = {}, {}
+    for source, place, length in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        chunk, used, any_chars = state.get(source, (0, 0, False))
+        length = length or 0
+        if length and any_chars and used + length > most:
+            chunk, used = chunk + 1, 0
+        state[source] = chunk, used + length, any_chars or length > 0
+        found[source, place] = chunk
+    return found
+
+
+@pytest.mark.parametrize(
+    "most, lengths, n", [(20, [0, 3, 5, 9, 12], 900), (20, [0, 1, 30, 700, 15], 400), (1, [0, 1, 2], 50), (10**7, [0, 900_000, 5_000_000], 60), (50, [0, None], 9)]
+)
+def test_greedy_chunks_against_one_buffer(spark, most, lengths, n):
+    rng = random.Random(most)
+    rows = [(source, i, rng.choice(lengths)) for source in ("a", None, "b c") for i in rng.sample(range(10**6), n if source else 40)]
+    df = spark.createDataFrame(rows, "source string, place long, length int").repartition(5)
+    chunks = op.greedy_chunks(df.withColumn("block", F.lit("clash")), most, ["source"], ["place"], chars="length")
+    assert chunks.columns == ["source", "place", "length", "block", "chunk_id"]
+    assert {(r.source, r.place): r.chunk_id for r in chunks.collect()} == plain_greedy(rows, most)
+
+
+def test_greedy_chunks_of_texts(spark):
+    rows = [("x", 1, "🙂🙂"), ("x", 2, "ab"), ("x", 3, None), ("x", 4, "c"), ("x", 5, "🙂")]
+    df = spark.createDataFrame(rows, "source string, place int, text string")
+    chunks = op.greedy_chunks(df, 6, ["source"], ["place"])
+    assert [r.chunk_id for r in chunks.orderBy("place").collect()] == [0, 0, 0, 1, 1]
+    assert op.greedy_chunks(df.filter("false"), 6, ["source"], ["place"]).collect() == []
+    with pytest.raises(ValueError):
+        op.greedy_chunks(df, 0, ["source"], ["place"])

@@ -357,20 +357,64 @@ def test_stream_runs(spark, tmp_path, sample):
     arrive("a", sample[:100])
     arrive("b", sample[100:150])
     drain()
-    assert sorted(os.listdir(runs)) == ["run=0", "run=1"]
+    assert sorted(name[-2:] for name in os.listdir(runs) if name.startswith("run=")) == ["-0", "-1"]
     drain()
     arrive("c", sample[150:300])
     drain()
     files = run_rows(spark, runs)
     assert all(rows == expected_order(rows) for rows in files.values())
     assert streaming.read_stream_runs(spark, runs).select("run").distinct().count() == 3
-    # A repeated batch replaces its folder.
-    first = [row for name, rows in files.items() if "run=0" in name for row in rows]
-    sinks.write_runs(spark.createDataFrame(first, "num int, text string"), f"{runs}/run=0")
     streaming.compact_runs(spark, runs, str(tmp_path / "out"))
     assert joined(tmp_path / "out") == rendered(expected_order(expected))
 
 
+def lines_and_rejects(spark, runs, bad):
+    kept = sorted((r.num, r.text) for r in streaming.read_stream_runs(spark, runs).collect())
+    return kept, sorted((r.value, r.reason) for r in streaming.read_stream_rejects(spark, runs, bad).collect())
+
+
+def test_streams_with_checkpoints_of_their_own_share_a_folder(spark, tmp_path):
+    runs, bad = str(tmp_path / "runs"), str(tmp_path / "bad")
+    assert lines_and_rejects(spark, runs, bad) == ([], [])
+    for name in "ab":
+        os.makedirs(tmp_path / name)
+        (tmp_path / name / "in.txt").write_text(f"2. {name}\n1. {name}\nbad {name}\n")
+        lines = streaming.stream_lines(spark, str(tmp_path / name), parse=False)
+        streaming.stream_runs(lines, runs, str(tmp_path / f"check-{name}"), rejected=bad).awaitTermination()
+    kept = [(1, "a"), (1, "b"), (2, "a"), (2, "b")]
+    assert lines_and_rejects(spark, runs, bad) == (kept, [("bad a", "no_dot"), ("bad b", "no_dot")])
+    entries = streaming.committed_batches(spark, runs).collect()
+    assert sorted((e.batch, e.lines, e.bytes, e.rejected) for e in entries) == [(0, 2, 10, 1)] * 2
+    assert len({e.query for e in entries}) == 2
+
+
+@pytest.mark.parametrize("entry", ["written", "missing"])
+def test_a_replayed_batch_adds_nothing(spark, tmp_path, entry):
+    """The checkpoint forgets that the batch was done; its entry may be there or not."""
+    runs, bad, checkpoint = (str(tmp_path / n) for n in ("runs", "bad", "check"))
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "in.txt").write_text("2. x\n1. x\nbad\n")
+    for _ in range(2):
+        lines = streaming.stream_lines(spark, str(tmp_path / "in"), parse=False)
+        streaming.stream_runs(lines, runs, checkpoint, rejected=bad).awaitTermination()
+        assert lines_and_rejects(spark, runs, bad) == ([(1, "x"), (2, "x")], [("bad", "no_dot")])
+        os.remove(f"{checkpoint}/commits/0")
+        for crc in glob.glob(f"{checkpoint}/commits/.*"):
+            os.remove(crc)
+        if entry == "missing":
+            os.rename(f"{runs}/_commits", str(tmp_path / f"forgotten-{len(os.listdir(tmp_path))}"))
+            assert lines_and_rejects(spark, runs, bad) == ([], [])
+
+
+def test_a_batch_without_lines(spark, tmp_path):
+    os.makedirs(tmp_path / "in")
+    (tmp_path / "in" / "in.txt").write_text("no line\n")
+    runs = str(tmp_path / "runs")
+    streaming.stream_runs(streaming.stream_lines(spark, str(tmp_path / "in")), runs, str(tmp_path / "check")).awaitTermination()
+    assert streaming.read_stream_runs(spark, runs).collect() == []
+    assert [(e.lines, e.bytes) for e in streaming.committed_batches(spark, runs).collect()] == [(0, 0)]
+
+
 def test_stream_with_interval(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     (tmp_path / "in" / "a.txt").write_text("2. b\n1. a\n")
