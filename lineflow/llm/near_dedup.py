@@ -151,12 +151,12 @@ def near_components(
     confirmed on the full sets; none is made otherwise, and one is missed with a
     chance below RISK.
     """
-    sketches, links = _sketches_and_links(docs, words, percent, doc_id, text, size)
+    sketches, found = _sketches_and_components(docs, words, percent, doc_id, text, size)
     filled = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     # Rows that repeat an id have several sets; the id itself links them.
     several = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a != last")
-    same_id = filled.join(several, "doc_id").select("a", F.col("node").alias("b")).distinct()
-    labels = _labelled(filled, components(links.unionByName(same_id.filter("a != b"))))
+    same_id = filled.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a != b").distinct()
+    labels = _labelled(filled, _linked_further(found, materialize(same_id, "same-id")))
     least = labels.groupBy("label").agg(F.min("doc_id").alias("component"))
     of_id = materialize(labels.select("doc_id", "label").distinct().join(least, "label").select("doc_id", "component"), "of-id")
     found = sketches.join(of_id.withColumnRenamed("doc_id", "of"), F.col("doc_id") == F.col("of"), "left")
@@ -172,8 +172,30 @@ def _labelled(filled: DataFrame, found: DataFrame) -> DataFrame:
     return materialize(joined.select("doc_id", "text_key", "node", F.coalesce("component", "node").alias("label")), "labels")
 
 
-def _sketches_and_links(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, size: int):
-    """doc_id, text_key, n_shingles, node, sketch of each row; and links (a, b) between nodes.
+def _linked_further(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, component after more ``links``, which connect components rather than nodes.
+
+    There are few of these, so what is searched for components again is small.
+    """
+    if links.isEmpty():
+        return found
+
+    def of(end: str) -> DataFrame:
+        return found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    ends = ends.select("a", "b", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    ends = materialize(ends, "linked-components")
+    upper = components(ends.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    upper = materialize(upper.select(F.col("node").alias("below"), F.col("component").alias("above")), "upper")
+    alone = ends.select(F.col("a").alias("node")).unionByName(ends.select(F.col("b").alias("node"))).distinct()
+    alone = alone.join(found, "node", "left_anti").select("node", F.col("node").alias("component"))
+    joined = found.unionByName(alone).join(upper, F.col("component") == F.col("below"), "left")
+    return materialize(joined.select("node", F.coalesce("above", "component").alias("component")), "components")
+
+
+def _sketches_and_components(docs: DataFrame, words: int, percent: int, doc_id: str, text: str, size: int):
+    """doc_id, text_key, n_shingles, node, sketch of each row; and the component of each linked node.
 
     A node is the key of a set, so equal sets are one.  Of all links, enough are made to
     connect what any links connect.
@@ -201,14 +223,15 @@ def _sketches_and_links(docs: DataFrame, words: int, percent: int, doc_id: str,
     lists = materialize(lists.join(leaders, "value"), "led-lists")
     led = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = materialize(_confirmed(led, classes, sets, percent, size), "led-links")
-    mixed = _mixed_lists(lists, components(links))
+    found = materialize(components(links), "components")
+    mixed = _mixed_lists(lists, found)
     within = materialize(_compared_within_blocks(mixed.filter("many"), sets, percent), "block-links")
-    links = links.unionByName(within)
-    if within.count():
-        mixed = _mixed_lists(lists, components(links))
+    if not within.isEmpty():
+        found = _linked_further(found, within)
+        mixed = _mixed_lists(lists, found)
     few = _confirmed(_paired(mixed.filter("NOT many"), percent), classes, sets, percent, size)
     many = _compared_in_blocks(mixed.filter("many"), sets, percent)
-    return sketches, materialize(links.unionByName(few).unionByName(many), "near-links")
+    return sketches, _linked_further(found, materialize(few.unionByName(many), "near-links"))
 
 
 def _inverted_lists(classes: DataFrame, percent: int, size: int) -> DataFrame:
@@ -412,8 +435,8 @@ def drop_near_copies(
     are one document and stay or go together.  Rows with a null id and those without
     words stay.
     """
-    sketches, links = _sketches_and_links(docs, words, percent, doc_id, text, SKETCH)
-    labels = _labelled(sketches.filter("doc_id IS NOT NULL AND n_shingles > 0"), components(links))
+    sketches, found = _sketches_and_components(docs, words, percent, doc_id, text, SKETCH)
+    labels = _labelled(sketches.filter("doc_id IS NOT NULL AND n_shingles > 0"), found)
     stays = labels.groupBy("label").agg(F.min(F.struct("doc_id", "node", "text_key")).alias("row")).select("row.*")
     gone = labels.join(stays, ["doc_id", "node", "text_key"], "left_anti").select(
         F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")

@@ -26,6 +26,7 @@ from lineflow.llm.words import id_and_text, lower_words
 
 MAGIC = b"WAVM"
 BLOCK_BYTES = 1 << 16  # of a plane; each block is compressed by itself
+RANK_BITS = 512  # ones of a block are counted by so many bits
 
 #: Characters of text that go into a shard, about, and ids after which one ends.
 SHARD_CHARS = 16_000_000
@@ -33,6 +34,9 @@ SHARD_IDS = 1 << 23
 
 #: Words whose ids a worker remembers at least, and at most about twice as many.
 REMEMBERED_WORDS = 500_000
+#: Bytes of a word beyond which it is not remembered.
+LONG_WORD = 64
+
 ROWS_AT_A_TIME = 256
 
 
@@ -112,7 +116,11 @@ class WaveletMatrix:
             starts = self.head["blocks"][level]
             end = starts[block + 1] if block + 1 < len(starts) else self._end_of(level)
             plane = np.frombuffer(zlib.decompress(self.body[starts[block] : end]), np.uint8)
-            known = self._block[level, block] = np.unpackbits(plane, bitorder="little")
+            bits = np.unpackbits(plane, bitorder="little")
+            padded = np.zeros(-(-len(bits) // RANK_BITS) * RANK_BITS, np.uint8)
+            padded[: len(bits)] = bits
+            counts = padded.reshape(-1, RANK_BITS).sum(axis=1, dtype=np.int64)
+            known = self._block[level, block] = bits, np.concatenate([[0], np.cumsum(counts)])
             if len(self._block) > 4 * self.bits:
                 self._block.pop(next(iter(self._block)))
         return known
@@ -126,7 +134,9 @@ class WaveletMatrix:
         if place >= self.n:
             return self.n - self.zeros[level]
         block, within = divmod(place, BLOCK_BYTES * 8)
-        return self.head["ones"][level][block] + int(self._bits_of(level, block)[:within].sum())
+        bits, counts = self._bits_of(level, block)
+        near = within // RANK_BITS
+        return self.head["ones"][level][block] + int(counts[near]) + int(bits[near * RANK_BITS : within].sum())
 
     def access(self, place: int) -> int:
         """The id at a place."""
@@ -135,7 +145,7 @@ class WaveletMatrix:
         value = 0
         for level in range(self.bits):
             block, within = divmod(place, BLOCK_BYTES * 8)
-            bit, ones = int(self._bits_of(level, block)[within]), self._ones(level, place)
+            bit, ones = int(self._bits_of(level, block)[0][within]), self._ones(level, place)
             value = value << 1 | bit
             place = self.zeros[level] + ones if bit else place - ones
         return value
@@ -180,7 +190,7 @@ class WaveletMatrix:
         width, counts = BLOCK_BYTES * 8, self.head["ones"][level]
         before = counts if one else [i * width - c for i, c in enumerate(counts)]
         block = bisect.bisect_right(before, number) - 1
-        bits = self._bits_of(level, block)[: self.n - block * width]
+        bits = self._bits_of(level, block)[0][: self.n - block * width]
         return block * width + int(np.flatnonzero(bits == one)[number - before[block]])
 
     def all_ids(self):
@@ -220,7 +230,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = [token.content.lower() for token in added]
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -263,11 +274,26 @@ class WordTokenizer:
         if len(self.known) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
         known = self.known
-        words_of = [lower_words(text) for text in texts]
+        # The tokenizer looks for its special tokens before it folds case: such texts are its own.
+        whole = {place for place, text in enumerate(texts) if self._may_be_special(text)}
+        words_of = [lower_words(text) if place not in whole else [] for place, text in enumerate(texts)]
         new = {word for words in words_of for word in words if word not in known}
         if new:
             self._learn(new)
-        return [b"".join([known[word] for word in words]) for words in words_of]
+        found = [b"".join([known[word] for word in words]) for words in words_of]
+        for place, ids in zip(sorted(whole), self._encoded([texts[place] for place in sorted(whole)])):
+            found[place] = ids
+        for word in new:
+            if len(word) > LONG_WORD:
+                known.pop(word, None)
+                known.pop(word[:-1], None)
+        return found
+
+    def _may_be_special(self, text: str) -> bool:
+        if "<" not in text and all("<" in token for token in self.special):
+            return False
+        folded = text.lower()
+        return any(token in folded for token in self.special)
 
 
 def ids_bytes(ids: list[int]) -> bytes:
@@ -302,7 +328,7 @@ def write_shards(
     """Encode every row, append ``end_id``, and write shards in ascending order of doc_id.
 
     Null text is empty: the end id alone.  Null ids come first.  Rows that repeat an
-    id are neighbours, ordered by text.  An empty table writes no shard.
+    id are neighbours, ordered by a hash of the text.  An empty table writes no shard.
 
     One range shuffle by id; a partition is written as one shard, or as several if it
     holds more than SHARD_IDS ids, so a task keeps one shard in memory.  A document is
@@ -313,7 +339,10 @@ def write_shards(
         tokenizer = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = id_and_text(docs, doc_id, text).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = rows.agg(F.sum(F.char_length("text").cast("long"))).first()[0] or 0
-    ordered = rows.repartitionByRange(1 + chars // shard_chars, "doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows of one id, or without one, are told apart by their text, and copies by their place.
+    keyed = rows.withColumns({"key": F.xxhash64("text"), "salt": F.shiftright(F.monotonically_increasing_id(), 10)})
+    ranged = keyed.repartitionByRange(1 + chars // shard_chars, "doc_id", "key", "salt")
+    ordered = ranged.sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     files = ordered.mapInArrow(_shard_batches(tokenizer, end_id), "file binary")
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 

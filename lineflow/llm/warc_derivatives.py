@@ -12,11 +12,13 @@ place itself, is joined with the next.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -171,40 +173,45 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def _record_batches(batches: Iterator) -> Iterator:
     found, held, file, size = [], None, None, 0
 
-    def done(truncated: bool):
-        head, block, length = held
-        found.append((head, block[:length], truncated))
+    def done():
+        head, parts, so_far, length = held
+        found.append((head, b"".join(parts)[:length], so_far < length))
 
     between = f"{RECORD_END}{VERSION}{LINE}".encode()
     for batch in batches:
         for piece, of in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if held is not None:
-                joined = held[1] + between + piece
-                if of == file and len(held[1]) < held[2]:
-                    held = (held[0], joined, held[2])
+                head, parts, so_far, length = held
+                if of == file and so_far < length:
+                    parts += (between, piece)
+                    held = head, parts, so_far + len(between) + len(piece), length
                     continue
-                done(len(held[1]) < held[2])
-                size += len(held[1])
+                done()
+                size += so_far
             held, file = _parsed(piece), of
             if size > 8_000_000 or len(found) >= ROWS_AT_A_TIME:
                 yield _rows(found)
                 found, size = [], 0
     if held is not None:
-        done(len(held[1]) < held[2])
+        done()
     if found:
         yield _rows(found)
 
 
 def _parsed(piece: bytes) -> tuple:
-    """Header lines, what follows them, and how long the block is said to be."""
+    """Header lines, what follows them in a list, its length, and how long the block is said to be.
+
+    A length that is no number is as good as none: the block is what is there.
+    """
     head, _, block = piece.removeprefix(f"{VERSION}{LINE}".encode()).partition(b"\r\n\r\n")
     lines, length = [], len(block)
     for line in head.decode("utf-8", "replace").split(LINE):
         if line[:15].lower() == "content-length:":
-            length = int(line[15:])
+            said = line[15:].strip()
+            length = int(said) if said.isascii() and said.isdecimal() else len(block)
         else:
             lines.append(line)
-    return LINE.join(lines), block, length
+    return LINE.join(lines), [block], len(block), length
 
 
 # ---- derivatives -----------------------------------------------------------
@@ -217,8 +224,10 @@ def derive(records: DataFrame) -> DataFrame:
     as JSON the HTTP status, the source's headers in order, both digests and their
     check, the title and the links.  The conversion holds the plain text and the
     digest of the payload it was made from.  A digest that does not match, or a
-    truncated block, is said in the metadata and does not stop the conversion.
-    Records of other types give none.
+    truncated block, is said in the metadata and does not stop the conversion.  Names of
+    fields and media types are taken without regard to case; gzip, deflate and chunked
+    bodies are unpacked, one in another encoding or broken gives an empty conversion, and
+    the metadata says so.  Records of other types give none.
     """
     ship_package(records.sparkSession)
 
@@ -235,17 +244,19 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) -> list[tuple]:
-    known = dict(fields)
-    if known.get("WARC-Type", "").lower() != "response":
+    known = {name.strip().lower(): value for name, value in fields}
+    if known.get("warc-type", "").lower() != "response":
         return []
     head, gap, payload = block.partition(b"\r\n\r\n")
     if not gap:
         head, payload = b"", block
     status, *lines = head.decode("utf-8", "replace").split(LINE)
     headers = [(n.strip(), v.strip()) for n, c, v in (line.partition(":") for line in lines) if c]
-    kind = next((v for n, v in headers if n.lower() == "content-type"), "")
+    named = {n.lower(): v.lower() for n, v in reversed(headers)}
+    kind = named.get("content-type", "")
     charset = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind)
-    page = _decoded(payload, charset[1] if charset else "utf-8")
+    body = _unpacked(payload, named)
+    page = _decoded(body or b"", charset[1] if charset else "utf-8")
     digest = sha1_of(payload)
     title = _TITLE.search(page)
     facts = {
@@ -253,8 +264,9 @@ def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) ->
         "headers": headers,
         "payload_digest": digest,
         "block_digest": sha1_of(block),
-        "digests_match": known.get("WARC-Payload-Digest", digest) == digest,
+        "digests_match": known.get("warc-payload-digest", digest) == digest,
         "truncated": truncated,
+        "body_decoded": body is not None,
         "title": " ".join(html.unescape(_TAGS.sub("", title[1])).split()) if title else None,
         "links": [html.unescape(link) for link in _LINKS.findall(page)],
     }
@@ -263,14 +275,14 @@ def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) ->
         ("metadata", "application/json", json.dumps(facts, ensure_ascii=False).encode()),
         ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")),
     )
-    source = known.get("WARC-Record-ID", "")
+    source = known.get("warc-record-id", "")
     return [
         (
             head_of([
                 ("WARC-Type", name),
                 ("WARC-Record-ID", record_id(f"{source}\n{name}")),
                 ("WARC-Refers-To", source),
-                *((n, known[n]) for n in INHERITED if n in known),
+                *((n, known[n.lower()]) for n in INHERITED if n.lower() in known),
                 ("WARC-Source-Payload-Digest", digest),
                 ("WARC-Block-Digest", sha1_of(content)),
                 ("Content-Type", kind_of),
@@ -282,6 +294,43 @@ def derivatives(fields: list[tuple[str, str]], block: bytes, truncated: bool) ->
     ]
 
 
+def _unpacked(payload: bytes, headers: dict[str, str]) -> bytes | None:
+    """A body without its transfer and content encodings; None if one is unknown or broken.
+
+    What of a broken body comes before the fault is not told from the whole, so it is
+    not used.
+    """
+    if "chunked" in headers.get("transfer-encoding", ""):
+        parts, at = [], 0
+        while True:
+            line = payload.find(b"\r\n", at)
+            try:
+                length = int(payload[at:line].split(b";")[0], 16) if line >= 0 else -1
+            except ValueError:
+                length = -1
+            if length < 0 or line + 2 + length > len(payload):
+                break  # not in chunks, or cut off: as it is
+            if length == 0:
+                payload = b"".join(parts)
+                break
+            parts.append(payload[line + 2 : line + 2 + length])
+            at = line + 2 + length + 2
+    for coding in reversed([c.strip() for c in headers.get("content-encoding", "").split(",")]):
+        try:
+            if coding in ("gzip", "x-gzip"):
+                payload = gzip.decompress(payload)
+            elif coding == "deflate":
+                try:
+                    payload = zlib.decompress(payload)
+                except zlib.error:  # without the header that belongs there
+                    payload = zlib.decompress(payload, -zlib.MAX_WBITS)
+            elif coding not in ("", "identity"):
+                return None
+        except (OSError, EOFError, zlib.error):
+            return None
+    return payload
+
+
 def _decoded(payload: bytes, charset: str) -> str:
     try:
         return payload.decode(charset, "replace")
@@ -293,7 +342,7 @@ def record_digests(records: DataFrame) -> DataFrame:
     """Of each record its type, ids, target, digests and block, in plain columns."""
 
     def field(name: str) -> Column:
-        return F.nullif(F.regexp_extract("head", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
+        return F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)\r?$", 1), F.lit(""))
 
     return records.select(
         field("X-Source-Id").cast("long").alias("page_id"),

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from lineflow.llm import token_shards as ts
@@ -15,7 +16,6 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
@@ -50,6 +50,8 @@ def test_not_a_shard():
 
 WORDS = [
     "it's don't I'LL. x's, 'S 'st ab's. ΑΣ, Σ. İ. ſ, K. é. á, <|endoftext|>. a<|endoftext|>, 12.5, x.y. ..., .,.",
+    "first text.<|endoftext|>second text. <|startoftext|> <|ENDOFTEXT|>x <|endoftext|><|endoftext|>",
+    "Before <|StartOfText|> and <|endoftext|>After.",
     "ABC.DEF, 日本語. ﬁne. a.́ b,̀ \x1f \x1fa a\x1f   a b \x85 x y",
 ]
 
@@ -66,7 +68,9 @@ def test_words_against_whole_texts(plain, monkeypatch):
 
 def expected(rows, plain):
     start, found = 0, []
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    # Rows of one id follow each other by the hash that Spark's xxhash64 gives.
+    hashed = lambda text: np.uint64(xxhash.xxh64_intdigest((text or "").encode(), 42)).astype(np.int64)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed(r[1])))
     for doc, text in order:
         ids = plain(text) + [2]
         found.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -83,6 +87,23 @@ def test_shards_round_trip(spark, odd, plain, monkeypatch, chars, ids):
     assert found == expected([r[:2] for r in ODD_ROWS], plain)
 
 
+def test_special_tokens_in_the_table(spark, docs, plain):
+    rows = [(i, text) for i, text in enumerate([*WORDS, "x", None])]
+    path = scratch_path(spark, "shards")
+    ts.write_shards(docs(*rows), path, PATH, 2)
+    found = sorted((tuple(r) for r in ts.shard_documents(spark, path).collect()), key=lambda r: r[1])
+    assert found == expected(rows, plain)
+
+
+def test_long_words_are_not_remembered(plain):
+    with open(PATH, encoding="utf-8") as file:
+        ours = ts.WordTokenizer(file.read())
+    texts = ["x" * 5000 + ". y", "y " + "é" * 300]
+    for _ in range(2):
+        assert ours.encode(texts) == [ts.ids_bytes(plain(text)) for text in texts]
+    assert max(map(len, ours.known)) <= ts.LONG_WORD
+
+
 def test_the_table_and_a_token(spark, plain):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

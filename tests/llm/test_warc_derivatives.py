@@ -1,6 +1,8 @@
 import gzip
 import json
 import os
+import time
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,70 @@ def test_text_of_pages_whose_head_is_not_closed():
     head = "<html><head><meta charset=utf-8><title>A title</title><style>p{}</style>"
     for start in (head, head + "<body>", head + "</head>", head + "</head><body>", "<title>A title</title>", "<head><title>A title</head><body>"):
         assert wd.plain_text(start + "<p>One <b>two</b><p>Three</body></html>") == "One two\nThree"
+
+
+# ---- what other writers leave ----------------------------------------------
+
+
+def http(body, *headers):
+    return b"\r\n".join([b"HTTP/1.1 200 OK", *headers, b"", body])
+
+
+def derived_of(spark, tmp_path, *records):
+    """Derivatives of a file with these heads and blocks: (type, refers to, block)."""
+    content = b"".join(b"WARC/1.0\r\n" + head + b"\r\n\r\n" + block + b"\r\n\r\n" for head, block in records)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(content))
+    found = wd.derive(wd.read_warc(spark, str(tmp_path / "in"))).collect()
+    return [(f["WARC-Type"], f["WARC-Refers-To"], bytes(r.block)) for r in found for f in [dict(wd.fields_of(r.head))]]
+
+
+@pytest.mark.parametrize("length", [b"abc", b"-5", b"", "٣".encode(), b"1e3"])
+def test_a_length_that_is_no_number(spark, tmp_path, length):
+    block = http(b"<p>one")
+    head = b"WARC-Type: response\r\nWARC-Record-ID: <r1>\r\nContent-Length: " + length
+    good = b"WARC-Type: response\r\nWARC-Record-ID: <r2>\r\nContent-Length: " + str(len(block)).encode()
+    found = derived_of(spark, tmp_path, (head, block), (good, block))
+    assert [(t, of) for t, of, _ in found] == [(t, of) for of in ("<r1>", "<r2>") for t in ("metadata", "conversion")]
+    assert found[1][2] == found[3][2] == b"one"
+
+
+def test_names_and_media_types_have_no_case(spark, tmp_path):
+    block = http(b"<p>one</p>two", b"CONTENT-TYPE: TEXT/HTML; CHARSET=UTF-8")
+    head = b"warc-type: Response\r\nwarc-record-id: <r>\r\nwarc-target-uri: http://e.org/\r\nCONTENT-LENGTH: " + str(len(block)).encode()
+    found = derived_of(spark, tmp_path, (head, block))
+    assert [(t, of) for t, of, _ in found] == [("metadata", "<r>"), ("conversion", "<r>")]
+    assert found[1][2] == b"one\ntwo"
+
+
+PAGE = "<p>Grüße</p>".encode()
+
+
+@pytest.mark.parametrize(
+    "headers, body, text, decoded",
+    [
+        ([b"Content-Encoding: gzip"], gzip.compress(PAGE), "Grüße", True),
+        ([b"content-encoding: X-GZIP"], gzip.compress(PAGE), "Grüße", True),
+        ([b"Content-Encoding: deflate"], zlib.compress(PAGE), "Grüße", True),
+        ([b"Content-Encoding: deflate"], zlib.compress(PAGE)[2:-4], "Grüße", True),
+        ([b"Transfer-Encoding: chunked"], b"5\r\n<p>Gr\r\n9;x=1\r\n" + PAGE[5:14] + b"\r\n0\r\n\r\n", "Grüße", True),
+        ([b"Content-Encoding: gzip"], gzip.compress(PAGE)[:-9], "", False),
+        ([b"Content-Encoding: br"], b"whatever", "", False),
+        ([b"Content-Encoding: identity"], PAGE, "Grüße", True),
+    ],
+)
+def test_encoded_bodies(headers, body, text, decoded):
+    found = wd.derivatives([("WARC-Type", "response")], http(body, b"Content-Type: text/html", *headers), False)
+    assert found[1][1].decode() == text and json.loads(found[0][1])["body_decoded"] is decoded
+
+
+def test_many_separators_in_a_block_take_linear_time():
+    import pyarrow as pa
+
+    piece = b"x" * 20
+    head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 100000000\r\n\r\n"
+    table = pa.table({"value": [head] + [piece] * 60_000, "file": ["f"] * 60_001})
+    start = time.perf_counter()
+    (found,) = [r for b in wd._record_batches(iter(table.to_batches())) for r in b.to_pylist()]
+    assert found["truncated"] and len(found["block"]) == 60_000 * (20 + 14)
+    assert time.perf_counter() - start < 5
