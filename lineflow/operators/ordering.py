@@ -42,13 +42,17 @@ def range_sort(df: DataFrame, *by: Column | str) -> DataFrame:
     does not compute it again.  Input that holds a shuffle is written first, by a job
     at the time of the call.
     """
-    if _order_may_change(df):
-        df = materialize(df, "sort-input")
+    df = stable_order(df)
     salt = F.shiftright(F.monotonically_increasing_id(), _SALT_BITS)
     spread = df.withColumn(_SALT, salt).repartitionByRange(*by, _SALT).drop(_SALT)
     return sort_partitions(spread, *by)
 
 
+def stable_order(df: DataFrame) -> DataFrame:
+    """``df``, read from a table if its rows could come in another order when a task runs again."""
+    return materialize(df, "sort-input") if _order_may_change(df) else df
+
+
 def _order_may_change(df: DataFrame) -> bool:
     """True if a task run again may see the rows of ``df`` in another order."""
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -233,3 +234,45 @@ def test_greedy_chunks_of_texts(spark):
     assert op.greedy_chunks(df.filter("false"), 6, ["source"], ["place"]).collect() == []
     with pytest.raises(ValueError):
         op.greedy_chunks(df, 0, ["source"], ["place"])
+
+
+# ---- prefixes by selection -------------------------------------------------
+
+
+def plain_prefix(rows, target):
+    """rows (group, key, num, text) in order, each group until its bytes are reached."""
+    kept, before = [], {}
+    for group, key, num, text in rows:
+        if before.get(group, 0) < target:
+            kept.append((group, key, num, text))
+        before[group] = before.get(group, 0) + (0 if text is None else len(f"{num}. {text}\n".encode()))
+    return kept
+
+
+KEYS = {
+    "long": lambda rng: rng.choice([None, -5, 2**60, rng.randrange(1000), rng.randrange(10)]),
+    "double": lambda rng: rng.choice([None, float("inf"), float("-inf"), 0.5, rng.random(), -rng.random() * 1e300, 1e300]),
+    "string": lambda rng: rng.choice([None, "", "a", "same prefix " + str(rng.randrange(50)), "é🙂" * rng.randrange(3), chr(rng.randrange(65, 120))]),
+    "date": lambda rng: rng.choice([None, datetime.date(1960 + rng.randrange(100), 1, 5)]),
+    "boolean": lambda rng: rng.choice([None, True, False]),
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+@pytest.mark.parametrize("target", [0, 1, 300, 10**6])
+def test_prefix_against_a_loop(spark, kind, target):
+    rng = random.Random(f"{kind}{target}")
+    rows = [(rng.choice(["a", "b", None]), KEYS[kind](rng), i, rng.choice([None, "x" * rng.randrange(30)])) for i in range(300)]
+    df = spark.createDataFrame(rows, f"grp string, key {kind}, num int, text string")
+    ordered = [tuple(r) for r in df.orderBy("key", "num").collect()]
+    found = op.take_bytes(df.repartition(4), target, ["grp"], ["key", "num"])
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(plain_prefix(ordered, target), key=repr)
+    alone = [(None, *row[1:]) for row in ordered]
+    found = op.take_bytes(df.drop("grp"), target, [], ["key", "num"]).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted((r[1:] for r in plain_prefix(alone, target)), key=repr)
+
+
+def test_prefix_of_nan_keys(spark):
+    rows = [(float(k), i, "text") for i, k in enumerate(["nan", "1", "inf", "nan", "2"])]
+    df = spark.createDataFrame(rows, "key double, num int, text string")
+    assert sorted(r.num for r in op.take_bytes(df, 3 * 8 + 1, [], ["key", "num"]).collect()) == [0, 1, 2, 4]

@@ -85,3 +85,10 @@ def test_statistics_combine_before_the_shuffle(stored):
     shape = plan(lf.part_stats(lf.assign_parts(stored, "num", 32, 16)))
     assert "partial_count" in shape and "partial_sum" in shape and shape.count("Exchange") == 1
     assert "ReadSchema: struct<num:int,text:string>" in shape
+
+
+def test_prefix_sorts_one_range_only(stored):
+    """Rows before the cut come out of a scan; what is sorted is one range."""
+    shape = plan(lf.take_bytes(stored.select("num", "text"), 20_000, [], ["num"]))
+    before = shape[: shape.index("Scan parquet")]
+    assert "Exchange rangepartitioning" not in shape and "MapInArrow" not in shape and "Sort" not in before
