@@ -154,7 +154,9 @@ def write_warc(records: DataFrame, path: str) -> None:
     """
     length = F.concat(F.lit(f"{LINE}Content-Length: "), F.octet_length("block").cast("string"), F.lit(RECORD_END))
     value = F.concat(F.concat(F.lit(f"{VERSION}{LINE}"), "head", length).cast("binary"), F.col("block")).cast("string")
-    records.select(value.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip").text(path)
+    writer = records.select(value.alias("value")).write.option("lineSep", RECORD_END).option("compression", "gzip")
+    # The default level takes several times as long for files a fifth smaller.
+    writer.option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
