@@ -73,6 +73,8 @@ CASED_TYPE = "CASE WHEN p_partkey % 2 = 1 THEN lower(p_type) ELSE p_type END"
 
 COMPARED_TYPE = "CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_type END"
 
+GURMUKHI = "text || 'ਅĀਅ'"
+
 LISTED_WORD = "p_name || ', \"' || p_type || '\" ' || cast(p_partkey AS string)"
 
 
@@ -347,6 +349,29 @@ def utf16_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lf.parse_lines(lf.read_lines(spark, path, encoding="UTF-16LE"))
 
 
+def mixed_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of three encodings in one folder, told by their byte order marks.
+
+    The text holds characters between whose bytes a line feed seems to stand.
+    """
+    folder = lf.scratch_path(spark, "encodings")
+    lines = lf.render_lines(_document_lines(spark, sf_dir).select("doc_id", "num", F.expr(GURMUKHI).alias("text")))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    for place, encoding in enumerate(("UTF-8", "UTF-16LE", "UTF-16BE")):
+        part = lines.filter(F.col("doc_id") % 3 == place).repartition(2)
+        marked = part.select(F.when(first, F.concat(F.lit("\ufeff"), "value")).otherwise(F.col("value")).alias("value"))
+        encoded = marked.select(F.encode("value", encoding).cast("string").alias("value"))
+        encoded.write.option("encoding", encoding).text(f"{folder}/{encoding}", lineSep="\n")
+    return lf.parse_lines(lf.read_lines(spark, f"{folder}/*"))
+
+
+def observed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and bytes of each part, counted while the parts are written."""
+    items = _records(_read(spark, sf_dir, "lineitem"), "l_partkey", ITEM_TEXT, "l_orderkey")
+    assigned = lf.assign_parts(items, "l_orderkey", WORKERS, PARTS)
+    return lf.write_parts(assigned, lf.scratch_path(spark, "observed"), gather=True, parts=PARTS)
+
+
 def stream_runs_then_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files arrive as a stream, each batch leaves sorted runs, runs are merged."""
     arriving, runs, checkpoint = (lf.scratch_path(spark, n) for n in ("arriving", "stream-runs", "stream"))
@@ -500,6 +525,8 @@ _QUERIES = (
     parts_round_trip,
     parts_in_order,
     utf16_lines,
+    mixed_encodings,
+    observed_parts,
     stream_runs_then_merge,
     streams_share_runs,
     stream_rejects,
@@ -683,6 +710,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT num, text, position AS place, cast(position % {PARTS} AS INTEGER) AS part_id
             FROM ({positions(part_records)}))""",
         "utf16_lines": f"SELECT num, text FROM ({documents})",
+        "mixed_encodings": f"SELECT num, {GURMUKHI} AS text FROM ({documents})",
+        "observed_parts": parts,
         "generated_lines": generated,
         "word_counts": f"SELECT p_brand, cast(sum(len(words)) AS BIGINT) AS words FROM ({words}) GROUP BY p_brand",
         "generated_properties": f"""SELECT worker, part_id, count(*) AS lines, cast(sum({size}) AS BIGINT) AS bytes,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import re
+from functools import reduce
 from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from lineflow.functions.parsing import strip_all_cr, strip_cr
 from lineflow.functions.paths import PLACEHOLDER, part_number, part_path
 from lineflow.operators.parse import VALUE, parse_keys
+from lineflow.sources.encodings import UNIT_BYTES, aligned_lines, file_encodings
 from lineflow.workspace import path_exists
 
 # Lines end with a line feed; a lone carriage return does not end one.
@@ -47,12 +49,26 @@ def read_lines(
     number in the file's name, which outgrows its five digits, so that names do not
     sort), ``source`` (the file), ``block`` and ``seq``.
 
-    ``encoding`` is UTF-8 if not given, else one Java knows, such as UTF-16LE.
+    Without an ``encoding`` each file's byte order mark tells it, UTF-8 if there is
+    none; a folder may hold files of several.  The driver, which lists the files, reads
+    four bytes of each for that.  Name an encoding Java knows, such as UTF-8, to spare it.
     """
+    if encoding is None:
+        found = file_encodings(spark, path)
+        if set(found) - {"UTF-8"}:
+            pieces = [_lines_in(spark, paths, kind, with_origin) for kind, paths in sorted(found.items())]
+            return reduce(DataFrame.unionByName, pieces)
+    return _lines_in(spark, path, encoding, with_origin)
+
+
+def _lines_in(spark: SparkSession, path: str | list[str], encoding: str | None, with_origin: bool) -> DataFrame:
+    """Lines of files of one encoding."""
+    encoding = None if encoding is None or encoding.upper() in ("UTF-8", "UTF8") else encoding
+    if encoding is not None and encoding.upper() in UNIT_BYTES:
+        lines = aligned_lines(spark, path, encoding.upper())
+        return lines if with_origin else lines.select(VALUE)
     raw = spark.read.options(**text_options(encoding)).text(path)
-    if not with_origin:
-        return clean_lines(raw.select(VALUE), encoding)
-    return clean_lines(raw.select(VALUE, *line_origin()), encoding)
+    return clean_lines(raw.select(VALUE, *(line_origin() if with_origin else [])), encoding)
 
 
 def line_origin() -> list[Column]:
