@@ -11,7 +11,6 @@ place itself, is joined with the next.
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -35,6 +34,9 @@ VERSION = "WARC/1.0"
 #: Namespaces of record ids, so that a record's id follows from what it is made of.
 RESPONSES = uuid.UUID("6d1f3c8e-6a0b-5d0c-9d5a-0e5b1a6f7c01")
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = [first + second for first in _ALPHABET for second in _ALPHABET]
+
 #: The date of responses that bring none.
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 
@@ -59,12 +61,18 @@ _LINKS = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)", re.I)
 
 
 def sha1_of(content: bytes) -> str:
-    """A digest as WARC writes it."""
-    return "sha1:" + base64.b32encode(hashlib.sha1(content).digest()).decode()
+    """A digest as WARC writes it, in base 32; ten bits make two characters."""
+    number = int.from_bytes(hashlib.sha1(content).digest())
+    return "sha1:" + "".join([_BASE32[number >> shift & 1023] for shift in range(150, -1, -10)])
 
 
 def record_id(name: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(RESPONSES, name)}>"
+    """The name-based identifier (version 5) of a record."""
+    found = bytearray(hashlib.sha1(RESPONSES.bytes + name.encode()).digest()[:16])
+    found[6] = found[6] & 0x0F | 0x50
+    found[8] = found[8] & 0x3F | 0x80
+    digits = found.hex()
+    return f"<urn:uuid:{digits[:8]}-{digits[8:12]}-{digits[12:16]}-{digits[16:20]}-{digits[20:]}>"
 
 
 def plain_text(page: str) -> str:
@@ -73,9 +81,12 @@ def plain_text(page: str) -> str:
     Of what can stand in a head only elements that are left out anyway hold text, so
     it does not matter where the head ends.
     """
-    lines = _TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", page))).split("\n")
-    joined = (" ".join(html.unescape(line).split()) for line in lines)
-    return "\n".join(line for line in joined if line)
+    lines = []
+    for line in _TAGS.sub("", _BREAKS.sub("\n", _HIDDEN.sub(" ", page))).split("\n"):
+        words = (html.unescape(line) if "&" in line else line).split()
+        if words:
+            lines.append(" ".join(words))
+    return "\n".join(lines)
 
 
 def _rows(found: list):
