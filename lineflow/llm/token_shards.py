@@ -232,6 +232,9 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.special = [token.content.lower() for token in added]
+        self.signs = {sign for token in self.special for sign in (token[:1], token[:1].upper())}
+        # Words are looked up here only where no special token can be, which spares its search.
+        self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -281,16 +284,18 @@ class WordTokenizer:
         if new:
             self._learn(new)
         found = [b"".join([known[word] for word in words]) for words in words_of]
-        for place, ids in zip(sorted(whole), self._encoded([texts[place] for place in sorted(whole)])):
-            found[place] = ids
-        for word in new:
-            if len(word) > LONG_WORD:
-                known.pop(word, None)
-                known.pop(word[:-1], None)
+        if whole:
+            self.tokenizer.encode_special_tokens = False
+            for place, ids in zip(sorted(whole), self._encoded([texts[place] for place in sorted(whole)])):
+                found[place] = ids
+            self.tokenizer.encode_special_tokens = True
+        for word in [word for word in new if len(word) > LONG_WORD]:
+            known.pop(word, None)
+            known.pop(word[:-1], None)
         return found
 
     def _may_be_special(self, text: str) -> bool:
-        if "<" not in text and all("<" in token for token in self.special):
+        if not any(sign in text for sign in self.signs):
             return False
         folded = text.lower()
         return any(token in folded for token in self.special)
