@@ -53,10 +53,33 @@ def stable_order(df: DataFrame) -> DataFrame:
     return materialize(df, "sort-input") if _order_may_change(df) else df
 
 
+# Steps of a plan that give their rows in the order of what they read, whenever they run.
+_STEADY = re.compile(
+    r"AdaptiveSparkPlan|WholeStageCodegen|InputAdapter|ColumnarToRow|Project|Filter|Generate|Union|Range\b|LocalTableScan|"
+    r"Scan (?!ExistingRDD)|FileScan|MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython|CollectMetrics|Sort\b|"
+    r"BroadcastHashJoin|BroadcastNestedLoopJoin|Expand|EmptyRelation|=="
+)
+
+
 def _order_may_change(df: DataFrame) -> bool:
-    """True if a task run again may see the rows of ``df`` in another order."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.search(r"(?<!Broadcast)(?<!Reused)Exchange|ShuffleQueryStage|Scan ExistingRDD", plan) is not None
+    """True unless every step of the plan is known to repeat its rows in the same order.
+
+    What is broadcast need not: it is looked up, not passed on.
+    """
+    hidden = None
+    for place, line in enumerate(df._jdf.queryExecution().executedPlan().toString().split("\n")):
+        shape = re.match(r"^((?:[ :]*[+:]- )?)(?:\*\(\d+\) )?(\S.*)$", line)
+        if shape is None or (place and not shape[1]):  # a text in the step before holds a line feed
+            continue
+        depth, step = len(shape[1]), shape[2]
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = None
+        if step.startswith(("BroadcastExchange", "BroadcastQueryStage", "ReusedExchange", "Subquery")):
+            hidden = depth
+        elif not _STEADY.match(step):
+            return True
+    return False
 
 
 def sort_partitions(df: DataFrame, *by: Column | str) -> DataFrame:
