@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from math import exp, log, log1p
@@ -79,13 +79,22 @@ def _is_hidden(rest: str) -> bool:
     return False
 
 
+class _Place:
+    """An element around blocks, by a link to the one around it."""
+
+    __slots__ = ("above", "depth")
+
+    def __init__(self, above: _Place | None):
+        self.above, self.depth = above, 0 if above is None else above.depth + 1
+
+
 @dataclass
 class Block:
     """A run of text between two block elements."""
 
     text: str
     linked: int
-    path: tuple[int, ...]
+    place: _Place
     own: str
     inside: bool
     frame: bool
@@ -98,10 +107,21 @@ class Block:
 
 
 class _Open:
-    __slots__ = ("tag", "number", "inside", "frame", "hidden", "named", "above_content", "content_hint")
-
-    def __init__(self, tag, number, above, names, hidden):
-        self.tag, self.number = tag, number
+    __slots__ = (
+        "tag", "own", "around", "within", "heading", "item", "inside", "frame", "hidden", "named", "above_content", "content_hint"
+    )
+
+    def __init__(self, tag, above, names, hidden):
+        self.tag = tag
+        # Of the nearest block element: its name, where it is, and where its children are.
+        if above is None:
+            self.own, self.around, self.heading, self.item = "", _Place(None), False, False
+            self.within = self.around
+        elif tag in INLINE:
+            self.own, self.around, self.within, self.heading, self.item = above.own, above.around, above.within, above.heading, above.item
+        else:
+            self.own, self.around, self.within = tag, above.within, _Place(above.within)
+            self.heading, self.item = above.heading or tag in HEADINGS, above.item or tag == "li"
         own_names = names.lower().split()
         is_main = tag == "main" or "main" in own_names
         was_inside = above is not None and above.inside
@@ -131,8 +151,13 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[_Open] = []
     text: list[str] = []
-    linked, links, number = 0, 0, 0
-    outer = _Open("", 0, None, "", False)
+    linked, links = 0, 0
+    outer = _Open("", None, "", False)
+    opened: Counter[str] = Counter()
+
+    def leave(place: int) -> None:
+        opened.subtract(o.tag for o in stack[place:])
+        del stack[place:]
 
     def finish():
         nonlocal linked
@@ -141,14 +166,10 @@ def blocks_of(page: str) -> list[Block]:
             text.clear()
             if joined:
                 top = stack[-1] if stack else outer
-                blocky = [o for o in stack if o.tag not in INLINE]
-                own = blocky[-1].tag if blocky else ""
-                path = tuple(o.number for o in blocky[:-1])
                 found.append(
                     Block(
-                        joined, min(linked, len(joined)), path, own, top.inside, top.frame, top.hidden or top.named,
-                        top.content_hint, any(o.tag in HEADINGS for o in blocky),
-                        any(o.tag == "li" for o in blocky) or own == "dd", top.above_content,
+                        joined, min(linked, len(joined)), top.around, top.own, top.inside, top.frame, top.hidden or top.named,
+                        top.content_hint, top.heading, top.item or top.own == "dd", top.above_content,
                     )
                 )
         linked = 0
@@ -178,10 +199,8 @@ def blocks_of(page: str) -> list[Block]:
                 links = max(0, links - 1)
             if tag not in INLINE:
                 finish()
-            for place in range(len(stack) - 1, -1, -1):
-                if stack[place].tag == tag:
-                    del stack[place:]
-                    break
+            if opened[tag]:
+                leave(next(place for place in range(len(stack) - 1, -1, -1) if stack[place].tag == tag))
             continue
         if tag not in HEAD_ELEMENTS:
             in_head = False
@@ -199,14 +218,16 @@ def blocks_of(page: str) -> list[Block]:
             links += 1
         if tag not in INLINE:
             finish()
-            _close_implied(stack, tag)
+            implied = _closed_by(stack, tag)
+            if implied is not None:
+                leave(implied)
             if tag in FRAME_ELEMENTS or tag in CONTENT_ELEMENTS:
                 links = 0
         rest = match["rest"]
         names = " ".join("".join(n) for n in _NAMES(rest)) if "=" in rest else ""
-        number += 1
         hidden = bool(rest) and _is_hidden(rest)
-        stack.append(_Open(tag, number, stack[-1] if stack else None, names, hidden))
+        stack.append(_Open(tag, stack[-1] if stack else outer, names, hidden))
+        opened[tag] += 1
     finish()
     if any(b.hint_above for b in found) and any(b.inside and not b.frame and not b.frame_hint and not b.hint_above for b in found):
         for block in found:
@@ -214,17 +235,17 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def _close_implied(stack: list[_Open], tag: str) -> None:
-    """A paragraph ends where a block begins; an entry where the next one does."""
+def _closed_by(stack: list[_Open], tag: str) -> int | None:
+    """Where the stack ends: a paragraph does where a block begins, an entry where the next one does."""
     ends = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
     closing = ends.get(tag, ())
     for place in range(len(stack) - 1, -1, -1):
         name = stack[place].tag
         if name == "p" or name in closing:
-            del stack[place:]
-            return
+            return place
         if name not in INLINE:
-            return
+            return None
+    return None
 
 
 # ---- the classifier --------------------------------------------------------
@@ -256,6 +277,35 @@ def features_of(block: Block, has_content: bool) -> tuple[float, ...]:
     )
 
 
+#: Of pages whose markup says nothing: what the text and its surroundings say.
+TEXT_FEATURES = ("one", "log_words", "linked", "ends_in_stop", "stops", "heading", "item", "with_most_text", "share_of_text")
+
+TEXT_PRIOR = (-2.0, 0.5, -4.0, 0.5, 0.5, 0.5, -0.5, 1.5, 1.5)
+
+
+def text_features(blocks: Sequence[Block]) -> list[tuple[float, ...]]:
+    """The TEXT_FEATURES of each block of a page.
+
+    The text of a page is where most words stand side by side: of the elements around
+    blocks, the one with the most words counts, and how large a part of that another has.
+    """
+    words = [block.text.count(" ") + 1 for block in blocks]
+    beside: Counter[_Place] = Counter()
+    for block, n in zip(blocks, words):
+        beside[block.place] += n
+    most, found = max(beside.values(), default=1), []
+    for block, n in zip(blocks, words):
+        markup = features_of(block, False)
+        share = beside[block.place] / most
+        found.append((*markup[:5], markup[9], markup[10], float(share == 1.0), share))
+    return found
+
+
+def is_unmarked(blocks: Sequence[Block]) -> bool:
+    """If neither elements nor names say what is content."""
+    return not any(b.inside or b.frame or b.frame_hint or b.content_hint for b in blocks)
+
+
 def silver_label(block: Block, has_content: bool) -> bool | None:
     """What the page's own markup says of a block, if it says anything."""
     if block.frame or block.frame_hint:
@@ -283,19 +333,39 @@ def fit_classifier(
     elements; both bounds are parameters, and the sample is all that reaches the
     driver.  Weights are drawn to PRIOR, which is what remains if no page has labels.
     """
-    import numpy as np
+    return fit_classifiers(pages, page_id, html_column, sample_pages, sample_blocks)[0]
+
+
+def fit_classifiers(
+    pages: DataFrame,
+    page_id: str = "page_id",
+    html_column: str = "html",
+    sample_pages: int = SAMPLE_PAGES,
+    sample_blocks: int = SAMPLE_BLOCKS,
+) -> tuple[list[float], list[float]]:
+    """The weights of :func:`fit_classifier`, and those of TEXT_FEATURES for unmarked pages.
 
+    The second classifier has the labels of the first and sees nothing of the markup
+    they come from, so it can say something of pages without it.
+    """
     ship_package(pages.sparkSession)
     ids = pages.select(F.xxhash64(F.col(f"`{page_id}`").cast("string")).alias("place")).distinct()
     chosen = [row.place for row in ids.orderBy("place").limit(sample_pages).collect()]
     place = F.xxhash64(F.col(f"`{page_id}`").cast("string"))
     sample = pages.filter(place.isin(chosen)).select(F.col(f"`{html_column}`").cast("string").alias("html"))
-    rows = sample.mapInArrow(_labelled_batches, "features array<double>, content boolean").limit(sample_blocks).collect()
-    prior = np.array(PRIOR)
-    if not rows:
+    schema = "features array<double>, text_features array<double>, content boolean"
+    rows = sample.mapInArrow(_labelled_batches, schema).limit(sample_blocks).collect()
+    labels = [row.content for row in rows]
+    return _fitted([row.features for row in rows], labels, PRIOR), _fitted([row.text_features for row in rows], labels, TEXT_PRIOR)
+
+
+def _fitted(features: list, labels: list[bool], prior: Sequence[float]) -> list[float]:
+    import numpy as np
+
+    prior = np.array(prior)
+    if not labels:
         return prior.tolist()
-    seen = np.array([row.features for row in rows])
-    content = np.array([row.content for row in rows], float)
+    seen, content = np.array(features), np.array(labels, float)
     weights = prior.copy()
     for _ in range(25):  # Newton steps of the penalised likelihood
         share = 1 / (1 + np.exp(-seen @ weights))
@@ -312,17 +382,19 @@ def _labelled_batches(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        features, labels = [], []
+        features, of_text, labels = [], [], []
         for page in batch.column(0).to_pylist():
             blocks = blocks_of(page or "")
             has_content = _has_content(blocks)
-            for block in blocks:
+            for block, text in zip(blocks, text_features(blocks)):
                 label = silver_label(block, has_content)
                 if label is not None:
                     features.append(features_of(block, has_content))
+                    of_text.append(text)
                     labels.append(label)
-        arrays = [pa.array(features, pa.list_(pa.float64())), pa.array(labels, pa.bool_())]
-        yield pa.RecordBatch.from_arrays(arrays, ["features", "content"])
+        doubles = pa.list_(pa.float64())
+        arrays = [pa.array(features, doubles), pa.array(of_text, doubles), pa.array(labels, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(arrays, ["features", "text_features", "content"])
 
 
 # ---- the cut ---------------------------------------------------------------
@@ -391,37 +463,52 @@ def _send_flow(excess: list[float], beside: list[dict[int, float]], side: list[b
             beside[b][a] = beside[b].get(a, 0.0) + flow
 
 
-def label_blocks(blocks: Sequence[Block], weights: Sequence[float]) -> list[bool]:
+def label_blocks(
+    blocks: Sequence[Block], weights: Sequence[float], text_weights: Sequence[float] = TEXT_PRIOR
+) -> list[bool]:
     """True for the blocks that are content."""
-    has_content = _has_content(blocks)
+    if is_unmarked(blocks):
+        weights, features = text_weights, text_features(blocks)
+    else:
+        has_content = _has_content(blocks)
+        features = [features_of(block, has_content) for block in blocks]
     excess, last_of = [], {}
     edges: dict[tuple[int, int], float] = {}
     for i, block in enumerate(blocks):
-        score = sum(w * x for w, x in zip(weights, features_of(block, has_content)))
+        score = sum(w * x for w, x in zip(weights, features[i]))
         share = min(max(1 / (1 + exp(-min(max(score, -30), 30))), 1e-5), 1 - 1e-5)
         excess.append(log(share) - log(1 - share))  # cost of boilerplate less cost of content
         if i:
-            edges[i - 1, i] = FOLLOWS * _nearness(blocks[i - 1].path, block.path)
-        sibling = last_of.get((block.path, block.own))
+            edges[i - 1, i] = FOLLOWS * _nearness(blocks[i - 1].place, block.place)
+        sibling = last_of.get((block.place, block.own))
         if sibling is not None:
             edges[sibling, i] = edges.get((sibling, i), 0.0) + SAME_PARENT
-        last_of[block.path, block.own] = i
+        last_of[block.place, block.own] = i
     return minimum_cut(excess, edges)
 
 
-def _nearness(a: tuple[int, ...], b: tuple[int, ...]) -> float:
-    common = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        common += 1
-    return 0.5 ** (len(a) + len(b) - 2 * common)
+#: Steps through the tree beyond which blocks are not near at all.
+_FAR = 60
+
+
+def _nearness(a: _Place, b: _Place) -> float:
+    """Halved with each step through the tree from one place to the other."""
+    steps = 0
+    while a is not b:
+        if steps == _FAR:
+            return 0.0
+        if a.depth >= b.depth:
+            a = a.above
+        else:
+            b = b.above
+        steps += 1
+    return 0.5**steps
 
 
-def main_text(page: str, weights: Sequence[float] = PRIOR) -> str:
+def main_text(page: str, weights: Sequence[float] = PRIOR, text_weights: Sequence[float] = TEXT_PRIOR) -> str:
     """The content blocks of a page, in order, two line feeds between them."""
     blocks = blocks_of(page)
-    labels = label_blocks(blocks, weights)
+    labels = label_blocks(blocks, weights, text_weights)
     return "\n\n".join(block.text for block, content in zip(blocks, labels) if content)
 
 
@@ -431,15 +518,18 @@ def extract_main_text(
     url: str = "url",
     html_column: str = "html",
     weights: Sequence[float] | None = None,
+    text_weights: Sequence[float] | None = None,
 ) -> DataFrame:
-    """page_id, url, text, n_chars of every row; the classifier is fitted on ``pages`` unless given.
+    """page_id, url, text, n_chars of every row; the classifiers are fitted on ``pages`` unless given.
 
     Null and empty pages, and pages without content, have an empty text.  Null and
     repeated ids pass through; rows are worked on in place, without a shuffle.  Other
     columns are not read.
     """
     ship_package(pages.sparkSession)
-    weights = fit_classifier(pages, page_id, html_column) if weights is None else list(weights)
+    if weights is None or text_weights is None:
+        fitted = fit_classifiers(pages, page_id, html_column)
+        weights, text_weights = weights or fitted[0], text_weights or fitted[1]
     rows = pages.select(
         F.col(f"`{page_id}`").alias("page_id"),
         F.col(f"`{url}`").alias("url"),
@@ -447,17 +537,17 @@ def extract_main_text(
     )
     kinds = {name: rows.schema[name].dataType.simpleString() for name in ("page_id", "url")}
     schema = f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long"
-    return rows.mapInArrow(_text_batches(weights), schema)
+    return rows.mapInArrow(_text_batches(list(weights), list(text_weights)), schema)
 
 
-def _text_batches(weights: Sequence[float]) -> Callable[[Iterator], Iterator]:
+def _text_batches(weights: Sequence[float], text_weights: Sequence[float]) -> Callable[[Iterator], Iterator]:
     def texts(batches):
         import pyarrow as pa
 
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
-                found = [main_text(page, weights) for page in part.column(2).to_pylist()]
+                found = [main_text(page, weights, text_weights) for page in part.column(2).to_pylist()]
                 columns = [
                     part.column(0), part.column(1), pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())
                 ]

@@ -1,5 +1,7 @@
 import itertools
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,33 @@ def test_related_articles_and_comments_are_no_content():
     assert hc.main_text(page) == BODY_TEXT
     page = BODY.replace("</article>", '<div class="comments"><article><p>I liked it, thank you. Great.</p></article></div></article>')
     assert hc.main_text(page) == BODY_TEXT
+
+
+# ---- pages without markup that says anything -------------------------------
+
+
+def unmarked(page):
+    """The page with plain div elements for all that has a meaning, and without names."""
+    page = re.sub(r"\s(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", "", page)
+    return re.sub(r"<(/?)(article|main|nav|header|footer|aside|form|section)\b[^>]*>", r"<\1div>", page)
+
+
+def test_pages_without_markup(spark):
+    """Held against what the same pages give with their markup; fitted on other pages."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights, text_weights = hc.fit_classifiers(table.filter("page_id % 3 != 0"), sample_pages=100)
+    hits = extra = missed = 0
+    for row in table.filter("page_id % 3 = 0").collect():
+        wanted = set(hc.main_text(row.html, weights, text_weights).split("\n\n"))
+        page = unmarked(row.html)
+        assert hc.is_unmarked(hc.blocks_of(page))
+        found = set(hc.main_text(page, weights, text_weights).split("\n\n"))
+        hits, extra, missed = hits + len(found & wanted), extra + len(found - wanted), missed + len(wanted - found)
+    assert hits / (hits + extra) > 0.95 and hits / (hits + missed) > 0.98
+
+
+@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<div>x " * 50_000 + "</p></span>y" * 50_000, "<b>x" * 100_000])
+def test_deep_pages_take_linear_time(page):
+    start = time.perf_counter()
+    assert isinstance(hc.main_text(page), str)
+    assert time.perf_counter() - start < 30
