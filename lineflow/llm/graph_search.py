@@ -5,7 +5,8 @@ graph with a bounded number of edges per node.  A new node's neighbours are prop
 a greedy search for it in the graph so far; of what the search met, edges are kept from
 near to far, and one is dropped if a kept neighbour is closer to its end than the node
 is by more than a factor.  That keeps edges in all directions, so that a beam search
-from one start reaches any part of the shard.  Each query searches every shard.
+reaches any part of the shard; it begins with the nearest of some nodes that are spread
+over it.  Each query searches every shard.
 
 The graph is over Euclidean distances.  One more component makes all vectors of a shard
 equally long, and then the nearest ones have the largest inner product.  The graph works
@@ -40,6 +41,10 @@ BUILD_BEAM = 64
 BEAM = 96
 SLACK = 1.2
 
+#: A shard has a start for so many nodes, and at least so many starts.
+NODES_PER_START = 64
+MIN_STARTS = 64
+
 #: Nodes inserted together, queries searched together, nodes expanded together.
 BATCH = 512
 WIDTH = 4
@@ -58,9 +63,11 @@ def level_vectors(vectors):
     return np.column_stack([scaled / np.sqrt(longest), rest]).astype(np.float32)
 
 
-def beam_search(points, edges, start: int, targets, beam: int, width: int = WIDTH):
+def beam_search(points, edges, starts, targets, beam: int, width: int = WIDTH):
     """Nodes found and expanded for each of the ``targets``, all searched in step.
 
+    A search begins with the nearest of the ``starts``.
+
     Returns found (targets by ``beam``, best first, -1 where there are none), and the
     expanded nodes of each target, padded by -1.  In each step a target expands its
     ``width`` best nodes that are not expanded yet, until all it has found are.
@@ -71,9 +78,12 @@ def beam_search(points, edges, start: int, targets, beam: int, width: int = WIDT
     found = np.full((count, beam), -1, np.int64)
     near = np.full((count, beam), -np.inf, np.float32)
     opened = np.ones((count, beam), bool)
-    found[:, 0], near[:, 0], opened[:, 0] = start, targets @ points[start], False
+    first = targets @ points[starts].T
+    order = np.argsort(-first, axis=1, kind="stable")[:, :beam]
+    known = order.shape[1]
+    found[:, :known], near[:, :known], opened[:, :known] = starts[order], np.take_along_axis(first, order, 1), False
     seen = np.zeros((count, len(points)), bool)
-    seen[:, start] = True
+    seen[:, starts] = True
     steps = []
     active = np.arange(count)
     while len(active):
@@ -146,27 +156,64 @@ def robust_prune(points, nodes, candidates, degree: int, slack: float):
 
 
 def build_graph(points, degree: int = DEGREE, beam: int = BUILD_BEAM, slack: float = SLACK):
-    """Edges (nodes by ``degree``, padded by -1) and the start node of a graph over ``points``.
+    """Edges (nodes by ``degree``, padded by -1) and the start nodes of a graph over ``points``.
 
-    Nodes are inserted in a fixed random order, in batches that double up to BATCH: all of
-    a batch search the graph before it, so a retried task builds the same graph.
+    The starts go first, the other nodes follow in a fixed random order, in batches that
+    double up to BATCH: all of a batch search the graph before it, so a retried task
+    builds the same graph.  A node that no path leads to becomes a start itself.
     """
     import numpy as np
 
     count = len(points)
     edges = np.full((count, degree), -1, np.int64)
-    start = int(np.argmax(points @ points.mean(axis=0))) if count else 0
+    starts = spread_nodes(points, max(MIN_STARTS, count // NODES_PER_START))
     order = np.random.default_rng(SEED).permutation(count)
-    order = np.concatenate([[start], order[order != start]]) if count else order
+    order = np.concatenate([starts, order[~np.isin(order, starts)]])
     begun, size = 1, 1
     while begun < count:
         batch = order[begun : begun + size]
-        _, expanded = beam_search(points, edges, start, points[batch], beam)
+        _, expanded = beam_search(points, edges, starts[:begun], points[batch], beam)
         edges[batch] = robust_prune(points, batch, expanded, degree, slack)
         _add_backward(points, edges, batch, degree, slack)
         begun += size
         size = min(2 * size, BATCH)
-    return edges, start
+    return edges, _reaching_all(edges, starts)
+
+
+def spread_nodes(points, number: int):
+    """Nodes far from each other: the middle one, then always the one farthest from all before.
+
+    Clusters may be so dense that no edge leaves them; each has its own way in.
+    """
+    import numpy as np
+
+    if not len(points):
+        return np.empty(0, np.int64)
+    chosen = [int(np.argmax(points @ points.mean(axis=0)))]
+    nearest = points @ points[chosen[0]]
+    while len(chosen) < min(number, len(points)):
+        nearest[chosen[-1]] = np.inf
+        chosen.append(int(np.argmin(nearest)))
+        nearest = np.maximum(nearest, points @ points[chosen[-1]])
+        nearest[chosen] = np.inf
+    return np.array(chosen, np.int64)
+
+
+def _reaching_all(edges, starts):
+    """``starts`` and, of the nodes they do not lead to, as many as lead to all."""
+    import numpy as np
+
+    reached = np.zeros(len(edges), bool)
+    found, ahead = list(starts), np.asarray(starts)
+    while True:
+        while len(ahead):
+            reached[ahead] = True
+            ends = np.unique(edges[ahead])
+            ahead = ends[(ends >= 0) & ~reached[np.maximum(ends, 0)]]
+        if reached.all():
+            return np.array(found, np.int64)
+        found.append(int(np.argmin(reached)))
+        ahead = np.array(found[-1:])
 
 
 def _add_backward(points, edges, batch, degree: int, slack: float) -> None:
@@ -216,11 +263,11 @@ def _index_shard(table):
 
     # A shuffle brings rows in any order; the graph must not depend on it.
     table = table.take(np.lexsort(_vectors_of(table, "v").T))
-    edges, start = build_graph(level_vectors(_vectors_of(table, "v")))
+    edges, starts = build_graph(level_vectors(_vectors_of(table, "v")))
     lists = pa.array([row[row >= 0].tolist() for row in edges], pa.list_(pa.int32()))
     place = np.arange(table.num_rows)
     columns = [table.column(c) for c in ("dims", "shard", "v", "ids")]
-    columns += [pa.array(place, pa.int32()), lists, pa.array(place == start)]
+    columns += [pa.array(place, pa.int32()), lists, pa.array(np.isin(place, starts))]
     return pa.table(columns, ["dims", "shard", "v", "ids", "place", "edges", "start"])
 
 
@@ -239,7 +286,7 @@ def _search_shard(nearest: int, beam: int) -> Callable:
         edges = np.full((len(lists), max(1, max(map(len, lists)))), -1, np.int64)
         for row, ends in enumerate(lists):
             edges[row, : len(ends)] = ends
-        start = int(np.argmax(index.column("start").to_numpy()))
+        starts = np.flatnonzero(index.column("start").to_numpy())
         points = level_vectors(vectors)
         wanted, query_ids, keys = _vectors_of(queries, "v"), queries.column("query_id").to_numpy(), queries.column("query")
         largest = np.abs(wanted).max(axis=1, keepdims=True)
@@ -247,7 +294,7 @@ def _search_shard(nearest: int, beam: int) -> Callable:
         chunks = []
         for begin in range(0, len(wanted), BATCH):
             rows = np.arange(begin, min(begin + BATCH, len(wanted)))
-            found, _ = beam_search(points, edges, start, targets[rows], beam)
+            found, _ = beam_search(points, edges, starts, targets[rows], beam)
             at, place = np.nonzero(found >= 0)
             node = found[at, place]
             with np.errstate(over="ignore", invalid="ignore"):

@@ -81,6 +81,18 @@ def test_an_id_with_two_vectors_and_no_rows(spark):
     assert gs.nearest_neighbours(table, table).collect() == []
 
 
+@pytest.mark.parametrize("clusters", [3, 40, 150])
+def test_clusters_far_apart(clusters):
+    """No edge leads from one cluster to another; every one is found all the same."""
+    rng = np.random.default_rng(clusters)
+    vectors = rng.normal(size=(clusters, 32))[rng.integers(clusters, size=4000)] * 10 + rng.normal(size=(4000, 32))
+    points = gs.level_vectors(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+    edges, starts = gs.build_graph(points)
+    found, _ = gs.beam_search(points, edges, starts, points[::20], gs.BEAM)
+    every = np.argsort(-(points[::20] @ points.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b[:20])) / 20 for a, b in zip(every.tolist(), found.tolist())]) > 0.95
+
+
 def test_pruning_keeps_directions():
     """Of points on a line only the next one on each side is kept."""
     points = gs.level_vectors(np.array([[np.cos(a), np.sin(a)] for a in np.linspace(0, 1, 11)]))
@@ -90,10 +102,10 @@ def test_pruning_keeps_directions():
 
 def test_graphs_are_whole_and_repeatable():
     points = gs.level_vectors(np.array([v for _, v in clustered(6, 1500, 16)]))
-    edges, start = gs.build_graph(points)
+    edges, starts = gs.build_graph(points)
     again, _ = gs.build_graph(points)
     assert (edges == again).all() and edges.shape == (1500, gs.DEGREE)
-    reached, ahead = {start}, [start]
+    reached, ahead = set(starts.tolist()), starts.tolist()
     while ahead:
         ends = {int(e) for e in edges[ahead].ravel() if e >= 0} - reached
         reached |= ends

@@ -66,7 +66,7 @@ def plain_manifest(rows, fanout=8):
 
 def tampered():
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
-    return F.when(changed, F.translate("text", *map("".join, zip(*((chr(k), v) for k, v in LOW.items()))))).otherwise(F.col("text"))
+    return F.when(changed, F.translate("text", "".join(map(chr, LOW)), "".join(map(chr, LOW.values())))).otherwise(F.col("text"))
 
 
 def audited(docs, fanout=8):
