@@ -38,7 +38,10 @@ RISK = 1e-9
 #: Documents on either side of a block, and comparisons under one leader beyond which
 #: blocks are made; the links that follow are the same.
 BLOCK = 256
-BLOCK_COMPARISONS = 100
+BLOCK_COMPARISONS = 2_000
+
+#: Comparisons under one leader beyond which its members are first compared within blocks.
+WITHIN_COMPARISONS = 100
 
 #: Pieces into which the members of one leader are dealt where they are joined with it.
 DEALT = 16
@@ -224,11 +227,10 @@ def _sketches_and_components(docs: DataFrame, words: int, percent: int, doc_id:
     led = lists.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
     links = materialize(_confirmed(led, classes, sets, percent, size), "led-links")
     found = materialize(components(links), "components")
-    mixed = _mixed_lists(lists, found)
+    mixed = _mixed_lists(lists, found, WITHIN_COMPARISONS)
     within = materialize(_compared_within_blocks(mixed.filter("many"), sets, percent), "block-links")
-    if not within.isEmpty():
-        found = _linked_further(found, within)
-        mixed = _mixed_lists(lists, found)
+    found = _linked_further(found, within)
+    mixed = _mixed_lists(lists, found, BLOCK_COMPARISONS)
     few = _confirmed(_paired(mixed.filter("NOT many"), percent), classes, sets, percent, size)
     many = _compared_in_blocks(mixed.filter("many"), sets, percent)
     return sketches, _linked_further(found, materialize(few.unionByName(many), "near-links"))
@@ -253,12 +255,12 @@ def _inverted_lists(classes: DataFrame, percent: int, size: int) -> DataFrame:
     )
 
 
-def _mixed_lists(lists: DataFrame, first: DataFrame) -> DataFrame:
+def _mixed_lists(lists: DataFrame, first: DataFrame, comparisons: int) -> DataFrame:
     """The lists that more than one component shares: value, leader, node, n, component, main, many.
 
     Under each leader the component with the most members is the ``main`` one; the
-    other members are compared with all.  ``many`` is true where that is more than
-    BLOCK_COMPARISONS.  Lists of one leader hold much the same documents.
+    other members are compared with all.  ``many`` is true where that is more than so many
+    ``comparisons``.  Lists of one leader hold much the same documents.
     """
     labelled = lists.join(first, "node", "left").select(
         "value", "leader", "node", "n", F.coalesce("component", "node").alias("component")
@@ -269,7 +271,7 @@ def _mixed_lists(lists: DataFrame, first: DataFrame) -> DataFrame:
     parts = mixed.groupBy("leader", "component").agg(F.count_distinct("node").alias("members"))
     of_leader = parts.groupBy("leader").agg(
         F.max_by("component", F.struct("members", "component")).alias("main"),
-        (F.sum("members") * (F.sum("members") - F.max("members")) > BLOCK_COMPARISONS).alias("many"),
+        (F.sum("members") * (F.sum("members") - F.max("members")) > comparisons).alias("many"),
     )
     return materialize(_with_leader(mixed, of_leader), "mixed")
 
@@ -298,10 +300,11 @@ def _paired(mixed: DataFrame, percent: int) -> DataFrame:
 def _compared_within_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components within blocks of one leader's members.
 
-    Every member is in one block, so this takes time in proportion to the members.  It
-    connects most of what can be, and leaves few members to be compared with all.
+    Every member is in one block, that of one of its leaders, so this takes time and
+    moves sets in proportion to the members.  It connects most of what can be, and leaves
+    few members to be compared with all.
     """
-    members = mixed.select("leader", "node", "component").distinct()
+    members = mixed.groupBy("node", "component").agg(F.min("leader").alias("leader"))
     counts = members.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = _with_leader(members, counts)
     dealt = dealt.withColumns({"minor": F.lit(None).cast("boolean"), "block": F.pmod(F.xxhash64("node", "leader"), "blocks")})

@@ -41,6 +41,7 @@ def test_components_against_all_pairs(docs, monkeypatch, seed, width, percent, b
     """Comparing in pairs, in one block, and in many small ones."""
     monkeypatch.setattr(nd, "BLOCK", block)
     monkeypatch.setattr(nd, "BLOCK_COMPARISONS", many)
+    monkeypatch.setattr(nd, "WITHIN_COMPARISONS", many // 20)
     rows = corpus(seed)
     found = nd.near_components(docs(*rows), words=width, percent=percent).collect()
     wanted = plain_components(rows, width, percent)
