@@ -84,6 +84,6 @@ def test_queries_are_registered(spark):
 
     names = list(entry.queries())
     assert "pipeline" in names
-    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}) == list(range(1, 11))
-    assert {"op9_exact_dedup", "op10_mixing"} <= set(entry.oracle_sql())
+    assert sorted({int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()}) == list(range(1, 14))
+    assert {"op9_exact_dedup", "op10_mixing", "op11_merkle", "op12_vector_codes"} <= set(entry.oracle_sql())
     assert mixing.WEIGHTS == (1, 2, 3) and F is not None
