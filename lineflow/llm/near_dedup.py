@@ -210,16 +210,16 @@ def _sketches_and_components(docs: DataFrame, words: int, percent: int, doc_id:
     sketches = materialize(rows.mapInArrow(_sketch_batches(words, size), schema), "sketches")
     filled = sketches.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = filled.groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
     classes = materialize(classes, "classes")
     lists = materialize(_inverted_lists(classes, percent, size), "lists")
-    members = lists.select("node").distinct().join(classes, "node")
-    members = materialize(members.select("node", F.col("row.doc_id").alias("of"), F.col("row.text_key").alias("key")), "members")
-    chosen = (F.col("doc_id") == F.col("of")) & (F.col("text_key") == F.col("key"))
-    needed = rows.join(members, chosen, "left_semi")
+    # Ids alone are a small table; another text of one of them gives a set that nobody asks for.
+    members = lists.select("node").distinct().join(classes.select("node", F.col("least").alias("of")), "node")
+    members = materialize(members.select("of").distinct(), "members")
+    needed = rows.join(members, rows["doc_id"] == members["of"], "left_semi")
     sets = materialize(needed.mapInArrow(_set_batches(words), "node binary, shingles array<long>"), "sets")
-    if sets.count() > members.count():  # rows equal in id and text
+    if sets.count() > members.count():  # rows that repeat an id
         sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     leaders = lists.groupBy("value").agg(F.min("node").alias("leader"))
