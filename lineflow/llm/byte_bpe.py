@@ -18,12 +18,13 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lineflow.llm.shipping import ship_package
+from lineflow.llm.shipping import give_memory_back, ship_package
 from lineflow.llm.words import id_and_text
 
-#: Pieces whose encoding a worker remembers at least, and at most twice as many.
-REMEMBERED_PIECES = 300_000
-REMEMBERED_PAIRS = 2_000_000
+#: Pieces whose encoding a worker remembers at least, and at most twice as many; and
+#: pairs of tokens.  Both are forgotten with the end of a task, as Spark keeps workers.
+REMEMBERED_PIECES = 200_000
+REMEMBERED_PAIRS = 400_000
 
 #: Rows that are encoded at a time.
 ROWS_AT_A_TIME = 256
@@ -67,7 +68,9 @@ class BacktrackingEncoder:
         for token, rank in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
         self.automaton.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        #: By the left token's rank times ``span`` and the right one's: such a key is one small object.
+        self.compatible: dict[int, bool] = {}
+        self.span = max(ranks.values(), default=0) + 1
         self.pieces = Remembered(self.encode_bytes)
 
     def _last_merge(self, token: bytes, rank: int) -> tuple[int, int]:
@@ -110,14 +113,20 @@ class BacktrackingEncoder:
         """Find out, and remember, if two tokens are compatible."""
         if len(self.compatible) >= REMEMBERED_PAIRS:
             self.compatible.clear()
-        fit = self.compatible[left, right] = self._stay_apart(left, right)
+        fit = self.compatible[left * self.span + right] = self._stay_apart(left, right)
         return fit
 
+    def forget(self) -> None:
+        """Drop what is remembered; the vocabulary stays."""
+        self.pieces.clear()
+        self.pieces.older = {}
+        self.compatible.clear()
+
     def encode_bytes(self, piece: bytes) -> list[int]:
         """The tokens of a piece."""
         end, text = len(piece), piece.decode("latin-1")
         length, shorter, longest_from = self.length, self.shorter, self.automaton.iter_long
-        known_fit, fits = self.compatible.get, self._fits
+        known_fit, fits, span = self.compatible.get, self._fits, self.span
         longest: list[int | None] = [None] * (end + 1)  # at each place, once looked up
         given_up = bytearray(end + 1)
         tokens: list[int] = []
@@ -131,7 +140,7 @@ class BacktrackingEncoder:
                 if not given_up[at + length[token]]:
                     if not tokens:
                         break
-                    fit = known_fit((tokens[-1], token))
+                    fit = known_fit(tokens[-1] * span + token)
                     if fit or (fit is None and fits(tokens[-1], token)):
                         break
                 token = shorter[token]
@@ -157,6 +166,17 @@ def encoder_of(file: bytes) -> BacktrackingEncoder:
     return BacktrackingEncoder(parse_ranks(file))
 
 
+@functools.lru_cache(maxsize=2)
+def token_table(file: bytes):
+    """The bytes of each rank; decoding needs nothing else of a vocabulary."""
+    import numpy as np
+
+    ranks = parse_ranks(file)
+    table = np.full(max(ranks.values()) + 1, None, dtype=object)
+    table[list(ranks.values())] = list(ranks)
+    return table
+
+
 def encode_documents(
     docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
@@ -182,17 +202,22 @@ def _encode_batches(vocabulary, pattern: str) -> Callable[[Iterator], Iterator]:
         import pyarrow as pa
         import regex
 
-        ids_of = encoder_of(vocabulary.value).pieces.__getitem__
+        encoder = encoder_of(vocabulary.value)
+        ids_of = encoder.pieces.__getitem__
         find = regex.compile(pattern).findall
-        for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                part = batch.slice(start, ROWS_AT_A_TIME)
-                ids = [b"".join(map(ids_of, find(text))) for text in part.column(1).to_pylist()]
-                offsets = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
-                values = pa.array(np.frombuffer(b"".join(ids), np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"]
-                )
+        try:
+            for batch in batches:
+                for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
+                    part = batch.slice(start, ROWS_AT_A_TIME)
+                    ids = [b"".join(map(ids_of, find(text))) for text in part.column(1).to_pylist()]
+                    offsets = pa.array(np.cumsum([0, *map(len, ids)]) // 4, pa.int32())
+                    values = pa.array(np.frombuffer(b"".join(ids), np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.ListArray.from_arrays(offsets, values)], ["doc_id", "ids"]
+                    )
+        finally:
+            encoder.forget()
+            give_memory_back()
 
     return encode
 
@@ -211,9 +236,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        bytes_of = encoder_of(vocabulary.value).bytes_of
-        token = np.full(max(bytes_of) + 1, None, dtype=object)
-        token[list(bytes_of)] = list(bytes_of.values())
+        token = token_table(vocabulary.value)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)

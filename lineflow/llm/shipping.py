@@ -1,7 +1,8 @@
-"""Makes this package importable on executors."""
+"""Makes this package importable on executors, and keeps its workers there small."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
@@ -28,3 +29,19 @@ def ship_package(spark: SparkSession) -> None:
     archive = shutil.make_archive(os.path.join(folder, "lineflow-package"), "zip", os.path.dirname(staged))
     context.addPyFile(archive)
     _SHIPPED.add(context.applicationId)
+
+
+def give_memory_back() -> None:
+    """Return the memory that a worker has freed to the system.
+
+    Spark keeps Python workers for later tasks, also of other stages, beside the
+    executor's heap; what they have freed would be missing there.  Where the C library
+    has no such call, nothing happens.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

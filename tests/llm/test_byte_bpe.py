@@ -1,6 +1,8 @@
 import hashlib
+from types import SimpleNamespace
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -71,3 +73,18 @@ def test_forgotten_pieces_are_encoded_again(monkeypatch):
         for i in range(40):
             ids = ours.pieces[f" word{i}ing"]
             assert list(memoryview(ids).cast("i")) == theirs._encode_single_piece(f" word{i}ing")
+
+
+def test_workers_keep_only_the_vocabulary():
+    """Spark keeps workers beside the heap: after a task nothing remembered is left, and decoding needs no encoder."""
+    with open(public_tokenizers.path(FILES[0]), "rb") as file:
+        vocabulary = SimpleNamespace(value=file.read())
+    encoder = byte_bpe.encoder_of(vocabulary.value)
+    rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words, Überraschungen"])], ["doc_id", "text"])
+    tasks = byte_bpe._encode_batches(vocabulary, public_tokenizers.PATTERN)(iter([rows]))
+    ids = next(tasks).column("ids")[0].as_py()
+    assert encoder.pieces and encoder.compatible
+    assert list(tasks) == []
+    assert not encoder.pieces and not encoder.pieces.older and not encoder.compatible
+    table = byte_bpe.token_table(vocabulary.value)
+    assert b"".join(table[i] for i in ids).decode() == "some words, Überraschungen"
