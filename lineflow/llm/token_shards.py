@@ -14,6 +14,7 @@ reads them back, so any file system Spark reaches will do.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lineflow.llm.shipping import ship_package
-from lineflow.llm.words import id_and_text, lower_words
+from lineflow.llm.words import id_and_text, slices_of, split_words
 
 MAGIC = b"WAVM"
 BLOCK_BYTES = 1 << 16  # of a plane; each block is compressed by itself
@@ -33,11 +34,17 @@ SHARD_CHARS = 16_000_000
 SHARD_IDS = 1 << 23
 
 #: Words whose ids a worker remembers at least, and at most about twice as many.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 600_000
 #: Bytes of a word beyond which it is not remembered.
 LONG_WORD = 64
 
-ROWS_AT_A_TIME = 256
+#: Letters of ASCII and Latin-1: no other character composes with them, and each has one lower case.
+WESTERN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+#: The alphabet of byte-level models: bytes that are no printable character of Latin-1 are moved behind it.
+ALPHABET = {byte: 256 + n for n, byte in enumerate([*range(33), *range(127, 161), 173])}
+
+#: Bytes of text that are encoded at a time, about; no text is divided.
+BYTES_AT_A_TIME = 4_000_000
 
 
 # ---- the file --------------------------------------------------------------
@@ -243,60 +250,80 @@ class WordTokenizer:
     def _encoded(self, words: list[str]) -> list[bytes]:
         return [ids_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[bytes]) -> None:
+        """Ids of words into ``known``; of a word with a sign behind it, those of the word before the sign."""
         known, older, sign = self.known, self.older, self.sign
-        signed, new = [], set()
+        unread, tokenize = [], self.tokenizer.model.tokenize
         for word in words:
+            if word[-1:] in sign and (word[-2:-1].isalpha() or WESTERN(word[-3:-1])):
+                word = word[:-1]
+                if word in known:
+                    continue
             ids = older.get(word)
             if ids is not None:
                 known[word] = ids
-            elif word[-1:] in sign and word[-2:-1].isalpha():
-                signed.append(word)
-                stem = word[:-1]
-                if stem not in known:
-                    ids = older.get(stem)
-                    if ids is None:
-                        new.add(stem)
-                    else:
-                        known[stem] = ids
-            else:
-                new.add(word)
-        unread = []
-        tokenize = self.tokenizer.model.tokenize
-        for stem in new:
-            if stem.isalpha():  # ASCII letters: a single piece, in the model's own alphabet
-                known[stem] = ids_bytes([token.id for token in tokenize(stem.decode())])
+            elif word.isalpha():  # ASCII letters: a single piece, in the model's own alphabet
+                known[word] = ids_bytes([token.id for token in tokenize(word.decode())])
+            elif WESTERN(word):  # a single piece too, once in lower case and in that alphabet
+                piece = word.decode().lower().encode().decode("latin-1").translate(ALPHABET)
+                known[word] = ids_bytes([token.id for token in tokenize(piece)])
             else:
-                unread.append(stem)
-        known.update(zip(unread, self._encoded([stem.decode() for stem in unread])))
-        for word in signed:
-            known[word] = known[word[:-1]] + sign[word[-1:]]
+                unread.append(word)
+        known.update(zip(unread, self._encoded([word.decode() for word in unread])))
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of texts, best an Arrow array of them, as little-endian 32-bit integers.
+
+        Arrow splits the texts and numbers their different words; only these are looked
+        up, and their ids are dealt to the places where they stand.
+        """
+        import numpy as np
+        import pyarrow as pa
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts as little-endian 32-bit integers."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if len(self.known) > REMEMBERED_WORDS:
             self.older, self.known = self.known, {}
-        known = self.known
         # The tokenizer looks for its special tokens before it folds case: such texts are its own.
-        whole = {place for place, text in enumerate(texts) if self._may_be_special(text)}
-        words_of = [lower_words(text) if place not in whole else [] for place, text in enumerate(texts)]
-        new = {word for words in words_of for word in words if word not in known}
-        if new:
-            self._learn(new)
-        found = [b"".join([known[word] for word in words]) for words in words_of]
+        whole = self._special_texts(texts)
+        numbers, distinct, word_ends = split_words(texts)
+        known, sign = self.known, self.sign
+        own = list(map(known.get, distinct))
+        new = [(place, distinct[place]) for place, ids in enumerate(own) if ids is None]
+        self._learn([word for _, word in new])
+        for place, word in new:
+            ids = known.get(word)
+            own[place] = known[word[:-1]] + sign[word[-1:]] if ids is None else ids
+        for _, word in new:
+            if len(word) > LONG_WORD:
+                known.pop(word, None)
+                known.pop(word[:-1], None)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[numbers]
+        ends = np.cumsum(each)
+        places = np.repeat(starts[numbers] - ends + each, each)
+        places += np.arange(len(places))
+        ids = np.frombuffer(b"".join(own), "<u4")[places].tobytes()
+        text_ends = (4 * np.append(0, ends)[word_ends]).tolist()
+        found = [ids[start:end] for start, end in zip([0, *text_ends], text_ends)]
         if whole:
             self.tokenizer.encode_special_tokens = False
-            for place, ids in zip(sorted(whole), self._encoded([texts[place] for place in sorted(whole)])):
+            for place, ids in zip(whole, self._encoded(texts.take(pa.array(whole)).to_pylist())):
                 found[place] = ids
             self.tokenizer.encode_special_tokens = True
-        for word in [word for word in new if len(word) > LONG_WORD]:
-            known.pop(word, None)
-            known.pop(word[:-1], None)
         return found
 
+    def _special_texts(self, texts) -> list[int]:
+        """The places of the texts that may hold a special token."""
+        import pyarrow.compute as pc
+
+        places = set()
+        for sign in self.signs:
+            signed = pc.indices_nonzero(pc.match_substring(texts, sign))
+            places.update(signed.to_pylist())
+        return [place for place in sorted(places) if self._may_be_special(texts[place].as_py())]
+
     def _may_be_special(self, text: str) -> bool:
-        if not any(sign in text for sign in self.signs):
-            return False
         folded = text.lower()
         return any(token in folded for token in self.special)
 
@@ -371,9 +398,8 @@ def _shard_batches(tokenizer, end_id: int) -> Callable[[Iterator], Iterator]:
 
         held = 0
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
-                part = batch.slice(start, ROWS_AT_A_TIME)
-                for doc_id, own in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+            for part in slices_of(batch, 1, BYTES_AT_A_TIME):
+                for doc_id, own in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     own += end
                     if doc_ids and held + len(own) // 4 > SHARD_IDS:
                         yield shard()
