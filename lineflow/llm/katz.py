@@ -61,6 +61,9 @@ PASSES = 3
 # ---- inside tasks ----------------------------------------------------------
 
 
+#: Marks blocks of postings, in their number of columns.
+POSTINGS = 1 << 31
+
 _END_BYTES = END.to_bytes(8, "little", signed=True)
 
 
@@ -174,8 +177,12 @@ def _pack(key, other, *columns) -> bytes:
     return sizes + b"".join(b.tobytes() for b in body)
 
 
-def _unpack(block: bytes):
-    """key, other and the columns of a block; and the offset behind them."""
+def _unpack(block: bytes, each: bool = True):
+    """key, other and the columns of a block; and the offset behind them.
+
+    In a block of postings the first column says how often each pair stands there; it
+    is repeated as often, unless ``each`` is false.
+    """
     import numpy as np
 
     n_keys, n, n_columns = np.frombuffer(block, "<u4", 3).tolist()
@@ -185,10 +192,41 @@ def _unpack(block: bytes):
     other = np.frombuffer(block, "<i8", n, at := at + 4 * n_keys)
     at += 8 * n
     columns = []
-    for _ in range(n_columns):
+    for _ in range(n_columns & ~POSTINGS):
         columns.append(np.frombuffer(block, "<u4", n, at))
         at += 4 * n
-    return np.repeat(keys, runs), other, columns, at
+    key = np.repeat(keys, runs)
+    if each and n_columns & POSTINGS:
+        return np.repeat(key, columns[0]), np.repeat(other, columns[0]), columns, at
+    return key, other, columns, at
+
+
+def _pack_postings(key, other, doc, doc_keys, batch: int) -> bytes:
+    """A block of pairs sorted by key and other, each held once, and the documents of each place.
+
+    Behind the pairs stand the batch, the numbers of documents and places, the
+    documents' keys, and for every place its document among these.
+    """
+    import numpy as np
+
+    starts = _starts(key, other)
+    head = bytearray(_pack(key[starts], other[starts], np.diff(np.append(starts, len(key)))))
+    head[8:12] = np.uint32(1 | POSTINGS).tobytes()
+    docs, place = np.unique(doc, return_inverse=True)
+    place = place.astype("<u2" if len(docs) <= 1 << 16 else "<u4")
+    sizes = np.array([batch, len(docs), len(place)], "<i8")
+    return b"".join([head, sizes.tobytes(), doc_keys[docs].tobytes(), place.tobytes()])
+
+
+def _unpack_postings(block: bytes):
+    """context, word and times of the pairs; the batch, its documents' keys, and the document of each place."""
+    import numpy as np
+
+    context, word, (times,), at = _unpack(block, each=False)
+    batch, n_docs, n_places = np.frombuffer(block, "<i8", 3, at).tolist()
+    doc_keys = np.frombuffer(block, "<i8", n_docs, at + 24)
+    place = np.frombuffer(block, "<u2" if n_docs <= 1 << 16 else "<u4", n_places, at + 24 + 8 * n_docs)
+    return context, word, times, batch, doc_keys, place
 
 
 def _blocks(key, other, columns, bucket, n_buckets: int, tail: Callable | None = None):
@@ -558,14 +596,11 @@ def _score_pass(
     norm = F.col("total") + F.when(discounted, F.lit(0.0)).otherwise(F.lit(1.0))
     pairs = pairs.select("bucket", "context", "total", norm.alias("norm"), "words", "counts")
     met = pairs.groupBy("bucket").cogroup(postings.groupBy("bucket"))
-    met = met.applyInArrow(
-        _meet(model, hot_totals),
-        "key long, context long, word long, n long, score double, base double, known long",
+    met = met.applyInArrow(_meet(model, hot_totals), "batch long, sums binary, unseen binary")
+    added = met.groupBy("batch").applyInArrow(
+        _added_up, "key long, context long, word long, n long, score double, base double, known long"
     )
-    summed = met.groupBy("key", "context", "word").agg(
-        F.sum("n").alias("n"), F.sum("score").alias("score"), F.sum("base").alias("base"), F.sum("known").alias("known")
-    )
-    return materialize(summed, "scores")
+    return materialize(added, "scores")
 
 
 def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterator], Iterator]:
@@ -573,8 +608,11 @@ def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterato
 
     def blocks(batches):
         import numpy as np
+        from pyspark import TaskContext
 
-        for table, tokens, ends in _token_batches(batches, "text"):
+        task = TaskContext.get()
+        first = (task.partitionId() if task else 0) << 32
+        for batch, (table, tokens, ends) in enumerate(_token_batches(batches, "text"), first):
             doc_keys = table.column("key").to_numpy()
             doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
             context = _contexts(tokens, ends)
@@ -587,8 +625,7 @@ def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterato
             context, word, doc, bucket = context[order], word[order], doc[order], bucket[order]
 
             def with_keys(context, word, columns):
-                docs, place = np.unique(columns[0], return_inverse=True)
-                return _pack(context, word, place) + doc_keys[docs].tobytes()
+                return _pack_postings(context, word, columns[0], doc_keys, batch)
 
             yield _blocks(context, word, [doc], bucket, n_buckets, tail=with_keys)
 
@@ -596,26 +633,23 @@ def _posting_blocks(model: Model, number: int, passes: int) -> Callable[[Iterato
 
 
 def _meet(model: Model, hot_totals: dict[int, tuple[int, float]]) -> Callable:
-    """Scores of a bucket's postings by the bucket's contexts."""
+    """Scores of a bucket's postings by the bucket's contexts.
+
+    Each pair of a block is looked up once.  A block of postings gives one row: sums for
+    its documents, and the places whose pairs were not seen.  So there are as many rows
+    as blocks, however many documents meet a bucket.
+    """
     hot = _HotPairs(model)
 
     def meet(pairs, postings):
         import numpy as np
         import pyarrow as pa
 
-        empty = {"key": [], "context": [], "word": [], "n": [], "score": [], "base": [], "known": []}
-        kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int64()]
-        schema = pa.schema(list(zip(empty, kinds)))
+        schema = pa.schema([("batch", pa.int64()), ("sums", pa.binary()), ("unseen", pa.binary())])
         if not postings.num_rows:
             return schema.empty_table()
-        keys, contexts, words = [], [], []
-        for block in postings.column("block"):
-            raw = block.as_buffer().to_pybytes()
-            context, word, (place,), end = _unpack(raw)
-            keys.append(np.frombuffer(raw, "<i8", offset=end)[place])
-            contexts.append(context)
-            words.append(word)
-        key, context, word = map(np.concatenate, (keys, contexts, words))
+        blocks = [_unpack_postings(block.as_buffer().to_pybytes()) for block in postings.column("block")]
+        context, word, times = (np.concatenate([block[i] for block in blocks]) for i in range(3))
 
         known = pairs.combine_chunks()
         known_context = known.column("context").to_numpy()
@@ -672,33 +706,53 @@ def _meet(model: Model, hot_totals: dict[int, tuple[int, float]]) -> Callable:
         is_known = (context != START) & (total > 0)
         is_known = is_known.astype(np.int64) + ((word == END) & (model.n_texts > 0))
 
-        docs, of = np.unique(key, return_inverse=True)
-        sums = pa.table(
-            {
-                "key": pa.array(docs),
-                "context": pa.nulls(len(docs), pa.int64()),
-                "word": pa.nulls(len(docs), pa.int64()),
-                "n": pa.array(np.bincount(of, minlength=len(docs))),
-                "score": pa.array(np.bincount(of, weights=score, minlength=len(docs))),
-                "base": pa.array(np.bincount(of, weights=base, minlength=len(docs))),
-                "known": pa.array(np.bincount(of, weights=is_known, minlength=len(docs)).astype(np.int64)),
-            },
-            schema=schema,
-        )
-        left = np.flatnonzero(~seen)
-        # Counted once above; here n is how often the pair is still to be scored.
-        unseen = pa.table(
-            {
-                "key": pa.array(key[left]),
-                "context": pa.array(context[left]),
-                "word": pa.array(word[left]),
-                "n": pa.array(np.ones(len(left), np.int64)),
-                "score": pa.array(np.zeros(len(left))),
-                "base": pa.array(np.zeros(len(left))),
-                "known": pa.array(np.zeros(len(left), np.int64)),
-            },
-            schema=schema,
-        )
-        return pa.concat_tables([sums, unseen])
+        batch, sums, unseen, at = [], [], [], 0
+        for own_context, own_word, own_times, number, doc_keys, place in blocks:
+            rows = slice(at, at := at + len(own_times))
+            added = [
+                np.bincount(place, weights=np.repeat(values[rows], own_times), minlength=len(doc_keys))
+                for values in (score, base, is_known)
+            ]
+            counts = np.bincount(place, minlength=len(doc_keys))
+            columns = [doc_keys, added[0], added[1], counts.astype("<u4"), added[2].astype("<u4")]
+            left = np.repeat(~seen[rows], own_times)
+            found = [doc_keys[place[left]], np.repeat(own_context, own_times)[left], np.repeat(own_word, own_times)[left]]
+            batch.append(number)
+            sums.append(b"".join(c.tobytes() for c in columns))
+            unseen.append(b"".join(c.tobytes() for c in found))
+        return pa.table({"batch": batch, "sums": sums, "unseen": unseen}, schema=schema)
 
     return meet
+
+
+def _added_up(table):
+    """Of one batch of texts: a row of sums for each key, and a row for each place whose pair was not seen.
+
+    A batch holds a bounded number of tokens.  Here n is how often a pair is still to be scored.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    parts = []
+    for raw in (block.as_buffer().to_pybytes() for block in table.column("sums")):
+        n = len(raw) // 32
+        parts.append([*np.frombuffer(raw, "<i8", 3 * n).reshape(3, n), *np.frombuffer(raw, "<u4", 2 * n, 24 * n).reshape(2, n)])
+    key, score, base, n, known = (np.concatenate(column) for column in zip(*parts))
+    docs, of = np.unique(key, return_inverse=True)
+
+    def total(values):
+        return np.bincount(of, weights=values, minlength=len(docs))
+
+    unseen = [np.frombuffer(block.as_buffer().to_pybytes(), "<i8").reshape(3, -1) for block in table.column("unseen")]
+    left = np.concatenate(unseen, axis=1)
+    none, zeros = pa.nulls(len(docs), pa.int64()), np.zeros(left.shape[1])
+    columns = {
+        "key": np.append(docs, left[0]),
+        "context": pa.concat_arrays([none, pa.array(left[1])]),
+        "word": pa.concat_arrays([none, pa.array(left[2])]),
+        "n": np.append(total(n), zeros + 1).astype(np.int64),
+        "score": np.append(total(score.view("<f8")), zeros),
+        "base": np.append(total(base.view("<f8")), zeros),
+        "known": np.append(total(known), zeros).astype(np.int64),
+    }
+    return pa.table({name: column if isinstance(column, pa.Array) else pa.array(column) for name, column in columns.items()})

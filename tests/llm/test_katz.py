@@ -1,7 +1,10 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.sql import functions as F
 
 from lineflow.llm import katz
 from lineflow.workspace import scratch_path
@@ -135,3 +138,22 @@ def test_buckets_stay_small_whatever_the_share_of_a_word_is(spark, docs):
     plain = Plain([t for _, t in rows])
     more = [*rows, (999, "every text often then1a one pair every pair")]
     check(katz.score(docs(*more), model).collect(), plain, more)
+
+
+def test_rows_that_leave_a_bucket_grow_with_blocks_not_with_documents(spark, docs):
+    """Many documents meet every bucket: each block of postings leaves as one row."""
+    rows = [(i, sentence(i % 90, 40) + f" other{i}") for i in range(400)]
+    model = katz.fit(docs(*rows[:300]), scratch_path(spark, "katz"), bucket_tokens=1500)
+    table = docs(*rows).selectExpr("xxhash64(doc_id, text) AS key", "text").toArrow()
+    blocks = pa.Table.from_batches(katz._posting_blocks(model, 0, 1)(iter(table.to_batches())))
+    met, tokens = [], 0
+    for bucket in range(model.n_buckets):
+        pairs = model.table(spark, "pairs").filter(f"bucket = {bucket}").withColumn("norm", F.col("total").cast("double"))
+        postings = blocks.filter(pc.equal(blocks["bucket"], bucket))
+        met.append(katz._meet(model, {})(pairs.toArrow(), postings))
+        tokens += sum(len(katz._unpack(b.as_py())[0]) for b in postings["block"])
+    assert [m.num_rows for m in met] == [blocks["bucket"].to_pylist().count(b) for b in range(model.n_buckets)]
+    added = katz._added_up(pa.concat_tables(met)).to_pylist()
+    sums = [r for r in added if r["word"] is None]
+    assert len(sums) == len(rows) and sum(r["n"] for r in sums) == tokens == sum(len(t.split()) + 1 for _, t in rows)
+    assert 0 < sum(r["n"] for r in added if r["word"] is not None) < tokens
