@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineflow.llm.shipping import ship_package
+from lineflow.llm.shipping import give_memory_back, ship_package
 from lineflow.llm.words import id_and_text, slices_of, split_words
 
 MAGIC = b"WAVM"
@@ -34,7 +34,7 @@ SHARD_CHARS = 16_000_000
 SHARD_IDS = 1 << 23
 
 #: Words whose ids a worker remembers at least, and at most about twice as many.
-REMEMBERED_WORDS = 600_000
+REMEMBERED_WORDS = 300_000
 #: Bytes of a word beyond which it is not remembered.
 LONG_WORD = 64
 
@@ -410,6 +410,8 @@ def _shard_batches(tokenizer, end_id: int) -> Callable[[Iterator], Iterator]:
                     held += len(own) // 4
         if doc_ids:
             yield shard()
+        doc_ids, lengths, ids = [], [], []
+        give_memory_back()
 
     return shards
 
